@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, token_counts
+from . import bpe, language, quality, token_counts, toxicity
 from .common import table
 
 #: Paths of public vocabularies; every executor has them.
@@ -14,6 +14,21 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: The categories of the toxicity chain, in order.
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain | None:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, CATEGORIES)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity_chain(spark, sf_dir), CATEGORIES, drop_text=True)
+    return out.select("doc_id", F.col("p_low_quality"), F.col("p_toxic"), F.col("is_toxic").alias("toxic"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = bpe.decode(bpe.encode(docs, BYTE_BPE, drop_text=True), BYTE_BPE)
@@ -35,6 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
