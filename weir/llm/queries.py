@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, token_counts, toxicity
+from . import bpe, decontaminate, language, line_dedup, quality, token_counts, toxicity
 from .common import table
 
 #: Paths of public vocabularies; every executor has them.
@@ -45,6 +45,17 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "held_out", "text"), names, matrix)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the text itself is not part of the result, so it is not carried through the last join
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
 
@@ -54,6 +65,8 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE_SQL}
