@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, line_dedup, quality, token_counts, toxicity
+from . import bpe, decontaminate, language, line_dedup, near_dedup, quality, token_counts, toxicity
 from .common import table
 
 #: Paths of public vocabularies; every executor has them.
@@ -45,6 +45,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "held_out", "text"), names, matrix)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"), k=2)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op5_near_dedup": op5_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op10_token_counts": op10_token_counts,
