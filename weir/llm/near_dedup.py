@@ -3,8 +3,10 @@
 1. Each text becomes the set of its distinct word shingles (64-bit hashes), a fingerprint of that set and a signature of
    ``BANDS * ROWS`` minimum hashes. Texts of equal sets form a class; its smallest id stands for it from there on.
 2. Signatures are cut into bands. Two classes with a band in common are candidates. Not all pairs of such a bucket are made:
-   each member is paired with the smallest and the greatest of the bucket first, and only what these links leave unconnected
-   within a bucket is paired member by member. Pairs whose sizes alone rule out the similarity are left out.
+   each member is paired with the smallest and the greatest of the bucket first, then with hubs among what these links leave
+   unconnected, and only what is still unconnected around a hub is compared member by member, in blocks. Pairs whose sizes, or shingles
+   that no other candidate has, rule out the similarity are left out. So are those that differ from a hub in too much of their own: for
+   sets x, y and any hub h, the symmetric difference of x and y has |x^h| + |y^h| - 2 |x^h & y^h| elements.
 3. A pair's signatures are compared a batch of hashes at a time. After n hashes with m equal ones the posterior probability
    (uniform prior) that the similarity reaches the threshold is P(Binomial(n + 1, threshold) <= m); where it falls below
    ``MISS``, the pair is dropped. The rest is verified exactly on the words of the whole texts.
@@ -35,8 +37,9 @@ from .components import components
 
 BANDS, ROWS = 40, 5
 #: Hashes compared at a time, and the probability with which a true pair may be dropped at each step.
-BATCH, MISS = 25, 1e-7
-_MASK = (1 << 64) - 1
+BATCH, MISS = 25, 1e-6
+#: Members of a block.
+BLOCK = 128
 
 
 class WordHashes(dict):
@@ -147,11 +150,11 @@ def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets, from the whole texts, have 100 * intersection >= percent * union."""
+    """a, b and common (size of the intersection) for the pairs whose sets, from the whole texts, have 100 * intersection >= percent * union."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     texts = written(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), "texts")
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    schema = T.StructType([joined.schema["a"], joined.schema["b"]])
+    schema = T.StructType([joined.schema["a"], joined.schema["b"], T.StructField("common", T.LongType())])
 
     def shingles(text: str) -> set[tuple[bytes, ...]]:
         w = words_of(text)
@@ -160,7 +163,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, right = None, set()
         for b in slices(batches):
-            keep = []
+            keep, common = [], []
             for i, (y, ta, tb) in enumerate(zip(b.column(1).to_pylist(), texts_of(b.column(2)), texts_of(b.column(3)))):
                 if (y, tb) != at:  # a bucket's leader often comes many times in a row
                     at, right = (y, tb), shingles(tb)
@@ -168,11 +171,108 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 both = len(left & right)
                 if both and 100 * both >= percent * (len(left) + len(right) - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=to_arrow_schema(schema)).take(pa.array(keep, pa.int64()))
+                    common.append(both)
+            at_rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at_rows), b.column(1).take(at_rows), pa.array(common, pa.int64())], schema=to_arrow_schema(schema))
 
     return joined.mapInArrow(run, schema).distinct()
 
 
+def _unconnected(members: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """bucket, rep, n, c (component so far) and u, for the buckets of three or more members that hold more than one component; the sets of all these.
+
+    u counts the shingles of ``rep`` that none of these members outside its component has. They are in no intersection that
+    could still connect it, so a pair has at most the smaller n - u in common, and members with too many are left out.
+    """
+    labels = components(links)
+    labelled = members.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    labelled = written(labelled, "labelled")
+    mixed = written(labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2").select("bucket"), "mixed")
+    rest = written(labelled.join(mixed, "bucket"), "rest")
+    nodes = written(rest.select("rep", "n", "c").distinct(), "nodes")
+    texts = docs.join(nodes, F.col("doc_id") == F.col("rep")).select("rep", "c", "text")
+    schema = T.StructType([texts.schema["rep"], texts.schema["c"], T.StructField("h", T.ArrayType(T.LongType()))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in slices(batches):
+            sets = [shingle_hashes(words_of(t), k, known).view(np.int64) for t in texts_of(b.column(2))]
+            yield with_columns(b, arrow, {"h": pa.array(sets, pa.list_(pa.int64())).cast(arrow.field("h").type)})
+
+    sets = written(texts.mapInArrow(run, schema), "sets")
+    shingles = sets.select("rep", "c", F.explode("h").alias("h"))
+    alone = shingles.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 = c1").select("h")
+    own = shingles.join(alone, "h", "left_semi").groupBy("rep").agg(F.count("*").alias("u"))
+    open_nodes = nodes.join(own, "rep", "left").select("rep", F.coalesce("u", F.lit(0)).alias("u"), "n").where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")).select("rep", "u")
+    return written(rest.join(written(open_nodes, "open"), "rep"), "left"), sets.select("rep", "h")
+
+
+def _in_blocks(left: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components around each hub, found in blocks of at most about ``2 * BLOCK`` members.
+
+    Of the members around a hub, those outside its most frequent component are dealt to blocks, and so are all; each block of
+    the former meets each block of all. No pair is made outside a block, and a block returns no more links than it has members.
+    """
+    counts = left.groupBy("hub", "c").agg(F.count("*").alias("m")).groupBy("hub").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.max("m").alias("most"), F.sum("m").alias("size"))
+    counts = written(counts.where("most < size").select("hub", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("size") / BLOCK).cast("int").alias("all")), "blocks")
+    rows = left.join(counts, "hub")
+
+    def deal(side: int, mine: str, others: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("rep"), F.col(mine)).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        out = rows.where(F.col("c") != F.col("main")) if side == 0 else rows
+        return out.select("hub", (own if side == 0 else other).alias("i"), (other if side == 0 else own).alias("j"), F.lit(side).alias("side"), "rep", "n", "u", "delta", "c")
+
+    dealt = deal(0, "few", "all").union(deal(1, "all", "few"))
+    full = dealt.join(sets, "rep").join(reps.select("rep", "n", "sig"), ["rep", "n"])
+    bounds = least_matches(percent / 100)
+    schema = T.StructType([T.StructField("a", left.schema["rep"].dataType), T.StructField("b", left.schema["rep"].dataType)])
+    arrow = to_arrow_schema(schema)
+
+    def run(t: pa.Table) -> pa.Table:
+        rep, n, u, delta, side = (t.column(x).to_numpy() for x in ("rep", "n", "u", "delta", "side"))
+        sig = np.stack([np.frombuffer(x, np.uint32) for x in t.column("sig").to_pylist()])
+        h = t.column("h").combine_chunks()
+        flat, ends = h.flatten().to_numpy(), np.cumsum(np.append(0, h.value_lengths().to_numpy()))
+        root = {c: c for c in t.column("c").to_pylist()}
+        comp = t.column("c").to_pylist()
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        made: dict[int, set[int]] = {}
+
+        def shingles(i: int) -> set[int]:
+            if i not in made:
+                made[i] = set(flat[ends[i] : ends[i + 1]].tolist())
+            return made[i]
+
+        right = np.flatnonzero(side == 1)
+        links = []
+        for i in np.flatnonzero(side == 0):
+            both, shared = n[i] + n[right], np.minimum(n[i] - u[i], n[right] - u[right])
+            differ = delta[i] + delta[right] - 2 * np.minimum(delta[i] - u[i], delta[right] - u[right])
+            alive = right[(100 * shared >= percent * (both - shared)) & ((100 + percent) * differ <= (100 - percent) * both)]
+            matches, done = np.zeros(len(alive), dtype=np.int64), 0
+            for size, least in bounds:
+                matches += (sig[alive, done:size] == sig[i, done:size]).sum(axis=1)
+                keep = matches >= least
+                alive, matches, done = alive[keep], matches[keep], size
+            for j in alive.tolist():
+                x, y = find(comp[i]), find(comp[j])
+                if x != y:
+                    common = len(shingles(i) & shingles(j))
+                    if 100 * common >= percent * (n[i] + n[j] - common):
+                        root[x] = y
+                        links.append((max(rep[i], rep[j]), min(rep[i], rep[j])))
+        return pa.Table.from_arrays([pa.array([p[k] for p in links], arrow.field(k).type) for k in (0, 1)], schema=arrow)
+
+    return full.groupBy("hub", "i", "j").applyInArrow(run, schema).distinct()
+
+
 def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles (long), component_id (the smallest id reachable) and kept (doc_id = component_id), a row for each row of ``df``."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -189,20 +289,26 @@ def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
     led = members.select(F.col("rep").alias("a"), "n", F.explode(F.array("low", "high")).alias("lead")).where(F.col("a") != F.col("lead.rep"))
-    tried = written(led.where(possible("n", "lead.n")).select(F.col("a"), F.col("lead.rep").alias("b")).distinct(), "tried")
+    tried = written(led.where(possible("n", "lead.n")).select(F.greatest("a", "lead.rep").alias("a"), F.least("a", "lead.rep").alias("b")).distinct(), "tried")
     links = written(_verified(written(_plausible(tried, reps, percent / 100), "plausible"), docs, k, percent), "links")
 
+    # what the leaders leave unconnected: first each member with the hub of its bucket, then the rest member by member
+    left, sets = _unconnected(members, links, docs, k, percent)
+    hub = left.groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "rep", "n")).alias("hub"))
+    left = written(left.join(hub, "bucket").select("bucket", "rep", "n", "u", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "left")
+    spokes = left.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    spokes = written(_verified(spokes, docs, k, 0), "spokes")
+    sizes = left.select("rep", "n").distinct()
+    near = spokes.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
+    links = links.select("a", "b").union(written(near.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links"))
     labels = components(links)
-    labelled = members.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    labelled = written(labelled, "labelled")
-    mixed = written(labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2").select("bucket"), "mixed")
-    rest = labelled.join(mixed, "bucket")
-    rest = written(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & possible("x.n", "y.n")).select(F.col("x.rep").alias("p"), F.col("y.rep").alias("q")).distinct()
-    cross = cross.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
-    more = written(_verified(written(_plausible(cross, reps, percent / 100), "plausible2"), docs, k, percent), "links2")
-    final = components(links.union(more))
+    delta = F.when(F.col("rep") == F.col("hub"), 0).otherwise(F.col("n") + F.col("hub_n") - 2 * F.coalesce("common", F.lit(0)))
+    left = left.join(spokes.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "common"), ["rep", "hub"], "left").withColumn("delta", delta)
+    left = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", "n", "u", "delta", F.coalesce("component", "rep").alias("c")).distinct()
+    left = written(left, "left")
+    found = written(_in_blocks(left, sets, reps, percent), "found")
+    links = links.union(written(_verified(found, docs, k, percent).select("a", "b"), "links"))
+    final = components(links)
 
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("component", "rep").alias("component_id"))
     named = written(named, "named")
