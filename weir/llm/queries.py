@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, line_dedup, near_dedup, pii, quality, token_counts, toxicity
+from . import bpe, decontaminate, html_text, language, line_dedup, near_dedup, pii, quality, token_counts, toxicity
 from .common import table
 
 #: Paths of public vocabularies; every executor has them.
@@ -67,6 +67,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE_SQL}
