@@ -18,14 +18,13 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 CATEGORIES = ["low_quality", "toxic"]
 
 
-def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain | None:
-    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, CATEGORIES)
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain | None:
+    return toxicity.fit(docs, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), CATEGORIES)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = toxicity.score(docs, toxicity_chain(spark, sf_dir), CATEGORIES, drop_text=True)
+    out = toxicity.score(docs, toxicity_chain(docs, table(spark, sf_dir, "labels")), CATEGORIES, drop_text=True)
     return out.select("doc_id", F.col("p_low_quality"), F.col("p_toxic"), F.col("is_toxic").alias("toxic"))
 
 
