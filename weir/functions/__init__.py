@@ -1 +1 @@
-"""See the modules."""
+"""Column functions over headers, request and response bodies."""

@@ -1 +1 @@
-"""See the modules."""
+"""DataFrame operators over spans, traces, exchanges and metric rollups."""

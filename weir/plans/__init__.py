@@ -1 +1 @@
-"""See the modules."""
+"""Registered queries and their SQL counterparts."""

@@ -1,0 +1,6 @@
+"""Queries over request and response bodies."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import agents, bodies, traffic
+
+QUERIES = traffic.QUERIES | agents.QUERIES | bodies.QUERIES
+ORACLE_SQL: dict[str, str] = traffic.ORACLE_SQL | agents.ORACLE_SQL | bodies.ORACLE_SQL
