@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW = 13
-#: About 30 MB of words; a larger benchmark is joined by shuffling.
-MAX_BROADCAST_WORDS = 1_000_000
+#: About 3 MB of words; a larger benchmark is joined by shuffling.
+MAX_BROADCAST_WORDS = 100_000
 #: Fixed values.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,7 +31,7 @@ def words_of(text: str | Column) -> Column:
 
 
 def _keys(docs_words: DataFrame, items: DataFrame, small: bool) -> DataFrame:
-    """key, item_id, at (the key's position in the item), words (of the item), size (of its windows), starts (of the windows whose key this is)."""
+    """Rows of key, item_id, at (the key's position in the item), words (of the item), size (of its windows), starts (of the windows whose key this is)."""
     hint = F.broadcast if small else lambda x: x
     vocabulary = items.select(F.explode("words").alias("word")).distinct()
     counts = docs_words.select(F.explode(F.array_distinct("words")).alias("word")).join(hint(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
@@ -52,22 +52,26 @@ def find(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str
     small = (items.agg(F.sum(F.size("words"))).first()[0] or 0) <= MAX_BROADCAST_WORDS
     own = df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), words_of(text).alias("words"))
     keys = _keys(own.select("words"), items, small)
-    placed = own.select("_id", "_th", "words", F.posexplode("words").alias("pos", "word"))
     if small:
-        have, lead = F.col("d.words"), F.lit(0)
-        near = placed.alias("d").join(F.broadcast(keys).alias("k"), F.col("d.word") == F.col("k.key"))
+        # a key's place with the words that a window over it can reach; never a row for each word, nor a text in more than one row
+        known = [r[0] for r in keys.select("key").distinct().collect()]
+        reach = WINDOW - 1
+        places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: F.get("words", k).isin(known))
+        around = F.transform(places, lambda k: F.struct(k.alias("pos"), F.least(k, F.lit(reach)).alias("lead"), F.get("words", k).alias("word"), F.slice("words", F.greatest(k - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("have")))
+        near = own.where(F.size("words") > 0).select("_id", "_th", F.explode(around).alias("d")).select("_id", "_th", "d.*")
+        near = near.join(F.broadcast(keys), F.col("word") == F.col("key")).drop("word", "key")
     else:
-        have, lead = F.col("d.around"), F.greatest(F.col("d.pos") - (WINDOW - 1), F.lit(0))
-        around = placed.select("_id", "_th", "pos", "word", F.slice("words", F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0)) + 1, 2 * WINDOW - 1).alias("around"))
-        near = around.alias("d").join(keys.alias("k"), F.col("d.word") == F.col("k.key"))
-    shift = F.col("d.pos") - F.col("k.at")
+        # the words are joined alone, and the texts with what that leaves
+        placed = own.select(F.col("_id"), F.col("_th"), F.posexplode("words").alias("pos", "word")).join(keys, F.col("word") == F.col("key"))
+        placed = placed.groupBy("_id", "_th").agg(F.collect_set(F.struct("pos", F.col("pos").alias("lead"), "item_id", "at", F.col("words").alias("item_words"), "size", "starts")).alias("d")).alias("p")
+        near = own.alias("o").join(placed, F.col("o._id").eqNullSafe(F.col("p._id")) & (F.col("o._th") == F.col("p._th"))).select("o._id", "o._th", F.col("o.words").alias("have"), F.explode("p.d").alias("d")).select("_id", "_th", "have", "d.*").withColumnRenamed("item_words", "words")
 
     def matches(s: Column) -> Column:
-        first = shift + s - lead
-        within = (first >= 0) & (first + F.col("k.size") <= F.size(have))
-        return F.when(within, F.slice(have, F.greatest(first, F.lit(0)) + 1, F.col("k.size")) == F.slice("k.words", s + 1, F.col("k.size"))).otherwise(False)
+        first = F.col("lead") - F.col("at") + s
+        within = (first >= 0) & (first + F.col("size") <= F.size("have"))
+        return F.when(within, F.slice("have", F.greatest(first, F.lit(0)) + 1, F.col("size")) == F.slice("words", s + 1, F.col("size"))).otherwise(False)
 
-    found = near.select("d._id", "d._th", "k.item_id", "k.size", F.transform(F.filter("k.starts", matches), lambda s: s + shift).alias("starts")).where(F.size("starts") > 0)
+    found = near.select("_id", "_th", "item_id", "size", F.transform(F.filter("starts", matches), lambda s: s + F.col("pos") - F.col("at")).alias("starts")).where(F.size("starts") > 0)
     hits = found.groupBy("_id", "_th").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1))))))).alias("n_hit"),
         F.array_sort(F.collect_set("item_id")).alias("items"),
