@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -128,9 +128,11 @@ def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose signatures leave a similarity of ``threshold`` possible."""
+    """The pairs (a, b) whose sizes and signatures leave a similarity of ``threshold`` possible."""
     bounds = least_matches(threshold)
-    joined = pairs.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+    left, right = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
+    sizes = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6
+    joined = pairs.join(left, "a").join(right, "b").where(sizes).select("a", "b", "sa", "sb")
     schema = T.StructType([joined.schema["a"], joined.schema["b"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,18 +180,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return joined.mapInArrow(run, schema).distinct()
 
 
-def _unconnected(members: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _unconnected(members: DataFrame, reps: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """bucket, rep, n, c (component so far) and u, for the buckets of three or more members that hold more than one component; the sets of all these.
 
     u counts the shingles of ``rep`` that none of these members outside its component has. They are in no intersection that
     could still connect it, so a pair has at most the smaller n - u in common, and members with too many are left out.
     """
     labels = components(links)
-    labelled = members.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    labelled = members.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
     labelled = written(labelled, "labelled")
     mixed = written(labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2").select("bucket"), "mixed")
     rest = written(labelled.join(mixed, "bucket"), "rest")
-    nodes = written(rest.select("rep", "n", "c").distinct(), "nodes")
+    nodes = written(rest.select("rep", "c").distinct().join(reps.select("rep", "n"), "rep"), "nodes")
     texts = docs.join(nodes, F.col("doc_id") == F.col("rep")).select("rep", "c", "text")
     schema = T.StructType([texts.schema["rep"], texts.schema["c"], T.StructField("h", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
@@ -204,7 +206,7 @@ def _unconnected(members: DataFrame, links: DataFrame, docs: DataFrame, k: int,
     shingles = sets.select("rep", "c", F.explode("h").alias("h"))
     alone = shingles.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 = c1").select("h")
     own = shingles.join(alone, "h", "left_semi").groupBy("rep").agg(F.count("*").alias("u"))
-    open_nodes = nodes.join(own, "rep", "left").select("rep", F.coalesce("u", F.lit(0)).alias("u"), "n").where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")).select("rep", "u")
+    open_nodes = nodes.join(own, "rep", "left").select("rep", F.coalesce("u", F.lit(0)).alias("u"), "n").where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")).select("rep", "n", "u")
     return written(rest.join(written(open_nodes, "open"), "rep"), "left"), sets.select("rep", "h")
 
 
@@ -281,19 +283,16 @@ def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
     reps = all_rows.join(classes.where("rep is not null"), "set").where("doc_id = rep").select("rep", "set", "n", "sig").dropDuplicates(["rep", "set"])
     reps = written(reps.select("rep", "n", "sig"), "reps")
 
-    bands = reps.select("rep", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.substring("sig", j * (4 * ROWS) + 1, F.lit(4 * ROWS)))).alias("band", "part")).select("rep", "n", F.xxhash64("band", "part").alias("bucket"))
-    ends = bands.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high")).where("low.rep <> high.rep")
+    bands = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.substring("sig", j * (4 * ROWS) + 1, F.lit(4 * ROWS)))).alias("band", "part")).select("rep", F.xxhash64("band", "part").alias("bucket"))
+    # written first, so that both sides of the join are dealt anew and Spark can split a large bucket
+    ends = written(bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high"), "ends")
     members = written(bands.join(ends, "bucket"), "members")
-
-    def possible(n: str, m: str) -> Column:
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-    led = members.select(F.col("rep").alias("a"), "n", F.explode(F.array("low", "high")).alias("lead")).where(F.col("a") != F.col("lead.rep"))
-    tried = written(led.where(possible("n", "lead.n")).select(F.greatest("a", "lead.rep").alias("a"), F.least("a", "lead.rep").alias("b")).distinct(), "tried")
+    led = members.select("rep", F.explode(F.array("low", "high")).alias("lead")).where("rep <> lead")
+    tried = written(led.select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct(), "tried")
     links = written(_verified(written(_plausible(tried, reps, percent / 100), "plausible"), docs, k, percent), "links")
 
     # what the leaders leave unconnected: first each member with the hub of its bucket, then the rest member by member
-    left, sets = _unconnected(members, links, docs, k, percent)
+    left, sets = _unconnected(members, reps, links, docs, k, percent)
     hub = left.groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "rep", "n")).alias("hub"))
     left = written(left.join(hub, "bucket").select("bucket", "rep", "n", "u", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "left")
     spokes = left.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
