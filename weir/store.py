@@ -29,13 +29,17 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, table: str, rows: DataFrame, mode: str = "append") -> None:
-        """Appends by name. Rows of a day are brought together first, so that a day has few files."""
+    def write(self, table: str, rows: DataFrame, batch: int | None = None) -> None:
+        """Appends by name. Rows of a day are brought together first, so that a day has few files. Rows of a numbered batch replace those of that batch."""
         time = TABLES[table]
         rows = rows.withColumn("day", F.floor(F.col(time) / DAY_US))
         keys = ["granularity", "day"] if "granularity" in rows.columns else ["day"]
         # REBALANCE lets Spark split a day that is too large for one file
-        rows.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(self.path(table))
+        writer = rows.withColumn("batch", F.lit(batch).cast("long")).hint("rebalance", *keys).write
+        if batch is None:
+            writer.mode("append").partitionBy("batch", *keys).parquet(self.path(table))
+        else:
+            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *keys).parquet(self.path(table))
 
     def read(self, table: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
         rows = self.spark.read.parquet(self.path(table))
