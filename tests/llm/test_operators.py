@@ -325,3 +325,19 @@ def test_digests_follow_the_contract(spark):
         ids = ref.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name", ["op3_quality", "op5_near_dedup", "op7_line_dedup", "op8_decontaminate"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from weir.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf_dir)
+    names = ", ".join(sorted(got.columns))
+    want = con.execute(f"SELECT {names} FROM ({queries.ORACLE_SQL[name]}) ORDER BY doc_id").fetchall()
+    assert sorted((tuple(r[c] for c in sorted(got.columns)) for r in got.collect()), key=str) == sorted(want, key=str)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_text, language, line_dedup, near_dedup, pii, quality, token_counts, toxicity
 from .common import table
+from .sql import ORACLE_SQL
 
 #: Paths of public vocabularies; every executor has them.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,4 +87,5 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE_SQL}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
