@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from weir.functions import agents, json_paths, trajectory, wire
+from weir.functions import agents, json_paths, messages, trajectory, wire
 from weir.operators import exchanges, listing, metrics, predicates, proxy, turns
 from weir.sources import packets
 from weir.store import Store, merged_metadata, retained
@@ -154,3 +154,21 @@ def test_pcap_to_streams(spark, tmp_path):
     got = {r.sport: bytes(r.data) for r in packets.streams(packets.segments(own)).collect()}
     assert got == {4000: b"GET /abcHTTP", 80: b"200"}
     assert packets.between(own, ("10.0.0.2", 80), ("10.0.0.1", 4000)).count() == 6
+
+
+def test_user_and_answer_texts(spark):
+    def asked(api, body):
+        return one(spark, messages.user_text(F.lit(api), F.lit(body)))
+
+    assert asked("anthropic", '{"messages": [{"role": "user", "content": [{"type": "tool_result", "content": "x"}]}]}') is None
+    assert asked("anthropic", '{"messages": [{"role": "user", "content": [{"type": "text", "text": "<system-reminder>r</system-reminder>"}, {"type": "text", "text": "go"}]}, {"role": "system", "content": "s"}]}') == "go"
+    assert asked("openai-chat", '{"messages": [{"role": "user", "content": "a"}, {"role": "tool", "content": "b"}]}') is None
+    assert asked("openai-responses", '{"input": " hello "}') == "hello"
+    assert asked("openai-responses", '{"input": [{"type": "message", "role": "user", "content": [{"type": "input_text", "text": "q"}]}]}') == "q"
+    assert asked("openai-responses", '{"input": [{"type": "function_call_output", "output": "x"}]}') is None
+    assert asked("gemini-aistudio", '{"contents": [{"role": "user", "parts": [{"text": "a"}, {"text": "b"}]}]}') == "a\nb"
+    said = lambda api, body: one(spark, messages.answer_text(F.lit(api), F.lit(body)))
+    assert said("anthropic", '{"content": [{"type": "thinking"}, {"type": "text", "text": "yes"}]}') == "yes"
+    assert said("openai-chat", '{"choices": [{"message": {"content": "ok"}}]}') == "ok"
+    assert said("openai-responses", '{"output": [{"type": "reasoning"}, {"type": "message", "content": [{"type": "output_text", "text": "ok"}]}]}') == "ok"
+    assert said("gemini-aistudio", '{"candidates": [{"content": {"parts": [{"text": "o"}, {"text": "k"}]}}]}') == "ok"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .json_paths import header
+from .json_paths import header, stripped
 
 #: Tool names that hand work to another agent, and that run commands.
 DISPATCH = ("Task", "task", "dispatch_agent", "spawn_agent", "delegate_task", "Agent")
@@ -51,7 +51,7 @@ def canonical_tool_id(raw: Column) -> Column:
 
 
 def without_reminders(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)<system-reminder>.*?(</system-reminder>|$)", ""))
+    return stripped(F.regexp_replace(text, r"(?s)<system-reminder>.*?(</system-reminder>|$)", ""))
 
 
 def fnv1a(text: Column) -> Column:

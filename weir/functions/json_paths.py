@@ -15,6 +15,11 @@ def number(body: Column, *paths: str) -> Column:
     return F.coalesce(*(F.get_json_object(body, p).try_cast("long") for p in paths))
 
 
+def stripped(value: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def strings(value: Column) -> Column:
     """A JSON list of texts; empty if malformed."""
     return F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>"))
@@ -32,4 +37,4 @@ def render(data: Column) -> Column:
 
 def blocks_text(blocks: Column) -> Column:
     """The text blocks of a content list, a line each, trimmed."""
-    return F.trim(F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n"))
+    return stripped(F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n"))

@@ -162,3 +162,19 @@ def active_calls(spans: DataFrame, chunk_us: int = 3_600_000_000) -> DataFrame:
     lowest = F.least(F.lit(0), F.coalesce("lowest", F.lit(0)), F.col("offset") + F.col("low"))
     active = (F.col("offset") + F.col("s") - lowest).cast("long")
     return both.groupBy("source_id", (F.col("ts_us") - F.col("ts_us") % 60_000_000).alias("window_us")).agg(F.max(active).alias("active_calls_max"))
+
+
+def rates(rows: DataFrame, seconds: int) -> DataFrame:
+    """Rates that follow from counters: calls and tokens a second, shares of errors, of too many requests and of tokens read from a cache."""
+
+    def share(part: str, whole: str) -> Column:
+        return F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
+
+    return rows.withColumns({
+        "call_rate": F.col("call_count") / seconds,
+        "token_rate": (F.col("input_tokens_sum") + F.col("output_tokens_sum")) / seconds,
+        "error_rate": share("error_count", "call_count"),
+        "success_rate": F.when(F.col("call_count") > 0, 1 - F.col("error_count") / F.col("call_count")),
+        "throttled_rate": share("error_429_count", "call_count"),
+        "cache_hit_rate": share("cache_read_tokens_sum", "input_tokens_sum"),
+    })

@@ -50,3 +50,20 @@ def latency(members: DataFrame) -> DataFrame:
     outer = F.max(F.when(F.col("role") == "proxy_in", F.col("duration_us")))
     inner = F.max(F.when(F.col("role") == "proxy_out", F.col("duration_us")))
     return members.groupBy("pair_id").agg((outer / 1000.0).alias("client_ms"), (inner / 1000.0).alias("upstream_ms"), ((outer - inner) / 1000.0).alias("overhead_ms"))
+
+
+def view(members: DataFrame, spans: DataFrame) -> DataFrame:
+    """The legs of each group with their first calls: outermost first, then by id.
+
+    ``members``: turn_id, pair_id, role, first_span; ``spans``: id and what is shown of a call.
+    """
+    rank = F.when(F.col("role") == "proxy_in", 0).when(F.col("role") == "mirror_primary", 1).when(F.col("role") == "proxy_out", 2).otherwise(3)
+    order = Window.partitionBy("pair_id").orderBy(rank, "turn_id")
+    return members.join(spans, F.col("first_span") == F.col("id")).withColumn("position", F.row_number().over(order)).drop("first_span")
+
+
+def model_rewrites(members: DataFrame) -> DataFrame:
+    """Groups whose legs ask for different models: what the client asked for and what was asked upstream."""
+    client = F.max(F.when(F.col("role") == "proxy_in", F.col("model")))
+    upstream = F.max(F.when(F.col("role") == "proxy_out", F.col("model")))
+    return members.groupBy("pair_id").agg(client.alias("client_model"), upstream.alias("upstream_model")).where("client_model <> upstream_model")

@@ -154,3 +154,29 @@ def header_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
         return orders.select(F.col("o_orderkey").alias("pair_id"), F.lit(k).alias("leg"), F.concat(F.array(*own), via).alias("headers"))
 
     return proxy.header_diff(leg(0).union(leg(1)))
+
+
+_LEGS = """legs AS (SELECT r.turn_id, r.pair_id, r.role, concat('m', CAST((content + CASE WHEN role = 'proxy_out' AND content % 2 = 0 THEN 1 ELSE 0 END) % 5 AS VARCHAR)) AS model, CAST(content AS VARCHAR) AS first_span FROM r JOIN seen ON r.turn_id = seen.turn_id)"""
+
+
+def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seen(spark, sf_dir)
+    out = proxy.groups(rows, ["content"]).join(rows.select("turn_id", "content"), "turn_id")
+    shift = F.when((F.col("role") == "proxy_out") & (F.col("content") % 2 == 0), 1).otherwise(0)
+    return out.select("turn_id", "pair_id", "role", F.concat(F.lit("m"), ((F.col("content") + shift) % 5).cast("string")).alias("model"), F.col("content").cast("string").alias("first_span"))
+
+
+@query(f"WITH {_GROUPS}, {_LEGS} SELECT pair_id, max(CASE WHEN role = 'proxy_in' THEN model END) AS client_model, max(CASE WHEN role = 'proxy_out' THEN model END) AS upstream_model FROM legs GROUP BY 1 HAVING client_model <> upstream_model")
+def model_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proxy.model_rewrites(_legs(spark, sf_dir))
+
+
+@query(f"WITH {_GROUPS}, {_LEGS}, {bridge.SPANS_SQL} SELECT turn_id, pair_id, role, legs.model AS model, spans.id AS id, spans.server_ip AS server_ip, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY CASE role WHEN 'proxy_in' THEN 0 WHEN 'mirror_primary' THEN 1 WHEN 'proxy_out' THEN 2 ELSE 3 END, turn_id) AS INT) AS position FROM legs JOIN spans ON first_span = spans.id")
+def proxy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proxy.view(_legs(spark, sf_dir), bridge.spans(spark, sf_dir).select("id", "server_ip"))
+
+
+@query(f"WITH {bridge.SPANS_SQL} SELECT CAST(user_id AS VARCHAR) || '/' || CAST(event_id AS VARCHAR) AS turn_id FROM events WHERE CAST(event_id AS VARCHAR) IN (SELECT id FROM spans WHERE server_port IN (8001, 8002))")
+def traces_by_port(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bridge.read(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("turn_id"), F.array(F.col("event_id").cast("string")).alias("span_ids"))
+    return turns.with_first_span_port(rows, bridge.spans(spark, sf_dir), [8001, 8002]).select("turn_id")

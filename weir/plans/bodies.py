@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import agents, json_paths, trajectory, wire
+from ..functions import agents, json_paths, messages, trajectory, wire
 from ..sources import bridge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,15 @@ def header_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     headers = F.when(n % 2 == 0, F.array(F.struct(F.lit("SERVER").alias("name"), F.col("props").alias("value")), F.struct(F.lit("server").alias("name"), F.lit("second").alias("value")))).otherwise(F.array(F.struct(F.lit("Host").alias("name"), F.col("props").alias("value"))))
     return bridge.read(spark, sf_dir, "events").select("event_id", json_paths.header(headers, "Server").alias("agent"))
+
+
+@query("""SELECT conv_id, turn, nullif(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '') AS asked, role = 'user' AND nullif(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '') IS NOT NULL AS starts FROM conversations WHERE role = 'user'
+UNION ALL SELECT conv_id, turn, NULL, false FROM conversations WHERE role <> 'user'""")
+def user_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bridge.read(spark, sf_dir, "conversations")
+    content = F.coalesce("text", F.lit(""))
+    part = F.array(F.struct(F.lit("text").alias("type"), content.alias("text")))
+    plain = F.to_json(F.struct(F.array(F.struct("role", content.alias("content"))).alias("messages")))
+    listed = F.to_json(F.struct(F.array(F.struct("role", part.alias("content"))).alias("messages")))
+    own = rows.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "anthropic").otherwise("openai-chat").alias("wire_api"), F.when(F.col("conv_id") % 2 == 0, plain).otherwise(listed).alias("body"))
+    return own.select("conv_id", "turn", messages.user_text(F.col("wire_api"), F.col("body")).alias("asked"), messages.is_user_turn_start(F.col("wire_api"), F.col("body")).alias("starts"))

@@ -203,3 +203,11 @@ def service_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("id").cast("long")
     linked = spans.withColumn("client_ip", F.when(number % 4 == 0, F.concat(F.lit("10.0.0."), (number % 5).cast("string"))).otherwise(F.col("client_ip")))
     return services.edges(linked, nodes)
+
+
+@query(f"WITH {_ALL}, c AS (SELECT model, request_us - request_us % 3600000000 AS window_us, count(*) AS n, count(*) FILTER (status_code >= 400) AS e, count(*) FILTER (status_code = 429) AS t, coalesce(sum(input_tokens), 0) AS i, coalesce(sum(output_tokens), 0) AS o, coalesce(sum(cache_read_input_tokens), 0) AS r FROM spans GROUP BY 1, 2) SELECT model, window_us, n / 3600.0::DOUBLE AS call_rate, (i + o) / 3600.0::DOUBLE AS token_rate, e / n::DOUBLE AS error_rate, 1 - e / n::DOUBLE AS success_rate, t / n::DOUBLE AS throttled_rate, CASE WHEN i > 0 THEN r / i::DOUBLE END AS cache_hit_rate FROM c", ("call_rate", "token_rate", "error_rate", "success_rate", "throttled_rate", "cache_hit_rate"))
+def metrics_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = bridge.spans(spark, sf_dir)
+    hourly = spans.groupBy("model", (F.col("request_us") - F.col("request_us") % 3_600_000_000).alias("window_us")).agg(*metrics.counters())
+    names = ["call_rate", "token_rate", "error_rate", "success_rate", "throttled_rate", "cache_hit_rate"]
+    return metrics.rates(hourly, 3600).select("model", "window_us", *names)
