@@ -25,6 +25,11 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
+
+    def refresh(self) -> None:
+        """Forgets which files there are, after others have written."""
+        self._tables.clear()
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -35,6 +40,7 @@ class Store:
         rows = rows.withColumn("day", F.floor(F.col(time) / DAY_US))
         keys = ["granularity", "day"] if "granularity" in rows.columns else ["day"]
         # REBALANCE lets Spark split a day that is too large for one file
+        self._tables.pop(table, None)
         writer = rows.withColumn("batch", F.lit(batch).cast("long")).hint("rebalance", *keys).write
         if batch is None:
             writer.mode("append").partitionBy("batch", *keys).parquet(self.path(table))
@@ -42,7 +48,10 @@ class Store:
             writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *keys).parquet(self.path(table))
 
     def read(self, table: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.path(table))
+        # files are listed once, not for each question
+        rows = self._tables.get(table)
+        if rows is None:
+            rows = self._tables[table] = self.spark.read.parquet(self.path(table))
         if start_us is not None:
             rows = rows.where(F.col("day") >= start_us // DAY_US)
         if end_us is not None:
