@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .predicates import ANY, GRANULARITIES, check_name, time_range
 
 DISTRIBUTIONS = ("ttft", "ttft_stream", "ttft_nonstream", "e2e", "tpot")
+PERCENTILES = (50, 95, 99)
 COUNTERS = (
     "call_count", "stream_count", "non_stream_count", "error_count", "error_4xx_count", "error_429_count", "error_5xx_count",
     "input_tokens_sum", "input_tokens_count", "output_tokens_sum", "output_tokens_count",
@@ -56,10 +57,18 @@ def distributions(exact: bool = True) -> list[Column]:
     for name in DISTRIBUTIONS:
         x = F.col(f"_{name}")
         out += [F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{name}_sum"), F.count(x).alias(f"{name}_count")]
-        out += [(F.percentile(x, p / 100) if exact else F.percentile_approx(x, p / 100, 1000)).alias(f"{name}_p{p}") for p in (50, 95, 99)]
+        points = [p / 100 for p in PERCENTILES]
+        # one buffer for all percentiles of a distribution
+        out.append((F.percentile(x, points) if exact else F.percentile_approx(x, points, 1000)).alias(f"_p_{name}"))
     return out
 
 
+def unpacked(rows: DataFrame) -> DataFrame:
+    """Each percentile as a column."""
+    names = [f"_p_{d}" for d in DISTRIBUTIONS]
+    return rows.withColumns({f"{d}_p{p}": F.get(f"_p_{d}", F.lit(k)) for d in DISTRIBUTIONS for k, p in enumerate(PERCENTILES)}).drop(*names)
+
+
 def rollup(spans: DataFrame, granularities: dict[str, int] = GRANULARITIES, exact: bool = True) -> DataFrame:
     """Rollup rows of each source, window, tier and tool surface.
 
@@ -73,7 +82,7 @@ def rollup(spans: DataFrame, granularities: dict[str, int] = GRANULARITIES, exac
     rows = own.select("request_us", "source_id", "tool_surface", *used, *(f"_{n}" for n in DISTRIBUTIONS), windows.alias("g"), F.struct("wire_api", "model", "server_ip").alias("d"))
     rows = rows.select("*", F.col("d.wire_api"), F.col("d.model"), F.col("d.server_ip")).select("request_us", "source_id", "tool_surface", "g", *used, *(f"_{n}" for n in DISTRIBUTIONS), tiers.alias("t"))
     rows = rows.select((F.col("request_us") - F.col("request_us") % F.col("g.size")).alias("window_us"), "source_id", F.col("g.granularity"), "t.wire_api", "t.model", "t.server_ip", "tool_surface", *used, *(f"_{n}" for n in DISTRIBUTIONS))
-    return rows.groupBy(*KEYS).agg(*counters(), *distributions(exact))
+    return unpacked(rows.groupBy(*KEYS).agg(*counters(), *distributions(exact)))
 
 
 def finish_rollup(spans: DataFrame, granularities: dict[str, int] = GRANULARITIES) -> DataFrame:
