@@ -84,6 +84,15 @@ def test_anthropic_stream(spark):
     assert tuple(got) == ("m1", "c", "Hello", "end_turn", 7, 5)
 
 
+def test_responses_and_gemini_streams(spark):
+    own = ['{"type": "response.created", "response": {"id": "r1", "model": "m"}}', '{"type": "response.output_item.done", "item": {"type": "message", "content": [{"text": "Hi"}]}}', '{"type": "response.completed", "response": {"id": "r1", "model": "m2", "status": "completed", "usage": {"input_tokens": 3, "output_tokens": 4}}}']
+    stream = lambda es: wire.sse_events(F.lit("".join(f"data: {e}\n\n" for e in es)))
+    assert tuple(one(spark, wire.fold_responses(stream(own)))) == ("r1", "m2", "Hi", "completed", 3, 4)
+    assert tuple(one(spark, wire.fold_responses(stream(own[:1])))) == ("r1", "m", "", None, None, None)
+    own = ['{"responseId": "g1", "modelVersion": "g", "candidates": [{"content": {"parts": [{"text": "a"}]}}], "usageMetadata": {"promptTokenCount": 1}}', '{"candidates": [{"content": {"parts": [{"functionCall": {"name": "f"}}]}, "finishReason": "STOP"}], "usageMetadata": {"promptTokenCount": 2, "candidatesTokenCount": 5}}']
+    assert tuple(one(spark, wire.fold_gemini(stream(own)))) == ("g1", "g", "a", "TOOL_USE", 2, 5)
+
+
 def test_fnv1a_and_tool_ids(spark):
     def plain(data):
         h = 0xCBF29CE484222325

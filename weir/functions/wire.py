@@ -122,6 +122,39 @@ def fold_anthropic(events: Column) -> Column:
     )
 
 
+def fold_responses(events: Column) -> Column:
+    """The same of a responses stream: what its completed event holds, else id and model from its created one; texts of finished output items joined."""
+
+    def of(kind: str) -> Column:
+        return F.get(F.transform(F.filter(events, lambda e: F.get_json_object(e["data"], "$.type") == kind), lambda e: e["data"]), 0)
+
+    done, made = of("response.completed"), of("response.created")
+    items = F.filter(events, lambda e: F.get_json_object(e["data"], "$.type") == "response.output_item.done")
+    said = F.filter(F.transform(items, lambda e: F.get_json_object(e["data"], "$.item.content[0].text")), lambda x: x.isNotNull())
+    return F.struct(
+        F.coalesce(F.get_json_object(done, "$.response.id"), F.get_json_object(made, "$.response.id")).alias("id"), F.coalesce(F.get_json_object(done, "$.response.model"), F.get_json_object(made, "$.response.model")).alias("model"),
+        F.array_join(said, "").alias("content"), F.get_json_object(done, "$.response.status").alias("finish_reason"),
+        F.get_json_object(done, "$.response.usage.input_tokens").try_cast("long").alias("input_tokens"), F.get_json_object(done, "$.response.usage.output_tokens").try_cast("long").alias("output_tokens"),
+    )
+
+
+def fold_gemini(events: Column) -> Column:
+    """The same of a generate stream: the first id and model, all texts joined, the last finish reason and counts; a call makes STOP a TOOL_USE."""
+
+    def values(path: str) -> Column:
+        return F.filter(F.transform(events, lambda e: F.get_json_object(e["data"], path)), lambda x: x.isNotNull())
+
+    def last(path: str) -> Column:
+        return F.try_element_at(values(path), F.lit(-1))
+
+    finish = last("$.candidates[0].finishReason")
+    return F.struct(
+        F.get(values("$.responseId"), 0).alias("id"), F.get(values("$.modelVersion"), 0).alias("model"), F.array_join(values("$.candidates[0].content.parts[0].text"), "").alias("content"),
+        F.when((finish == "STOP") & (F.size(values("$.candidates[0].content.parts[0].functionCall")) > 0), "TOOL_USE").otherwise(finish).alias("finish_reason"),
+        last("$.usageMetadata.promptTokenCount").try_cast("long").alias("input_tokens"), last("$.usageMetadata.candidatesTokenCount").try_cast("long").alias("output_tokens"),
+    )
+
+
 def tokens_estimated(body: Column, input_tokens: Column, output_tokens: Column) -> Column:
     """Counts are there though the body names no usage."""
     named = F.coalesce(*(F.get_json_object(body, p).try_cast("long") for p in ("$.usage.input_tokens", "$.usage.prompt_tokens", "$.usage.output_tokens", "$.usage.completion_tokens")), F.lit(0)) > 0
