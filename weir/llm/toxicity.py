@@ -47,7 +47,7 @@ class Rows:
     """Sparse rows of counts by slot, a slot once a row."""
 
     def __init__(self, slots: np.ndarray, counts: np.ndarray, sizes: list[int]) -> None:
-        self.slots, self.counts, self.row, self.n = slots, counts, np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+        self.slots, self.counts, self.row, self.n = slots, counts, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), len(sizes)
 
     def dense(self, chosen: np.ndarray) -> np.ndarray:
         column = np.full(SLOTS, -1)
@@ -141,12 +141,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
     if not got.num_rows:
         return None
     y = np.column_stack([got.column(x).to_numpy() for x in names]).astype(float)
-    per_doc = [np.unique(np.frombuffer(x, "<i4"), return_counts=True) for x in got.column("slots").to_pylist()]
-    x = Rows(np.concatenate([s for s, _ in per_doc]), np.concatenate([c for _, c in per_doc]).astype(float), [len(s) for s, _ in per_doc])
-    fold = np.arange(len(per_doc)) % folds
-    before, models, thresholds = np.zeros((len(per_doc), 0)), [], []
+    slots, counts, sizes = [], [], []
+    for packed in got.column("slots"):
+        own, n = np.unique(np.frombuffer(packed.as_buffer(), "<i4"), return_counts=True)
+        slots.append(own)
+        counts.append(n.astype(np.float32))
+        sizes.append(len(own))
+    del got
+    x = Rows(np.concatenate(slots), np.concatenate(counts), sizes)
+    del slots, counts
+    fold = np.arange(x.n) % folds
+    before, models, thresholds = np.zeros((x.n, 0)), [], []
     for k in range(len(categories)):
-        out_of_fold = np.zeros(len(per_doc))
+        out_of_fold = np.zeros(x.n)
         for f in range(folds):
             model = fit_linear(x, before, y[:, k], fold != f, max_features, l2)
             out_of_fold = np.where(fold == f, sigmoid(model.logit(x, before)), out_of_fold)
