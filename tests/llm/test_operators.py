@@ -194,6 +194,19 @@ def test_a_chain_of_copies_in_one_bucket_is_one_component(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.group(table, k=2).collect()} == {d: c for d, (_, c) in want.items()}
 
 
+def test_own_shingles_that_the_hub_has_cost_no_links(spark):
+    """A mixed bucket of 203 members: the hub is in x's component and has most of x's own shingles; only the last step can link x and y."""
+    core, p, t = [f"s{k}" for k in range(80)], [f"p{k}" for k in range(8)], [f"t{k}" for k in range(8)]
+    rows = [(0, core + p + [f"l{k}" for k in range(10)]), (500, core + p), (501, core + t)]
+    for i in range(100):
+        r = [f"r{i}_{k}" for k in range(10)]
+        rows += [(300 + i, core + p + r), (1 + i if i % 2 else 2000 + i, core + r + [f"z{i}_{k}" for k in range(20)])]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    want = _brute_components(rows, 1)
+    assert want[501][1] == 0
+    assert {r.doc_id: r.component_id for r in near_dedup.group(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()} == {d: c for d, (_, c) in want.items()}
+
+
 def test_bayesian_bounds_drop_few_true_pairs():
     for n, m in near_dedup.least_matches(0.8):
         assert 0 < m < 0.8 * n

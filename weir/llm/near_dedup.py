@@ -6,7 +6,8 @@
    each member is paired with the smallest and the greatest of the bucket first, then with hubs among what these links leave
    unconnected, and only what is still unconnected around a hub is compared member by member, in blocks. Pairs whose sizes, or shingles
    that no other candidate has, rule out the similarity are left out. So are those that differ from a hub in too much of their own: for
-   sets x, y and any hub h, the symmetric difference of x and y has |x^h| + |y^h| - 2 |x^h & y^h| elements.
+   sets x, y and any hub h, the symmetric difference of x and y has |x^h| + |y^h| - 2 |x^h & y^h| elements, and what x alone has
+   outside h is not in y^h.
 3. A pair's signatures are compared a batch of hashes at a time. After n hashes with m equal ones the posterior probability
    (uniform prior) that the similarity reaches the threshold is P(Binomial(n + 1, threshold) <= m); where it falls below
    ``MISS``, the pair is dropped. The rest is verified exactly on the words of the whole texts.
@@ -224,7 +225,7 @@ def _in_blocks(left: DataFrame, sets: DataFrame, reps: DataFrame, percent: int)
         own = F.pmod(F.xxhash64("rep"), F.col(mine)).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
         out = rows.where(F.col("c") != F.col("main")) if side == 0 else rows
-        return out.select("hub", (own if side == 0 else other).alias("i"), (other if side == 0 else own).alias("j"), F.lit(side).alias("side"), "rep", "n", "u", "delta", "c")
+        return out.select("hub", (own if side == 0 else other).alias("i"), (other if side == 0 else own).alias("j"), F.lit(side).alias("side"), "rep", "n", "u", "delta", "beyond", "c")
 
     dealt = deal(0, "few", "all").union(deal(1, "all", "few"))
     full = dealt.join(sets, "rep").join(reps.select("rep", "n", "sig"), ["rep", "n"])
@@ -233,7 +234,7 @@ def _in_blocks(left: DataFrame, sets: DataFrame, reps: DataFrame, percent: int)
     arrow = to_arrow_schema(schema)
 
     def run(t: pa.Table) -> pa.Table:
-        rep, n, u, delta, side = (t.column(x).to_numpy() for x in ("rep", "n", "u", "delta", "side"))
+        rep, n, u, delta, beyond, side = (t.column(x).to_numpy() for x in ("rep", "n", "u", "delta", "beyond", "side"))
         sig = np.stack([np.frombuffer(x, np.uint32) for x in t.column("sig").to_pylist()])
         h = t.column("h").combine_chunks()
         flat, ends = h.flatten().to_numpy(), np.cumsum(np.append(0, h.value_lengths().to_numpy()))
@@ -256,7 +257,7 @@ def _in_blocks(left: DataFrame, sets: DataFrame, reps: DataFrame, percent: int)
         links = []
         for i in np.flatnonzero(side == 0):
             both, shared = n[i] + n[right], np.minimum(n[i] - u[i], n[right] - u[right])
-            differ = delta[i] + delta[right] - 2 * np.minimum(delta[i] - u[i], delta[right] - u[right])
+            differ = delta[i] + delta[right] - 2 * np.minimum(delta[i] - beyond[i], delta[right] - beyond[right])
             alive = right[(100 * shared >= percent * (both - shared)) & ((100 + percent) * differ <= (100 - percent) * both)]
             matches, done = np.zeros(len(alive), dtype=np.int64), 0
             for size, least in bounds:
@@ -293,8 +294,8 @@ def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
 
     # what the leaders leave unconnected: first each member with the hub of its bucket, then the rest member by member
     left, sets = _unconnected(members, reps, links, docs, k, percent)
-    hub = left.groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "rep", "n")).alias("hub"))
-    left = written(left.join(hub, "bucket").select("bucket", "rep", "n", "u", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "left")
+    hub = left.groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "rep", "n", "c")).alias("hub"))
+    left = written(left.join(hub, "bucket").select("bucket", "rep", "n", "u", (F.col("c") == F.col("hub.c")).alias("kin"), F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "left")
     spokes = left.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     spokes = written(_verified(spokes, docs, k, 0), "spokes")
     sizes = left.select("rep", "n").distinct()
@@ -302,8 +303,10 @@ def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
     links = links.select("a", "b").union(written(near.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links"))
     labels = components(links)
     delta = F.when(F.col("rep") == F.col("hub"), 0).otherwise(F.col("n") + F.col("hub_n") - 2 * F.coalesce("common", F.lit(0)))
-    left = left.join(spokes.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "common"), ["rep", "hub"], "left").withColumn("delta", delta)
-    left = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", "n", "u", "delta", F.coalesce("component", "rep").alias("c")).distinct()
+    # at least so many of the u shingles are outside the hub, which has none of them unless it is in rep's first component
+    beyond = F.when(F.col("rep") == F.col("hub"), 0).when(F.col("kin"), F.greatest(F.col("u") - F.coalesce("common", F.lit(0)), F.lit(0))).otherwise(F.col("u"))
+    left = left.join(spokes.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "common"), ["rep", "hub"], "left").withColumn("delta", delta).withColumn("beyond", beyond)
+    left = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", "n", "u", "delta", "beyond", F.coalesce("component", "rep").alias("c")).distinct()
     left = written(left, "left")
     found = written(_in_blocks(left, sets, reps, percent), "found")
     links = links.union(written(_verified(found, docs, k, percent).select("a", "b"), "links"))
