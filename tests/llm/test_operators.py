@@ -320,6 +320,20 @@ def test_main_text_of_pages():
     assert len(html_text.blocks_of("<div>" * 5000 + "x" + "</b>" * 5000)) == 1
 
 
+def _main_text(page):
+    return " ".join(b[2] for b in html_text.blocks_of(page))
+
+
+def test_markup_is_read_attribute_by_attribute():
+    """Values and parts of names are no attributes of their own, and a wrapper's name or form does not put an article out."""
+    page = '<article>a <a href="/hidden-gems">b</a> <a title="The hidden cost">c</a> <a href="index.php?id=form">d</a><p data-id="ad">e</p><p data-grid="sidebar">f</p><p HIDDEN>x</p><p class = ad>x</p></article>'
+    assert _main_text(page) == "a b c d e f"
+    for wrapper in ('<div class="layout with-sidebar">', '<div class="no-sidebar">', '<div class="content-sidebar">', "<form>", "<main><div id=page-widgets>"):
+        assert _main_text(f"{wrapper}<article>text</article>") == "text"
+    assert _main_text('<div class="no-sidebar"><p>text</p></div>') == "text"
+    assert _main_text('<main><article class="post tag-share">text<article class="comment">x</article></article><aside><article>x</article></aside></main><div class="comments"><article class="comment">x</article><p>x</p></div>') == "text"
+
+
 def test_site_frames_go_and_copies_stay(spark):
     rows = [(k, "http://a.example/x", f"<body><div><p>Follow us</p></div><div><p>Story number {k} of this site</p></div></body>") for k in range(12)]
     rows += [(100, "http://b.example/", "<body><div><p>Follow us</p></div></body>"), (101, None, None), (102, "http://a.example/y", ""), (0, *rows[0][1:])]

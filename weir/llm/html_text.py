@@ -2,7 +2,8 @@
 
 A page is parsed once into blocks of text, each with its path of elements. Markup that says what it is settles most blocks:
 what stands in a menu, header, footer, sidebar, notice, advert, form, script, style or comment section goes, what else stands in
-an article or main element stays. The other blocks are settled by the tree of their site: the elements of all pages of a host are merged by path; a path's
+an article or main element stays. A class name or a form around an article or main element does not put it out; one within another,
+or within such a wrapper, is judged by its own names first. The other blocks are settled by the tree of their site: the elements of all pages of a host are merged by path; a path's
 presentation importance is the entropy of the child sequences that its pages show there, a block's content importance one
 minus the evenness with which its text is spread over the pages with that path (both with the logarithm to the base of the
 number m of these pages, so from 0 to 1; 1 if m is 1):
@@ -47,7 +48,10 @@ NAMES = re.compile(
 )
 _HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?/][^>]*+>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute, name and value; a value is taken whole, so nothing inside it is read as a name.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s<>/=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*+)))?""")
+#: Names that only say what a page has, or lacks, or is filed under.
+_ABOUT = re.compile(r"(?:^|(?<=\s))(?:with|without|no|has|tag|category)[_-]\S*", re.I)
 #: Start tags that end an open paragraph or item of the same name.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 #: Elements deeper than this are taken as children of the last one, so that nesting cannot exhaust memory.
@@ -64,27 +68,33 @@ class _Open:
 
 
 def _state(tag: str, raw: str, above: str) -> tuple[str, str]:
-    """How the text of an element is settled, 'out', 'in' (an article) or 'open', and its name in the path."""
+    """How the text of an element is settled, and its name in the path.
+
+    'out'; 'apart' (out by a class name or form only, which an article or main element within is not bound by); 'in' an article; 'main'; or 'open'.
+    """
     if above == "out":
         return "out", tag
-    names = {}
-    if raw and "=" in raw or "hidden" in raw:
-        names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
+    names: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     label = f"{names.get('class', '')} {names.get('id', '')}".strip()
     name = f"{tag}.{' '.join(sorted(label.split()))}" if label else tag
-    if tag in ARTICLE:
-        return "in", name
     if tag == "body" or tag == "html":
         return above, name
-    if tag in APART and not (tag == "header" and above == "in"):
+    role = names.get("role", "").lower()
+    if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower() or role in ROLES:
         return "out", name
-    if names:
-        if "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower() or names.get("role", "").lower() in ROLES:
-            return "out", name
-        if label and (m := NAMES.search(_HEADER.sub(" ", label) if above == "in" else label)):
+    inside = above in ("in", "main")
+    own = _ABOUT.sub(" ", label)
+    framed = NAMES.search(_HEADER.sub(" ", own) if inside else own) is not None
+    if tag in ARTICLE or role in ("main", "article"):
+        if framed and above != "open":
             return "out", name
-        if names.get("role", "").lower() in ("main", "article"):
-            return "in", name
+        return ("in" if above == "in" or tag == "article" or role == "article" else "main"), name
+    if tag in APART and tag != "form" and not (tag == "header" and inside):
+        return "out", name
+    if framed or tag == "form":
+        return ("out" if above == "in" else "apart"), name
     return above, name
 
 
@@ -111,7 +121,7 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
     while at < size:
         m = _TAG.search(source, at)
         until = m.start() if m else size
-        if until > at and stack[-1].state != "out":
+        if until > at and stack[-1].state not in ("out", "apart"):
             parts.append(source[at:until])
         if not m:
             break
