@@ -342,6 +342,15 @@ def test_site_frames_go_and_copies_stay(spark):
     assert got[3] == ("Story number 3 of this site", 27) and got[100][0] == "Follow us" and got[101] == ("", 0) and got[102] == ("", 0) and got[200][0] == "The same story"
 
 
+def test_lines_repeated_in_all_articles_of_a_site_go(spark):
+    """Blocks in articles are pruned by the tree, too; a line that half of the pages show stays, and so does all on a site of few pages."""
+    rows = []
+    for host, pages in (("a", 20), ("b", 4)):
+        rows += [(len(rows) + k, f"http://{host}.example/{k}", f"<body><article><h1>Title {k}</h1><p>Story number {k}<p>{'Half' if k % 2 else f'Rest {k}'}<p>Get our letter</article></body>") for k in range(pages)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3 Story number 3 Half" and got[4] == "Title 4 Story number 4 Rest 4" and got[21] == "Title 1 Story number 1 Half Get our letter"
+
+
 def test_digests_follow_the_contract(spark):
     from weir.llm import queries
 

@@ -1,16 +1,18 @@
 """Main text of web pages by a site style tree.
 
-A page is parsed once into blocks of text, each with its path of elements. Markup that says what it is settles most blocks:
+A page is parsed once into blocks of text, each with its path of elements. Markup that says what it is comes first:
 what stands in a menu, header, footer, sidebar, notice, advert, form, script, style or comment section goes, what else stands in
-an article or main element stays. A class name or a form around an article or main element does not put it out; one within another,
-or within such a wrapper, is judged by its own names first. The other blocks are settled by the tree of their site: the elements of all pages of a host are merged by path; a path's
+an article or main element is likely to stay. A class name or a form around an article or main element does not put it out; one within another,
+or within such a wrapper, is judged by its own names first. All blocks that markup does not put out are settled by the tree of their site: the elements of all pages of a host are merged by path; a path's
 presentation importance is the entropy of the child sequences that its pages show there, a block's content importance one
 minus the evenness with which its text is spread over the pages with that path (both with the logarithm to the base of the
 number m of these pages, so from 0 to 1; 1 if m is 1):
 
     importance = (1 - GAMMA) * presentation + GAMMA * content
 
-Blocks below ``least`` on hosts with ``min_pages`` distinct pages of that path go. Pages of equal source count once, so copies of a page
+Blocks below ``least``, or below ``LIKELY * least`` in an article, on hosts with ``min_pages`` distinct pages of that path go; on
+hosts with fewer, markup alone decides. What markup puts out does not come back by importance: comments and links to other pages
+differ from page to page, as main text does. Pages of equal source count once, so copies of a page
 don't make its text look like a frame. Statistics are grouped and joined by Spark; a page's own blocks are all a task holds.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are trimmed and joined by a blank in
@@ -34,6 +36,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import added, slices, texts_of, with_columns, written
 
 GAMMA = 0.9
+#: Share of the least importance that does for blocks in an article or main element.
+LIKELY = 0.5
 #: Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
@@ -99,7 +103,7 @@ def _state(tag: str, raw: str, above: str) -> tuple[str, str]:
 
 
 def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
-    """Path, presentation of the parent, text and whether the site decides, for each block that isn't out."""
+    """Path, presentation of the parent, text and whether it stands in no article, for each block that isn't out."""
     out: list[tuple[_Open, str, str, bool]] = []
     stack = [_Open("", "", "open")]
     parts: list[str] = []
@@ -166,8 +170,8 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
 
 
 def _parsed(df: DataFrame, source: str) -> DataFrame:
-    """``df`` without the source, with ``_page`` (fingerprint) and ``_blocks`` (path, style, h, text, site)."""
-    block = T.StructType([T.StructField("path", T.LongType()), T.StructField("style", T.LongType()), T.StructField("h", T.LongType()), T.StructField("text", T.StringType()), T.StructField("site", T.BooleanType())])
+    """``df`` without the source, with ``_page`` (fingerprint) and ``_blocks`` (path, style, h, text, free)."""
+    block = T.StructType([T.StructField("path", T.LongType()), T.StructField("style", T.LongType()), T.StructField("h", T.LongType()), T.StructField("text", T.StringType()), T.StructField("free", T.BooleanType())])
     schema = added(df.schema, ("_page", T.LongType()), ("_blocks", T.ArrayType(block)), drop=[source])
     arrow = to_arrow_schema(schema)
 
@@ -177,44 +181,42 @@ def _parsed(df: DataFrame, source: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             sources = texts_of(b.column(b.schema.get_field_index(source)))
-            made = []
-            for s in sources:
-                blocks = blocks_of(s)
-                if not any(site for *_, site in blocks):  # nothing depends on the site, so one text will do
-                    made.append([{"path": 0, "style": 0, "h": 0, "text": " ".join(x[2] for x in blocks), "site": False}] if blocks else [])
-                else:
-                    made.append([{"path": number(p), "style": number(c), "h": number(t), "text": t, "site": site} for p, c, t, site in blocks])
+            made = [[{"path": number(p), "style": number(c), "h": number(t), "text": t, "free": free} for p, c, t, free in blocks_of(s)] for s in sources]
             yield with_columns(b, arrow, {"_page": pa.array([number(s) for s in sources], pa.int64()), "_blocks": pa.array(made, arrow.field("_blocks").type)})
 
     return df.mapInArrow(run, schema)
 
 
 def low_importance(pages: DataFrame, least: float, min_pages: int) -> DataFrame:
-    """host, path, h of the blocks that frame a site's pages, from ``_host``, ``_page`` and ``_blocks``."""
-    seen = pages.select(F.col("_host").alias("host"), F.col("_page").alias("page"), F.explode(F.filter("_blocks", lambda x: x["site"])).alias("x")).select("host", "page", "x.path", "x.style", "x.h").distinct()
+    """site (fingerprint of host and path), h and importance of the blocks that frame a site's pages, from ``_host``, ``_page`` and ``_blocks``."""
+
+    def shown(name: str) -> DataFrame:
+        own = F.array_distinct(F.transform("_blocks", lambda x: F.struct(F.xxhash64("_host", x["path"]).alias("site"), x[name].alias(name))))
+        return pages.select(F.col("_page").alias("page"), F.explode(own).alias("x")).select("page", "x.site", f"x.{name}").distinct()
+
     # of each path: its pages, and the entropy of the child sequences they show
-    styles = seen.select("host", "path", "page", "style").distinct().groupBy("host", "path", "style").agg(F.count("*").alias("n"))
-    paths = styles.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    styles = shown("style").groupBy("site", "style").agg(F.count("*").alias("n"))
+    paths = styles.groupBy("site").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     presentation = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    paths = paths.select("host", "path", "m", presentation.alias("presentation"))
-    contents = seen.select("host", "path", "page", "h").distinct().groupBy("host", "path", "h").agg(F.count("*").alias("k")).where("k > 1")
-    content = 1 - F.log("k") / F.log("m")
-    both = contents.join(paths, ["host", "path"]).where((F.col("m") >= min_pages) & ((1 - GAMMA) * F.col("presentation") + GAMMA * content < least))
-    return both.select("host", "path", "h")
+    paths = paths.select("site", "m", presentation.alias("presentation"))
+    contents = shown("h").groupBy("site", "h").agg(F.count("*").alias("k")).where("k > 1")
+    importance = (1 - GAMMA) * F.col("presentation") + GAMMA * (1 - F.log("k") / F.log("m"))
+    return contents.join(paths, "site").where(F.col("m") >= min_pages).select("site", "h", importance.alias("importance")).where(F.col("importance") < least)
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", least: float = 0.3, min_pages: int = 5) -> DataFrame:
     """``df`` without the source, with text (string, '' if none) and n_chars (long)."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     parsed = written(_parsed(df.withColumn("_host", host), source), "pages")
-    some = F.exists("_blocks", lambda x: x["site"])
-    framed = parsed.where(some)
-    low = written(low_importance(framed, least, min_pages), "low")
-    keys = framed.select(F.col(page_id).alias("_id"), F.col("_host").alias("host"), F.col("_page").alias("page"), F.explode(F.filter("_blocks", lambda x: x["site"])).alias("x")).select("_id", "host", "page", "x.path", "x.h")
-    gone = keys.join(low, ["host", "path", "h"]).groupBy("_id", "page").agg(F.collect_set(F.struct("path", "h")).alias("_gone"))
-    settled = framed.alias("p").join(gone.alias("g"), F.col(f"p.{page_id}").eqNullSafe(F.col("g._id")) & (F.col("p._page") == F.col("g.page")), "left").select("p.*", "g._gone")
-    kept = F.filter("_blocks", lambda x: ~x["site"] | F.col("_gone").isNull() | ~F.array_contains("_gone", F.struct(x["path"].alias("path"), x["h"].alias("h"))))
-    whole = parsed.where(~some).withColumn("_kept", F.col("_blocks")).unionByName(settled.withColumn("_kept", kept).drop("_gone"))
+    low = written(low_importance(parsed, least, min_pages), "low")
+    own = F.transform("_blocks", lambda x: F.struct(F.xxhash64("_host", x["path"]).alias("site"), x["path"].alias("path"), x["h"].alias("h"), x["free"].alias("free")))
+    keys = parsed.select(F.col(page_id).alias("_id"), F.col("_host").alias("host"), F.col("_page").alias("page"), F.explode(own).alias("x")).select("_id", "host", "page", "x.*")
+    lost = keys.join(low, ["site", "h"]).where(F.col("importance") < F.when(F.col("free"), least).otherwise(LIKELY * least))
+    gone = written(lost.groupBy("_id", "host", "page").agg(F.collect_set(F.struct("path", "h", "free")).alias("_gone")), "gone")
+    same = F.col(f"p.{page_id}").eqNullSafe(F.col("g._id")) & (F.col("p._host") == F.col("g.host")) & (F.col("p._page") == F.col("g.page"))
+    settled = parsed.alias("p").join(gone.alias("g"), same, "left").select("p.*", "g._gone")
+    kept = F.filter("_blocks", lambda x: F.col("_gone").isNull() | ~F.array_contains("_gone", F.struct(x["path"].alias("path"), x["h"].alias("h"), x["free"].alias("free"))))
+    whole = settled.withColumn("_kept", kept)
     text = F.array_join(F.transform("_kept", lambda x: x["text"]), " ")
     rest = [c for c in df.columns if c not in (source, "text", "n_chars")]
     return whole.select(*(F.col(f"`{c}`") for c in rest), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
