@@ -334,6 +334,12 @@ def test_markup_is_read_attribute_by_attribute():
     assert _main_text('<main><article class="post tag-share">text<article class="comment">x</article></article><aside><article>x</article></aside></main><div class="comments"><article class="comment">x</article><p>x</p></div>') == "text"
 
 
+def test_end_tags_of_deep_elements_close_these_only():
+    nest = "<div>" * 400 + "deep<div class=ad>advert</div><p>more<p class=ad>advert<p>last" + "</div>" * 400
+    assert _main_text(f"<div><div class=comments>{nest}<p>comment</p></div><article>{nest}<p>text</p></article></div>") == "deep more last text"
+    assert [b[3] for b in html_text.blocks_of(f"<div><article>{nest}<p>text</p></article><p>after</p></div>")][-2:] == [False, True]
+
+
 def test_site_frames_go_and_copies_stay(spark):
     rows = [(k, "http://a.example/x", f"<body><div><p>Follow us</p></div><div><p>Story number {k} of this site</p></div></body>") for k in range(12)]
     rows += [(100, "http://b.example/", "<body><div><p>Follow us</p></div></body>"), (101, None, None), (102, "http://a.example/y", ""), (0, *rows[0][1:])]

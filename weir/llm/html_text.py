@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 import xxhash
@@ -58,7 +60,7 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s<>/=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([
 _ABOUT = re.compile(r"(?:^|(?<=\s))(?:with|without|no|has|tag|category)[_-]\S*", re.I)
 #: Start tags that end an open paragraph or item of the same name.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
-#: Elements deeper than this are taken as children of the last one, so that nesting cannot exhaust memory.
+#: Elements deeper than this keep their name and state, but no path of their own, so that nesting cannot exhaust memory.
 DEEPEST = 200
 
 
@@ -106,8 +108,18 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
     """Path, presentation of the parent, text and whether it stands in no article, for each block that isn't out."""
     out: list[tuple[_Open, str, str, bool]] = []
     stack = [_Open("", "", "open")]
+    deep: list[tuple[str, str]] = []  # name and state of the open elements below DEEPEST
+    held: Counter[str] = Counter()  # of these, by name
     parts: list[str] = []
 
+    def state_here() -> str:
+        return deep[-1][1] if deep else stack[-1].state
+
+    def leave() -> str:
+        tag = deep.pop()[0]
+        held[tag] -= 1
+        return tag
+
     def flush() -> None:
         if parts:
             text = "".join(parts)
@@ -118,14 +130,14 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
                 k = len(stack) - 1
                 while k > 0 and stack[k].tag in INLINE:
                     k -= 1
-                out.append((stack[max(k - 1, 0)], stack[k].path, text, stack[-1].state == "open"))
+                out.append((stack[max(k - 1, 0)], stack[k].path, text, state_here() == "open"))
             parts.clear()
 
     at, size = 0, len(source)
     while at < size:
         m = _TAG.search(source, at)
         until = m.start() if m else size
-        if until > at and stack[-1].state not in ("out", "apart"):
+        if until > at and state_here() not in ("out", "apart"):
             parts.append(source[at:until])
         if not m:
             break
@@ -137,9 +149,18 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
         if not inline:
             flush()
         if m[1] or m[4]:
+            if held[tag]:
+                if not inline or all(t in INLINE for t, _ in takewhile(lambda x: x[0] != tag, reversed(deep))):  # an inline end tag doesn't close blocks
+                    while leave() != tag:
+                        pass
+                continue
+            if deep and inline:
+                continue
             if any(e.tag == tag for e in stack[1:]):
                 if inline and stack[-1].tag != tag and any(e.tag not in INLINE for e in stack[next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag) :]):
                     continue  # an inline end tag doesn't close blocks
+                deep.clear()
+                held.clear()
                 while stack.pop().tag != tag:
                     pass
             continue
@@ -147,7 +168,10 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
         if tag in VOID:
             stack[-1].children.append(tag)
             continue
-        if tag in SELF_CLOSING or not inline and stack[-1].tag == "p":
+        if deep:
+            if not inline and deep[-1][0] == "p" or tag in SELF_CLOSING and deep[-1][0] == tag:
+                leave()
+        elif tag in SELF_CLOSING or not inline and stack[-1].tag == "p":
             while len(stack) > 1 and stack[-1].tag in INLINE:  # what a paragraph left open ends with it
                 if not any(e.tag in SELF_CLOSING for e in stack[1:]):
                     break
@@ -156,7 +180,7 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
                 stack.pop()
         if stack[-1].children[-1:] != [tag]:
             stack[-1].children.append(tag)
-        state, name = _state(tag, raw, stack[-1].state)
+        state, name = _state(tag, raw, state_here())
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
             at = end.end() if end else size
@@ -165,6 +189,9 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
             continue
         if len(stack) < DEEPEST:
             stack.append(_Open(tag, f"{stack[-1].path}>{name}", state))
+        else:
+            deep.append((tag, state))
+            held[tag] += 1
     flush()
     return [(path, ",".join(parent.children), text, site) for parent, path, text, site in out]
 
