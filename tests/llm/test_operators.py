@@ -302,6 +302,14 @@ def test_added_spans_need_a_checksum_or_context(spark):
     assert kinds == {0: ["iban"], 1: [], 2: ["secret"], 3: [], 4: ["ssn"], 5: [], 6: ["access_key", "access_key"]}
 
 
+def test_secrets_of_any_length_and_of_base64_are_whole_spans(spark):
+    keys = ["a1" * 100, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "c2VjcmV0+dmFsdWU/MTIzNDU2Nzg5MA==", "eyJhbGciOi1.eyJzdWIiOi2.abc-_3", "/Ab1+cdefghijklmnop=", "a1." * 40_000 + "z"]
+    table = spark.createDataFrame([(k, t) for k, x in enumerate(keys) for t in (f"secret={x}", f"the token: {x}. Next", f"see {x} there")], "doc_id long, text string")
+    for r in table.withColumn("t", F.col("text")).transform(pii.find).collect():
+        at = r.t.index(keys[r.doc_id])
+        assert [(s["first"], s["end"]) for s in r.spans if s["kind"] == "secret"] == ([] if r.t.startswith("see") else [(at, at + len(keys[r.doc_id]))]), r.t[:80]
+
+
 def test_long_runs_are_searched_in_linear_time(spark):
     texts = ["a" * 200_000, "1" * 200_000, "1 " * 100_000, "1." * 100_000, "+1" + "(" * 100_000, "a@" + "b." * 50_000 + "c"]
     table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")

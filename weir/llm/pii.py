@@ -90,7 +90,8 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), _iban, 0.9, r"(?i)\b(?:iban|account|bank)\b", r"(?i)\b(?:example|sample|invalid)\b", 0.1),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"[0-9]-[0-9]"), None, 0.3, r"(?i)\b(?:ssn|social)\b", r"(?i)\b(?:order|invoice|part|serial)\b", 0.4),
     Kind("access_key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", lambda t: t.contains("AKIA"), None, 0.9),
-    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,128}+(?![A-Za-z0-9_-])", lambda t: t.rlike(_NAMED), lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]"), 0.1, _NAMED + r"[\W]{1,5}$", "", 0.5),
+    # / + . inside a token, and / + = around it; an = before it belongs to the name
+    Kind("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+.=-]{16})[/+]*+[A-Za-z0-9_-]++(?:[/+.]++[A-Za-z0-9_-]++)*+[/+]*+={0,2}+", lambda t: t.rlike(_NAMED), lambda s: (F.char_length(s) >= 16) & s.rlike("[0-9]") & s.rlike("[A-Za-z]"), 0.1, _NAMED + r"[\W]{1,5}$", "", 0.5),
 )
 BASE = ("email", "ip", "card", "phone")
 
