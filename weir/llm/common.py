@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset, a folder of this machine."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A session of this machine alone gets one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="weir-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -54,17 +57,44 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+#: Bytes of a slice, about; one text may have more.
+SLICE_BYTES = 16 << 20
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Cuts batches, so that what a task holds besides its input stays small."""
+    """Cuts batches by rows and bytes, so that what a task holds besides its input stays small."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        step = max(1, min(rows, int(SLICE_BYTES * b.num_rows / max(b.nbytes, 1)) if b.num_rows else rows))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column by name; like Spark, whatever its case if no name is equal."""
+    names = batch.schema.names
+    return batch.column(names.index(name) if name in names else [n.lower() for n in names].index(name.lower()))
 
 
 def added(schema: T.StructType, *fields: tuple[str, T.DataType], drop: Iterable[str] = ()) -> T.StructType:
-    """``schema`` without ``drop`` and without columns named as the new ones, then the new ones."""
-    gone = {*drop, *(n for n, _ in fields)}
-    return T.StructType([f for f in schema.fields if f.name not in gone] + [T.StructField(n, t) for n, t in fields])
+    """``schema`` without ``drop`` and without columns named as the new ones, whatever their case, then the new ones."""
+    gone = {n.lower() for n in (*drop, *(n for n, _ in fields))}
+    return T.StructType([f for f in schema.fields if f.name.lower() not in gone] + [T.StructField(n, t) for n, t in fields])
+
+
+def but(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` other than ``names``, whatever their case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def apart(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed to c0, c1, ... and the new name of each of ``names``.
+
+    An operator that joins or adds helpers works on such names, so that no column of the caller's clashes with its own.
+    """
+    short = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    lower = {c.lower(): s for c, s in short.items()}
+    return df.toDF(*short.values()), {n: short.get(n) or lower[n.lower()] for n in names}
 
 
 def with_columns(batch: pa.RecordBatch, schema: pa.Schema, new: dict[str, pa.Array]) -> pa.RecordBatch:

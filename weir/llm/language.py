@@ -6,7 +6,8 @@ A batch is scored in numpy: the slots of all its n-grams, gathered from the matr
 
 The n-grams are those of one to ``longest`` code points of the lower-cased text, with all runs of characters other than
 letters as one blank. Null texts and texts without a letter are `und`, with the score 0; so are all if no row is labelled.
-Of languages with equal probability the first by name is taken. Rows are predicted each on its own.
+Of languages with equal probability the first by name is taken. Rows, repeated ones too, are predicted each on its own. Other columns pass
+through, but for those named as the new ones, in any case, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import added, slices, texts_of, with_columns
+from .common import added, column, slices, texts_of, with_columns
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 #: So many characters at a time, so that a very long text needs no more memory than others.
@@ -31,9 +32,9 @@ _BLOCK = 1 << 20
 
 def gram_slots(text: str, longest: int, slots: int) -> Iterator[np.ndarray]:
     """The slots of the n-grams of a text, in arrays of bounded length; nothing if it has no letter."""
-    clean = _NO_LETTERS.sub(" ", text.lower())
-    if clean.isspace() or not clean:
+    if not any(map(str.isalpha, text)):
         return
+    clean = _NO_LETTERS.sub(" ", text.lower())
     clean = f" {clean.strip()} "
     for at in range(0, len(clean), _BLOCK):
         lead = min(at, longest - 1)
@@ -86,7 +87,7 @@ def predict(df: DataFrame, names: list[str], matrix: np.ndarray, text: str = "te
         m = shared.value
         for b in slices(batches):
             langs, scores = [], []
-            for t in texts_of(b.column(b.schema.get_field_index(text))):
+            for t in texts_of(column(b, text)):
                 total, some = np.zeros(len(names)), False
                 for s in gram_slots(t, longest, slots):
                     some = True

@@ -44,16 +44,20 @@ BLOCK = 128
 
 
 class WordHashes(dict):
-    """Hash of each word met, kept for at most ``keep`` words."""
+    """Hash of each word met, kept for at most ``keep`` words of at most ``LONGEST`` bytes: about 12 MB."""
 
-    def __init__(self, keep: int = 400_000) -> None:
+    LONGEST = 48
+
+    def __init__(self, keep: int = 80_000) -> None:
         super().__init__()
         self.keep = keep
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.keep:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.keep:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -295,7 +299,8 @@ def group(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
     # what the leaders leave unconnected: first each member with the hub of its bucket, then the rest member by member
     left, sets = _unconnected(members, reps, links, docs, k, percent)
     hub = left.groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "rep", "n", "c")).alias("hub"))
-    left = written(left.join(hub, "bucket").select("bucket", "rep", "n", "u", (F.col("c") == F.col("hub.c")).alias("kin"), F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "left")
+    # written first, so that both sides of the join are dealt anew and Spark can split a large bucket
+    left = written(left.join(written(hub, "hub"), "bucket").select("bucket", "rep", "n", "u", (F.col("c") == F.col("hub.c")).alias("kin"), F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "left")
     spokes = left.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     spokes = written(_verified(spokes, docs, k, 0), "spokes")
     sizes = left.select("rep", "n").distinct()

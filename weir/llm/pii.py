@@ -8,7 +8,8 @@ Where a pattern matches follows from what it leaves over: the parts between matc
 add up to positions in code points. Repetitions are possessive and matches start only where a run of their first characters
 starts, so time is linear in the length of a text, and no match recurses, however long a run is.
 
-Null and empty texts have no spans. Each row is searched on its own; other columns pass through.
+Null and empty texts have no spans. Each row, repeated ones too, is searched on its own; other columns pass through, but for one named ``spans``, in
+any case, which is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Code points on either side of a span that count as near.
 NEAR = 40
+#: Matches added up at a time, and code points of a piece of text in which context is looked up (at least ``NEAR``).
+BLOCK, PIECE = 64, 512
 
 
 def _digits(s: Column) -> Column:
@@ -96,8 +99,17 @@ KINDS = (
 BASE = ("email", "ip", "card", "phone")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with this computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _proposed(text: Column, pattern: str) -> Column:
-    """first, end (code points) and s of every match, in order."""
+    """first, end (code points) and s of every match, in order.
+
+    The parts between matches and the matches are added up in blocks of ``BLOCK``, from offsets added up over blocks: an
+    array that grows is copied at each step, so one over a whole text would take time with the square of its matches.
+    """
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
     steps = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("s"))
     none = F.array().cast("array<struct<first:int,end:int,s:string>>")
@@ -108,34 +120,63 @@ def _proposed(text: Column, pattern: str) -> Column:
         span = F.struct(first.alias("first"), end.alias("end"), x["s"].alias("s"))
         return F.struct(F.coalesce(end, first).alias("at"), F.when(x["s"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(F.char_length(x["s"]), F.lit(0)))
+
+    def placed(blocks: Column) -> Column:
+        offsets = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + length(b))))
+        both = F.arrays_zip(blocks.alias("block"), F.slice(offsets, 1, F.size(blocks)).alias("at"))
+        return F.flatten(F.transform(both, lambda z: F.aggregate(z["block"], F.struct(z["at"].alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])))
+
+    def in_blocks(whole: Column) -> Column:
+        last = F.floor((F.size(whole) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(whole, i * BLOCK + 1, F.lit(BLOCK)))
+
+    return _let(steps, lambda whole: _let(in_blocks(whole), placed))
+
+
+def _around(pieces: Column, at: Column, before: bool) -> Column:
+    """The ``NEAR`` code points before or from position ``at`` on, from the text in pieces of ``PIECE``: a place far back costs no more than one in front."""
+    k = F.floor(at / PIECE).cast("int")
+    offset = at - k * PIECE
+    if before:
+        both = F.concat(F.coalesce(F.get(pieces, k - 1), F.lit("")), F.coalesce(F.get(pieces, k), F.lit("")))
+        end = F.when(k > 0, offset + PIECE).otherwise(offset)
+        return F.substring(both, F.greatest(end - NEAR, F.lit(0)) + 1, F.least(end, F.lit(NEAR)))
+    return F.substring(F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit(""))), offset + 1, F.lit(NEAR))
 
 
 def _confirmed(text: Column, kind: Kind, least: float) -> Column:
     """kind, first, end and score of the spans of a kind."""
 
-    def scored(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["first"] - NEAR, F.lit(0)) + 1, F.least(x["first"], F.lit(NEAR)))
-        after = F.substring(text, x["end"] + 1, F.lit(NEAR))
-        around = F.concat_ws(" ", before, after)
+    def scored(x: Column, pieces: Column | None) -> Column:
         score = F.lit(kind.start)
-        if kind.near:
-            score = score + F.when(before.rlike(kind.near) if kind.near.endswith("$") else around.rlike(kind.near), kind.raises).otherwise(0.0)
-        if kind.against:
-            score = score - F.when(around.rlike(kind.against), kind.raises).otherwise(0.0)
+        if pieces is not None:
+            before = _around(pieces, x["first"], True)
+            around = F.concat_ws(" ", before, _around(pieces, x["end"], False))
+            if kind.near:
+                score = score + F.when(before.rlike(kind.near) if kind.near.endswith("$") else around.rlike(kind.near), kind.raises).otherwise(0.0)
+            if kind.against:
+                score = score - F.when(around.rlike(kind.against), kind.raises).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), x["first"].alias("first"), x["end"].alias("end"), score.alias("score"))
 
     spans = _proposed(text, kind.pattern)
     if kind.valid is not None:
         valid = kind.valid
         spans = F.filter(spans, lambda x: valid(x["s"]))
-    out = F.filter(F.transform(spans, scored), lambda x: x["score"] >= least)
-    return F.when(kind.hint(text), out).otherwise(F.array().cast("array<struct<kind:string,first:int,end:int,score:double>>"))
+    none = F.array().cast("array<struct<kind:string,first:int,end:int,score:double>>")
+    if kind.near or kind.against:
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        near = lambda own: _let(pieces, lambda p: F.transform(own, lambda x: scored(x, p)))
+        scores = _let(spans, lambda own: F.when(F.size(own) > 0, near(own)).otherwise(none))
+    else:
+        scores = F.transform(spans, lambda x: scored(x, None))
+    return F.when(kind.hint(text), F.filter(scores, lambda x: x["score"] >= least)).otherwise(none)
 
 
 def find(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """Adds ``spans``: an array of (kind, first, end, score), by kind in the order of ``KINDS``, then by position."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return df.withColumn("spans", F.concat(*(_confirmed(whole, k, least) for k in KINDS)))
 
 

@@ -6,7 +6,8 @@ in the order of rejections per cost, both estimated on a sample of at most ``sam
 costs, never what it returns.
 
 Words are runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage return. Null and empty
-texts have no words and fail. Rows are judged each on its own; other columns pass through.
+texts have no words and fail. Rows, repeated ones too, are judged each on its own; other columns pass through, but for those named as the new ones, in
+any case, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import added, slices, texts_of, with_columns
+from .common import added, column, slices, texts_of, with_columns
 
 #: Fixed values.
 SYMBOLS = "#*$%&|<>"
@@ -93,7 +94,7 @@ def judge(df: DataFrame, text: str = "text", sample: int = 200, seed: int = 7) -
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
-            for raw in texts_of(b.column(b.schema.get_field_index(text))):
+            for raw in texts_of(column(b, text)):
                 t = Text(raw)
                 n, again = len(t.words), t.n_repeat_words()
                 failed = n < 50 or 100 * again > 50 * n

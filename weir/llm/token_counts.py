@@ -9,7 +9,7 @@ all words that share it, and a terminal node keeps the number of tokens of its w
 No public vocabulary at hand comes with unigram scores, so they follow from the order of the vocabulary by Zipf's law: entry
 number r (from 0, the single bytes and control entries left out) has the score -ln(r + 2.7), up to a constant for all.
 
-Null and empty texts have no tokens. Each row is counted on its own; other columns pass through.
+Null and empty texts have no tokens. Each row is counted on its own; other columns pass through, but for those named as the new ones, in any case, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,25 +23,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import _mapped
-from .common import texts_of
+from .common import column, texts_of
 
 WORD_START = "▁"
+#: About so many bytes of memory go with a word that is kept.
+_WORD_BYTES = 150
 
 
 class UnigramCounter:
-    """``scores``: logarithmic scores of the entries. Keeps the counts of at most ``keep`` words."""
+    """``scores``: logarithmic scores of the entries. Keeps the counts of words of at most ``keep`` bytes, or those of one batch."""
 
-    def __init__(self, scores: dict[str, float], byte_score: float, keep: int = 400_000) -> None:
+    def __init__(self, scores: dict[str, float], byte_score: float, keep: int = 24 << 20) -> None:
         self.scores, self.byte_score, self.keep = scores, byte_score, keep
         self.longest = max(map(len, scores), default=1)
         self.lengths: dict[str, tuple[int, ...]] = {}
         for n, end in sorted({(len(x), x[-2:]) for x in scores}, reverse=True):
             self.lengths[end] = (*self.lengths.get(end, ()), n)
         self.known: dict[str, int] = {}
+        self.known_bytes = 0
 
     def _learn(self, words: Iterable[str]) -> None:
-        if len(self.known) > self.keep:
-            self.known.clear()
         score_of, lengths, byte_score = self.scores.get, self.lengths, self.byte_score
         best, count, above = [0.0], [0], ""
         for word in sorted(words):
@@ -73,12 +74,13 @@ class UnigramCounter:
             new.update(words)
         new = {w for w in new if w not in self.known}
         if new:
-            if len(self.known) + len(new) > self.keep:
-                self.known.clear()
-                new = {w for words in split for w in words}
             self._learn(new)
+            self.known_bytes += sum(_WORD_BYTES + len(w) for w in new)
         get = self.known.__getitem__
-        return [len(words) for words in split], [sum(map(get, words)) for words in split]
+        out = [len(words) for words in split], [sum(map(get, words)) for words in split]
+        if self.known_bytes > self.keep:
+            self.known, self.known_bytes = {}, 0
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -96,7 +98,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
     """Adds ``n_words`` and ``n_tokens`` (long) of the whole text. ``vocabulary``: path of a sentencepiece file on every executor."""
 
     def make(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        words, tokens = load(vocabulary).count(texts_of(b.column(b.schema.get_field_index(text))))
+        words, tokens = load(vocabulary).count(texts_of(column(b, text)))
         return {"n_words": pa.array(words, pa.int64()), "n_tokens": pa.array(tokens, pa.int64())}
 
     return _mapped(df, [("n_words", T.LongType()), ("n_tokens", T.LongType())], [text], make, 1024)

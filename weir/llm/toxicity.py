@@ -7,11 +7,13 @@ models that have not seen it, so that a later model meets probabilities as uncer
 A text's features are counts over its distinct lower-cased words and runs of signs: the word, and its first three to six
 letters (inflected words share these), each hashed to one of 2^18 slots. Words add up, so a word has one weight for each
 category, looked up once for each distinct word of a task. Models are fitted by the driver on at most ``max_labels`` labelled
-texts, picked by a hash of the id; each takes the ``max_features`` features that tell its category best among its own rows, by
+texts, picked by a hash of the id, with at most ``max_bytes`` of features together; each takes the ``max_features`` features that tell its category best among its own rows, by
 the difference of the shares of texts that have them over its standard error. Scoring covers every row.
 
 Null and empty texts, and all texts if there is no label to learn from, have the probability 0 and are clean. A category whose labels are all
-alike gets these. Labels of unknown ids and null labels are left out; of repeated labels of an id the largest count.
+alike gets these. Labels of unknown ids and null labels are left out; of repeated labels of an id the largest count. Of rows with one labelled
+id the one with the smallest text fingerprint is learned from; equal texts are in one fold. Every row is scored on its own. Other columns pass through;
+columns named as the new ones, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import added, slices, texts_of, with_columns
+from .common import added, column, slices, texts_of, with_columns, written
 
 _WORD = re.compile(r"[^\W\d_]+|[^\w\s]+")
 SLOTS = 1 << 18
@@ -119,7 +121,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order][k] + below) / 2, 0.05, 0.95))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str = "doc_id", text: str = "text", max_labels: int = 8000, folds: int = 3, max_features: int = 300, l2: float = 1.0) -> Chain | None:
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str = "doc_id", text: str = "text", max_labels: int = 8000, max_bytes: int = 96 << 20, folds: int = 3, max_features: int = 300, l2: float = 1.0) -> Chain | None:
     """Fits the chain. ``labels``: an id and one column of 0 and 1 for each category; None if no labelled text is found."""
     known = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(*(F.max(F.col(c).cast("int")).alias(c) for c in categories)).dropna()
     n = known.count()
@@ -127,20 +129,31 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
         return None
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
     # at most max_labels rows of a few numbers: small enough to be broadcast whatever the input
-    rows = docs.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).select("_id", F.col(text).alias("_text"), *(F.col(c).alias(f"_y{k}") for k, c in enumerate(categories)))
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(text).alias("_th"))
+    rows = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_text", "_th", *(F.col(c).alias(f"_y{k}") for k, c in enumerate(categories)))
     names = [f"_y{k}" for k in range(len(categories))]
-    schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), *(T.StructField(x, T.IntegerType()) for x in names), T.StructField("slots", T.BinaryType())])
+    schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), T.StructField("_th", T.LongType()), *(T.StructField(x, T.IntegerType()) for x in names), T.StructField("slots", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            made = [np.array([s for w in sorted(distinct_words(t)) for s in word_slots(w)], dtype="<i4").tobytes() for t in texts_of(b.column(1))]
+            made = [np.array([s for w in sorted(distinct_words(t)) for s in word_slots(w)], dtype="<i4").tobytes() for t in texts_of(column(b, "_text"))]
             yield with_columns(b, arrow, {"slots": pa.array(made, pa.binary())})
 
-    got = rows.mapInArrow(featured, schema).toArrow().sort_by("_id")
-    if not got.num_rows:
+    # one row an id, so max_labels at most; then as many of these, in the order of the hash, as max_bytes holds
+    one = rows.mapInArrow(featured, schema).groupBy("_id").agg(F.min(F.struct("_th", *names, "slots")).alias("x")).select("_id", "x.*")
+    one = written(one.withColumn("_at", F.xxhash64("_id")), "features")
+    room, most = max_bytes, None
+    for at, size in one.select("_at", F.octet_length("slots").alias("size")).orderBy("_at", "_id").collect():
+        room -= size
+        if room < 0 and most is not None:
+            break
+        most = at
+    if most is None:
         return None
+    got = one.where(F.col("_at") <= most).toArrow().sort_by("_id")
     y = np.column_stack([got.column(x).to_numpy() for x in names]).astype(float)
+    got_fold = got.column("_th").to_numpy() % folds
     slots, counts, sizes = [], [], []
     for packed in got.column("slots"):
         own, n = np.unique(np.frombuffer(packed.as_buffer(), "<i4"), return_counts=True)
@@ -150,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
     del got
     x = Rows(np.concatenate(slots), np.concatenate(counts), sizes)
     del slots, counts
-    fold = np.arange(x.n) % folds
+    fold = got_fold
     before, models, thresholds = np.zeros((x.n, 0)), [], []
     for k in range(len(categories)):
         out_of_fold = np.zeros(x.n)
@@ -164,9 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
 
 
 class WordScorer:
-    """The weights of words by category, kept for at most ``keep`` words of a task."""
+    """The weights of words by category, kept for at most ``keep`` words of a task (about 15 MB), or those of one batch."""
 
-    def __init__(self, chain: Chain, keep: int = 300_000) -> None:
+    def __init__(self, chain: Chain, keep: int = 100_000) -> None:
         self.table = np.zeros((SLOTS, len(chain.categories)))
         for k, m in enumerate(chain.models):
             self.table[m.slots, k] = m.weights
@@ -178,7 +191,7 @@ class WordScorer:
         if not new:
             return
         if len(self.row_of) + len(new) > self.keep:
-            self.row_of.clear()
+            self.row_of, self.rows = {}, self.rows[:1024].copy()
             new = list(words)
         slots = [word_slots(w) for w in new]
         sums = np.add.reduceat(self.table[[s for x in slots for s in x]], np.cumsum([0, *map(len, slots[:-1])]), axis=0)
@@ -198,6 +211,8 @@ class WordScorer:
         for k, m in enumerate(self.chain.models):
             out[:, k] = sigmoid(sums[:, k] + out[:, :k] @ m.chained + m.bias)
         out[[not ws for ws in words]] = 0.0
+        if len(self.row_of) > self.keep:
+            self.row_of, self.rows = {}, self.rows[:1024].copy()
         return out
 
 
@@ -212,7 +227,7 @@ def score(df: DataFrame, chain: Chain | None, categories: list[str], text: str =
         own = shared.value
         scorer = WordScorer(own) if own else None
         for b in slices(batches):
-            texts = texts_of(b.column(b.schema.get_field_index(text)))
+            texts = texts_of(column(b, text))
             p = scorer.probabilities(texts) if scorer and texts else np.zeros((len(texts), len(categories)))
             limit = np.array(own.thresholds if own else [1.0] * len(categories))
             columns = {f"p_{c}": pa.array(p[:, k]) for k, c in enumerate(categories)} | {f"is_{c}": pa.array(p[:, k] > limit[k]) for k, c in enumerate(categories)}
