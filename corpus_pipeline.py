@@ -38,7 +38,7 @@ def remove_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), queries.BYTE_BPE), queries.BYTE_BPE)
+    both = bpe.round_trip(docs.select("doc_id", "text"), queries.BYTE_BPE)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
