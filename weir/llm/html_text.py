@@ -1,23 +1,28 @@
 """Main text of web pages by a site style tree.
 
-A page is parsed once into blocks of text, each with its path of elements. Markup that says what it is comes first:
-what stands in a menu, header, footer, sidebar, notice, advert, form, script, style or comment section goes, what else stands in
-an article or main element is likely to stay. A class name or a form around an article or main element does not put it out; one within another,
-or within such a wrapper, is judged by its own names first. All blocks that markup does not put out are settled by the tree of their site: the elements of all pages of a host are merged by path; a path's
-presentation importance is the entropy of the child sequences that its pages show there, a block's content importance one
-minus the evenness with which its text is spread over the pages with that path (both with the logarithm to the base of the
-number m of these pages, so from 0 to 1; 1 if m is 1):
+A page is parsed once into blocks of text, each with the node of its site's tree that it stands in: the elements of all pages of
+a host are merged by path (tags, class and id names, and what markup says of them, from the root). Of a node that ``m`` distinct pages show,
+
+* the presentation importance is the entropy of the sequences of child elements that these pages have there,
+* the content importance is the mean, over the distinct texts in the whole branch, of one minus the entropy of the pages that
+  show the text at its place, so it is carried up from the leaves to every node above,
+
+both with the logarithm to the base m, so from 0 to 1; both are 1 where fewer than ``min_pages`` pages show a node:
 
     importance = (1 - GAMMA) * presentation + GAMMA * content
 
-Blocks below ``least``, or below ``LIKELY * least`` in an article, on hosts with ``min_pages`` distinct pages of that path go; on
-hosts with fewer, markup alone decides. What markup puts out does not come back by importance: comments and links to other pages
-differ from page to page, as main text does. Pages of equal source count once, so copies of a page
-don't make its text look like a frame. Statistics are grouped and joined by Spark; a page's own blocks are all a task holds.
+Every block but scripts and styles goes into the tree. A branch whose importance times its ``PRIOR`` is below ``BRANCH`` goes as a
+whole; of what is left, a single text goes if its own content importance is below ``TEXT``. Markup is the prior: 0 for what the contract names
+by element (menus, headers, footers, sidebars, forms and the like), or inside an article by a plain name of adverts or comments; low for
+wrappers outside articles with names of frames, so that these need no other pages to go; and in an article or main element less
+importance is needed. A class name or a form around an article does not put it out; one within another article is judged by its own names.
+
+Pages of a host with the same longest text count as one, so copies don't make their text look like a frame.
+Statistics are grouped and joined by Spark; a page's own blocks are all a task holds.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are trimmed and joined by a blank in
-the order of the page. Null and empty pages have no text. Repeated rows count as one page and get the same result; rows with one id
-and unlike sources are extracted apart. Other columns pass through.
+the order of the page. Null and empty pages have no text, null urls share a host. Repeated rows count as one page and get the same result; rows with
+one id and unlike sources are extracted apart. Other columns pass through, but for those named as the new ones, in any case, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,26 +31,33 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import takewhile
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import added, slices, texts_of, with_columns, written
+from .common import added, apart, column, slices, texts_of, with_columns, written
 
 GAMMA = 0.9
-#: Share of the least importance that does for blocks in an article or main element.
-LIKELY = 0.5
+#: What markup says of an element.
+OUT, APART_BY_NAME, OPEN, ARTICLE_TEXT = range(4)
+#: By these: the factor of importance, and the least importance of a branch and of a single text.
+PRIOR, BRANCH, TEXT = (0.0, 0.45, 1.0, 1.0), (0.6, 0.6, 0.6, 0.1), (0.3, 0.3, 0.3, 0.1)
 #: Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
+#: Empty elements that do not end a block.
+IN_LINE_VOID = frozenset("area col embed img input param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 APART = frozenset("nav header footer aside form script style noscript template iframe button select option datalist dialog menu head title textarea object audio video canvas svg math input".split())
 ARTICLE = frozenset(("article", "main"))
+#: Names that mark adverts and reader comments inside an article, as whole names only.
+NAMES_WITHIN = frozenset("ad ads advert adverts advertisement adsbygoogle ad-slot sponsored comment comments comment-list comments-area comment-form respond disqus_thread".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark frames of a page.
 NAMES = re.compile(
@@ -65,34 +77,40 @@ DEEPEST = 200
 
 
 class _Open:
-    """An open element."""
+    """An open element, and the node of the tree that it is."""
 
-    __slots__ = ("tag", "path", "state", "children")
+    __slots__ = ("tag", "path", "state", "children", "shown")
 
     def __init__(self, tag: str, path: str, state: str) -> None:
-        self.tag, self.path, self.state, self.children = tag, path, state, []
+        self.tag, self.path, self.state, self.children, self.shown = tag, path, state, [], False
+
+
+_STATES = {"out": OUT, "apart": APART_BY_NAME, "open": OPEN, "main": ARTICLE_TEXT, "in": ARTICLE_TEXT}
 
 
 def _state(tag: str, raw: str, above: str) -> tuple[str, str]:
     """How the text of an element is settled, and its name in the path.
 
-    'out'; 'apart' (out by a class name or form only, which an article or main element within is not bound by); 'in' an article; 'main'; or 'open'.
+    'out'; 'apart' (by a class name or form only, which an article or main element within is not bound by); 'in' an article; 'main'; or 'open'.
     """
-    if above == "out":
-        return "out", tag
     names: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(raw):
         names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     label = f"{names.get('class', '')} {names.get('id', '')}".strip()
     name = f"{tag}.{' '.join(sorted(label.split()))}" if label else tag
+    if above == "out":
+        return "out", name
     if tag == "body" or tag == "html":
         return above, name
     role = names.get("role", "").lower()
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower() or role in ROLES:
         return "out", name
     inside = above in ("in", "main")
-    own = _ABOUT.sub(" ", label)
-    framed = NAMES.search(_HEADER.sub(" ", own) if inside else own) is not None
+    if above == "in":
+        framed = not NAMES_WITHIN.isdisjoint(label.lower().split())
+    else:
+        own = _ABOUT.sub(" ", label)
+        framed = NAMES.search(_HEADER.sub(" ", own) if inside else own) is not None
     if tag in ARTICLE or role in ("main", "article"):
         if framed and above != "open":
             return "out", name
@@ -104,10 +122,30 @@ def _state(tag: str, raw: str, above: str) -> tuple[str, str]:
     return above, name
 
 
-def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
-    """Path, presentation of the parent, text and whether it stands in no article, for each block that isn't out."""
-    out: list[tuple[_Open, str, str, bool]] = []
-    stack = [_Open("", "", "open")]
+@dataclass
+class Block:
+    """A text, the path of its node, and what markup says of it."""
+
+    path: str
+    text: str
+    state: int
+
+
+@dataclass
+class Node:
+    """The paths of the nodes above, and the sequences of children that a page shows."""
+
+    above: list[str]
+    styles: list[str]
+    state: int
+
+
+def tree_of(source: str) -> tuple[list[Block], dict[str, Node]]:
+    """The blocks of a page, in order, and the nodes that they stand in and under, by path."""
+    blocks: list[Block] = []
+    shown: list[tuple[_Open, list[str]]] = []
+    root = _Open("", "", "open")
+    stack = [root]
     deep: list[tuple[str, str]] = []  # name and state of the open elements below DEEPEST
     held: Counter[str] = Counter()  # of these, by name
     parts: list[str] = []
@@ -130,14 +168,24 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
                 k = len(stack) - 1
                 while k > 0 and stack[k].tag in INLINE:
                     k -= 1
-                out.append((stack[max(k - 1, 0)], stack[k].path, text, state_here() == "open"))
+                above = [e for e in stack[: k + 1] if e is root or e.tag not in INLINE]
+                for n, e in enumerate(above):
+                    if not e.shown:
+                        e.shown = True
+                        shown.append((e, [x.path for x in above[:n]]))
+                # the element's own state may be another than that of its node: markup left open, or elements too deep for a node
+                blocks.append(Block(above[-1].path, text, _STATES[state_here()]))
             parts.clear()
 
+    # a tag ends with '>': after the last one all is text, which no search need go through again and again
     at, size = 0, len(source)
+    tags_end = source.rfind(">") + 1
     while at < size:
-        m = _TAG.search(source, at)
+        m = _TAG.search(source, at, tags_end) if at < tags_end else None
         until = m.start() if m else size
-        if until > at and state_here() not in ("out", "apart"):
+        if not m and (comment := source.find("<!--", at)) >= 0:
+            until = comment
+        if until > at:
             parts.append(source[at:until])
         if not m:
             break
@@ -146,7 +194,7 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
         if not tag:
             continue
         inline = tag in INLINE
-        if not inline:
+        if not inline and tag not in IN_LINE_VOID:
             flush()
         if m[1] or m[4]:
             if held[tag]:
@@ -188,18 +236,32 @@ def blocks_of(source: str) -> list[tuple[str, str, str, bool]]:
         if raw.endswith("/") and not inline and tag not in ("p", "div", "li", "article", "main", "section"):
             continue
         if len(stack) < DEEPEST:
-            stack.append(_Open(tag, f"{stack[-1].path}>{name}", state))
+            # the state is part of the path, so a node has one
+            stack.append(_Open(tag, f"{stack[-1].path}>{name}" + ("" if state == stack[-1].state else f"!{state}"), state))
         else:
             deep.append((tag, state))
             held[tag] += 1
     flush()
-    return [(path, ",".join(parent.children), text, site) for parent, path, text, site in out]
+    nodes: dict[str, Node] = {}
+    for e, above in shown:
+        node = nodes.setdefault(e.path, Node(above, [], _STATES[e.state]))
+        if (style := ",".join(e.children)) not in node.styles[-8:]:
+            node.styles.append(style)
+    return blocks, nodes
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def _parsed(df: DataFrame, source: str) -> DataFrame:
-    """``df`` without the source, with ``_page`` (fingerprint) and ``_blocks`` (path, style, h, text, free)."""
-    block = T.StructType([T.StructField("path", T.LongType()), T.StructField("style", T.LongType()), T.StructField("h", T.LongType()), T.StructField("text", T.StringType()), T.StructField("free", T.BooleanType())])
-    schema = added(df.schema, ("_page", T.LongType()), ("_blocks", T.ArrayType(block)), drop=[source])
+    """``df`` without the source, with ``page`` (fingerprint), ``copy`` (of the longest text), ``blocks`` (node, h, text, state) and ``nodes`` (node, above, style, state).
+
+    Texts that markup puts out have no ``text``, as only their fingerprints are needed.
+    """
+    block = T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.LongType()), T.StructField("text", T.StringType()), T.StructField("state", T.IntegerType())])
+    node = T.StructType([T.StructField("node", T.LongType()), T.StructField("above", T.ArrayType(T.LongType())), T.StructField("style", T.LongType()), T.StructField("state", T.IntegerType())])
+    schema = added(df.schema, ("page", T.LongType()), ("copy", T.LongType()), ("blocks", T.ArrayType(block)), ("nodes", T.ArrayType(node)), drop=[source])
     arrow = to_arrow_schema(schema)
 
     def number(x: str) -> int:
@@ -207,43 +269,85 @@ def _parsed(df: DataFrame, source: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
-            sources = texts_of(b.column(b.schema.get_field_index(source)))
-            made = [[{"path": number(p), "style": number(c), "h": number(t), "text": t, "free": free} for p, c, t, free in blocks_of(s)] for s in sources]
-            yield with_columns(b, arrow, {"_page": pa.array([number(s) for s in sources], pa.int64()), "_blocks": pa.array(made, arrow.field("_blocks").type)})
+            sources = texts_of(column(b, source))
+            copies, all_blocks, all_nodes = [], [], []
+            for s in sources:
+                blocks, nodes = tree_of(s)
+                of = {p: number(p) for p in nodes}
+                likely = [x.text for x in blocks if x.state] or [x.text for x in blocks] or [""]
+                copies.append(number(max(likely, key=len)))
+                all_blocks.append([{"node": of[x.path], "h": number(x.text), "text": x.text if x.state > APART_BY_NAME else None, "state": x.state} for x in blocks])
+                all_nodes.append([{"node": of[p], "above": [of[a] for a in n.above], "style": number("|".join(n.styles)), "state": n.state} for p, n in nodes.items()])
+            new = {"page": pa.array([number(s) for s in sources], pa.int64()), "copy": pa.array(copies, pa.int64())}
+            yield with_columns(b, arrow, new | {"blocks": pa.array(all_blocks, arrow.field("blocks").type), "nodes": pa.array(all_nodes, arrow.field("nodes").type)})
 
     return df.mapInArrow(run, schema)
 
 
-def low_importance(pages: DataFrame, least: float, min_pages: int) -> DataFrame:
-    """site (fingerprint of host and path), h and importance of the blocks that frame a site's pages, from ``_host``, ``_page`` and ``_blocks``."""
-
-    def shown(name: str) -> DataFrame:
-        own = F.array_distinct(F.transform("_blocks", lambda x: F.struct(F.xxhash64("_host", x["path"]).alias("site"), x[name].alias(name))))
-        return pages.select(F.col("_page").alias("page"), F.explode(own).alias("x")).select("page", "x.site", f"x.{name}").distinct()
-
-    # of each path: its pages, and the entropy of the child sequences they show
-    styles = shown("style").groupBy("site", "style").agg(F.count("*").alias("n"))
-    paths = styles.groupBy("site").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    presentation = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    paths = paths.select("site", "m", presentation.alias("presentation"))
-    contents = shown("h").groupBy("site", "h").agg(F.count("*").alias("k")).where("k > 1")
-    importance = (1 - GAMMA) * F.col("presentation") + GAMMA * (1 - F.log("k") / F.log("m"))
-    return contents.join(paths, "site").where(F.col("m") >= min_pages).select("site", "h", importance.alias("importance")).where(F.col("importance") < least)
-
-
-def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", least: float = 0.3, min_pages: int = 5) -> DataFrame:
-    """``df`` without the source, with text (string, '' if none) and n_chars (long)."""
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    parsed = written(_parsed(df.withColumn("_host", host), source), "pages")
-    low = written(low_importance(parsed, least, min_pages), "low")
-    own = F.transform("_blocks", lambda x: F.struct(F.xxhash64("_host", x["path"]).alias("site"), x["path"].alias("path"), x["h"].alias("h"), x["free"].alias("free")))
-    keys = parsed.select(F.col(page_id).alias("_id"), F.col("_host").alias("host"), F.col("_page").alias("page"), F.explode(own).alias("x")).select("_id", "host", "page", "x.*")
-    lost = keys.join(low, ["site", "h"]).where(F.col("importance") < F.when(F.col("free"), least).otherwise(LIKELY * least))
-    gone = written(lost.groupBy("_id", "host", "page").agg(F.collect_set(F.struct("path", "h", "free")).alias("_gone")), "gone")
-    same = F.col(f"p.{page_id}").eqNullSafe(F.col("g._id")) & (F.col("p._host") == F.col("g.host")) & (F.col("p._page") == F.col("g.page"))
-    settled = parsed.alias("p").join(gone.alias("g"), same, "left").select("p.*", "g._gone")
-    kept = F.filter("_blocks", lambda x: F.col("_gone").isNull() | ~F.array_contains("_gone", F.struct(x["path"].alias("path"), x["h"].alias("h"), x["free"].alias("free"))))
-    whole = settled.withColumn("_kept", kept)
-    text = F.array_join(F.transform("_kept", lambda x: x["text"]), " ")
-    rest = [c for c in df.columns if c not in (source, "text", "n_chars")]
-    return whole.select(*(F.col(f"`{c}`") for c in rest), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+def importance(pages: DataFrame, min_pages: int) -> tuple[DataFrame, DataFrame]:
+    """The site trees, from ``host``, ``copy``, ``blocks`` and ``nodes``.
+
+    site (fingerprint of host and node), m (distinct pages), state, above (sites), presentation, content and importance of each
+    node; and site, h, state, k (distinct pages) and content (importance) of each text at its node.
+    """
+    log_m = F.log(F.greatest("m", F.lit(2)))
+
+    def site(node: Column) -> Column:
+        return F.xxhash64("host", node)
+
+    # one row for each node and distinct page, then for each style of a node
+    nodes = F.transform("nodes", lambda x: F.struct(site(x["node"]).alias("site"), x["style"].alias("style"), x["state"].alias("state"), F.transform(x["above"], site).alias("above")))
+    styles = pages.select("copy", F.explode(nodes).alias("x")).groupBy("x.site", "copy").agg(F.min("x.style").alias("style"), F.first("x.state").alias("state"), F.first("x.above").alias("above"))
+    styles = styles.groupBy("site", "style").agg(F.count("*").alias("n"), F.first("state").alias("state"), F.first("above").alias("above"))
+    tree = styles.groupBy("site").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.first("state").alias("state"), F.first("above").alias("above"))
+    tree = tree.select("site", "m", "state", "above", F.when(F.col("m") >= min_pages, (F.log("m") - F.col("s") / F.col("m")) / log_m).otherwise(1.0).alias("presentation"))
+    tree = written(tree, "tree")
+    texts = F.array_distinct(F.transform("blocks", lambda x: F.struct(site(x["node"]).alias("site"), x["h"].alias("h"), x["state"].alias("state"))))
+    texts = pages.select("copy", F.explode(texts).alias("x")).select("x.*", "copy").distinct().groupBy("site", "h", "state").agg(F.count("*").alias("k"))
+    own = 1 - F.log("k") / log_m
+    texts = texts.join(tree.select("site", "m"), "site").select("site", "h", "state", "k", F.when(F.col("m") >= min_pages, own).otherwise(1.0).alias("content"))
+    texts = written(texts, "texts")
+    # content importance is carried up: each node's texts count for it and for all nodes above
+    sums = texts.groupBy("site").agg(F.count("*").alias("l"), F.sum("content").alias("c")).join(tree, "site")
+    branch = sums.select(F.explode(F.array_append("above", F.col("site"))).alias("site"), "l", "c").groupBy("site").agg((F.sum("c") / F.sum("l")).alias("content"))
+    tree = tree.join(branch, "site").withColumn("content", F.when(F.col("m") >= min_pages, F.col("content")).otherwise(1.0))
+    return written(tree.withColumn("importance", (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content")), "nodes"), texts
+
+
+def _by_state(values: tuple[float, ...], state: str) -> Column:
+    return F.get(F.array(*map(F.lit, values)), F.col(state))
+
+
+def put_out(tree: DataFrame, texts: DataFrame) -> DataFrame:
+    """site, h, state and by_tree (the tree would have done so without the prior) of the texts that go, but for those that markup alone puts out."""
+    score = F.col("importance") * _by_state(PRIOR, "state")
+    low = tree.where((score < _by_state(BRANCH, "state")) & (F.col("state") > OUT)).select(F.col("site").alias("low"), (F.col("importance") < _by_state(BRANCH, "state")).alias("by_tree"))
+    # a node goes with the branch that it is in
+    reach = tree.select("site", F.explode(F.array_append("above", F.col("site"))).alias("low"))
+    gone = written(reach.join(low, "low").groupBy("site").agg(F.max("by_tree").alias("branch")), "gone")
+    marked = texts.where(F.col("state") > OUT).join(gone, "site", "left").withColumn("low", F.col("content") * _by_state(PRIOR, "state") < _by_state(TEXT, "state"))
+    by_tree = F.coalesce("branch", F.lit(False)) | (F.col("content") < _by_state(TEXT, "state"))
+    return written(marked.where(F.col("branch").isNotNull() | F.col("low") | (F.col("state") == APART_BY_NAME)).select("site", "h", "state", by_tree.alias("by_tree")), "lost")
+
+
+def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", min_pages: int = 5) -> DataFrame:
+    """``df`` without the source, with text (string, '' if none), n_chars, out_by_markup and out_by_tree (long; blocks put out by markup alone, and by the tree)."""
+    own, name = apart(df, page_id, url, source)
+    rest = [f"c{k}" for k, c in enumerate(df.columns) if c.lower() not in (source.lower(), "text", "n_chars", "out_by_markup", "out_by_tree")]
+    carried = list(dict.fromkeys([*rest, name[page_id]]))
+    parsed = written(_parsed(own.select(*carried, host_of(F.col(name[url])).alias("host"), F.col(name[source]).alias("source")), "source"), "pages")
+    lost = put_out(*importance(parsed, min_pages))
+    keys = F.transform("blocks", lambda x, k: F.struct(F.xxhash64("host", x["node"]).alias("site"), x["h"].alias("h"), x["state"].alias("state"), k.alias("k")))
+    keys = parsed.select(F.col(name[page_id]).alias("id"), "host", "page", F.explode(F.filter(keys, lambda x: x["state"] > OUT)).alias("x")).select("id", "host", "page", "x.*")
+    # equal rows have equal blocks, so a set is enough
+    gone = keys.join(lost, ["site", "h", "state"]).groupBy("id", "host", "page").agg(F.collect_set("k").alias("gone"), F.collect_set(F.when(F.col("by_tree"), F.col("k"))).alias("by_tree"))
+    gone = written(gone, "places")
+    same = F.col(f"p.{name[page_id]}").eqNullSafe(F.col("g.id")) & (F.col("p.host") == F.col("g.host")) & (F.col("p.page") == F.col("g.page"))
+    settled = parsed.alias("p").join(gone.alias("g"), same, "left").select(*(f"p.{c}" for c in rest), "p.blocks", "g.gone", "g.by_tree")
+    # array_except takes time in proportion to the blocks; texts that markup puts out are null and so not joined
+    stay = F.array_except(F.sequence(F.lit(0), F.size("blocks") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    text = F.when(F.size("blocks") == 0, "").otherwise(F.array_join(F.transform(stay, lambda k: F.get("blocks", k)["text"]), " "))
+    n_tree = F.coalesce(F.array_size("by_tree"), F.lit(0)).cast("long")
+    n_out = F.size(F.filter("blocks", lambda x: x["state"] == OUT)) + F.coalesce(F.array_size("gone"), F.lit(0)) - n_tree
+    out = settled.select(*rest, text.alias("text"), n_out.cast("long").alias("out_by_markup"), n_tree.alias("out_by_tree")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*(F.col(c).alias(df.columns[int(c[1:])]) for c in rest), "text", "n_chars", "out_by_markup", "out_by_tree")
