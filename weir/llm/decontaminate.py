@@ -7,7 +7,8 @@ the text), and the words of the window are compared with those of the text. All
 
 The keys and items are broadcast if the benchmark has at most ``MAX_BROADCAST_WORDS`` words, else the join is shuffled with the words around each key.
 Words are runs of characters of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` of the text with A-Z lower-cased. Null and empty texts have no words and are clean. Repeated
-rows get the same result each; rows with one id and unlike texts are judged apart. Other columns pass through.
+rows get the same result each; rows with one id and unlike texts are judged apart. Other columns pass through,
+but for those named as the new ones, in any case, which are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import apart, written
 
 WINDOW = 13
 #: About 3 MB of words; a larger benchmark is joined by shuffling.
@@ -76,12 +77,13 @@ def find(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str
         F.size(F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1))))))).alias("n_hit"),
         F.array_sort(F.collect_set("item_id")).alias("items"),
     )
-    base = df.withColumns({"_th": F.xxhash64(text), "_n": F.size(words_of(text)).cast("long")}).alias("d")
-    out = base.join(hits.alias("h"), F.col(f"d.{doc_id}").eqNullSafe(F.col("h._id")) & (F.col("d._th") == F.col("h._th")), "left")
+    base, name = apart(df, doc_id, text)
+    base = base.withColumns({"_th": F.xxhash64(name[text]), "_n": F.size(words_of(name[text])).cast("long")}).alias("d")
+    out = base.join(hits.alias("h"), F.col(f"d.{name[doc_id]}").eqNullSafe(F.col("h._id")) & (F.col("d._th") == F.col("h._th")), "left")
     new = ("n_words", "n_hit", "n_items", "items", "contaminated")
     n_hit = F.coalesce(F.col("h.n_hit"), F.lit(0)).cast("long")
     return out.select(
-        *(F.col(f"d.`{c}`") for c in df.columns if c not in new),
+        *(F.col(f"d.c{k}").alias(c) for k, c in enumerate(df.columns) if c.lower() not in new),
         F.col("d._n").alias("n_words"),
         n_hit.alias("n_hit"),
         F.when(F.col("h.items").isNull(), 0).otherwise(F.size("h.items")).cast("long").alias("n_items"),
