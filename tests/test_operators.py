@@ -67,9 +67,14 @@ def test_pairing_overwrites_and_ignores(spark):
 
 
 def test_mirror_and_proxy_roles(spark):
-    rows = [("t1", "x", 0, 100, "v1"), ("t2", "x", 400, 90, "v2"), ("p1", "y", 0, 900, "v1"), ("p2", "y", 90_000, 800, "v1"), ("p3", "y", 500_000, 800, "v1")]
-    got = {r.turn_id: r.role for r in proxy.groups(spark.createDataFrame(rows, "turn_id string, content string, start_us long, end_us long, view string"), ["content"]).collect()}
-    assert got == {"t1": "mirror_primary", "t2": "mirror_secondary", "p1": "proxy_in", "p2": "proxy_out"}
+    rows = [
+        ("t1", "x", 0, 100, "v1"), ("t2", "x", 400, 90, "v2"),  # both ends close: a mirror
+        ("p1", "y", 0, 900_000, "v1"), ("p2", "y", 90_000, 800_000, "v2"), ("p3", "y", 400, 900_100, "v3"), ("p4", "y", 90_000, 800_000, "v1"), ("p5", "y", 95_000, 990_000, "v2"), ("p6", "y", 500_000, 800_000, "v2"),
+        ("q1", "z", 0, 900, "v1"), ("q2", "z", 10, 800, "v1"),  # one view only: no group
+    ]
+    got = {r.turn_id: (r.role, r.peers) for r in proxy.groups(spark.createDataFrame(rows, "turn_id string, content string, start_us long, end_us long, view string"), ["content"]).collect()}
+    # p4 has the leader's view, p5 ends after it, p6 starts too late
+    assert got == {"t1": ("mirror_primary", ["t2"]), "t2": ("mirror_secondary", ["t1"]), "p1": ("proxy_in", ["p2", "p3"]), "p2": ("proxy_out", ["p1", "p3"]), "p3": ("mirror_secondary", ["p1", "p2"])}
 
 
 def test_sse_framing(spark):

@@ -35,6 +35,15 @@ def render(data: Column) -> Column:
     return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(F.format_string("[binary, %d bytes]", F.octet_length(data)))
 
 
-def blocks_text(blocks: Column) -> Column:
-    """The text blocks of a content list, a line each, trimmed."""
-    return stripped(F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n"))
+def kind(body: Column, path: str) -> Column:
+    """The kind of the value at a path: STRING, BIGINT, BOOLEAN, ARRAY<...>, OBJECT<...>, VOID for a JSON null; null if there is none."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), path, "variant"))
+
+
+def is_there(body: Column, path: str) -> Column:
+    """There is a value at a path, a JSON null too."""
+    return kind(body, path).isNotNull()
+
+
+def is_list(body: Column, path: str) -> Column:
+    return F.coalesce(kind(body, path).startswith("ARRAY"), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .json_paths import header, number, text
+from .json_paths import header, is_list, is_there, kind, number, text
 
 #: JSON paths of the published APIs, by field; the first that is there counts.
 RESPONSE_PATHS = {
@@ -14,8 +14,13 @@ RESPONSE_PATHS = {
     "openai-responses": {"id": ["$.id"], "model": ["$.model"], "finish_reason": ["$.status"], "input_tokens": ["$.usage.input_tokens"], "output_tokens": ["$.usage.output_tokens"], "total_tokens": ["$.usage.total_tokens"], "cache_read_input_tokens": ["$.usage.input_tokens_details.cached_tokens"], "cache_creation_input_tokens": []},
     "gemini-aistudio": {"id": ["$.responseId"], "model": ["$.modelVersion", "$.model"], "finish_reason": ["$.candidates[0].finishReason"], "input_tokens": ["$.usageMetadata.promptTokenCount"], "output_tokens": ["$.usageMetadata.candidatesTokenCount"], "total_tokens": ["$.usageMetadata.totalTokenCount"], "cache_read_input_tokens": ["$.usageMetadata.cachedContentTokenCount"], "cache_creation_input_tokens": []},
 }
-#: Finish reasons that end an answer, and those that ask for tools.
-TERMINAL = {"anthropic": ("end_turn", "stop_sequence", "max_tokens", "refusal"), "openai-chat": ("stop", "length", "content_filter"), "openai-responses": ("completed", "failed", "incomplete", "cancelled"), "gemini-aistudio": ("STOP", "MAX_TOKENS", "SAFETY", "RECITATION")}
+#: Finish reasons that end an answer, and those of them that ask for tools.
+TERMINAL = {
+    "anthropic": ("end_turn", "stop_sequence", "max_tokens", "tool_use", "refusal", "model_context_window_exceeded"),
+    "openai-chat": ("stop", "length", "tool_calls", "function_call", "content_filter"),
+    "openai-responses": ("completed", "incomplete", "failed", "cancelled"),
+    "gemini-aistudio": ("STOP", "MAX_TOKENS", "SAFETY", "RECITATION", "LANGUAGE", "BLOCKLIST", "PROHIBITED_CONTENT", "SPII", "MALFORMED_FUNCTION_CALL", "IMAGE_SAFETY", "OTHER", "TOOL_USE"),
+}
 TOOL_USE = {"anthropic": ("tool_use",), "openai-chat": ("tool_calls", "function_call"), "openai-responses": (), "gemini-aistudio": ("TOOL_USE",)}
 
 
@@ -27,24 +32,57 @@ def _by_api(wire_api: Column, make) -> Column:
     return out
 
 
+def _vendor(headers: Column) -> dict[str, Column]:
+    """What credentials and version headers say about who is asked."""
+    auth = F.coalesce(header(headers, "authorization"), F.lit(""))
+    version = header(headers, "anthropic-version").isNotNull()
+    return {
+        "version": version,
+        "key": F.coalesce(header(headers, "x-api-key"), F.lit("")).startswith("sk-ant-") | auth.startswith("Bearer sk-ant-"),
+        "other": ~(version | auth.startswith("Bearer sk-ant-")),
+        "bearer": auth.startswith("Bearer "),
+    }
+
+
+def routes(path: Column, headers: Column) -> dict[str, Column]:
+    """By wire API: true if the route is one of its own, false if it cannot be, null if the body must tell. All are posted."""
+    bare, who = F.substring_index(path, "?", 1), _vendor(headers)
+    unknown = F.lit(None).cast("boolean")
+    return {
+        "anthropic": F.when(bare.endswith("/v1/messages/count_tokens") | bare.endswith("/v1/messages/batches"), False).when(bare.endswith("/v1/messages") & (who["version"] | who["key"]), True).otherwise(unknown),
+        "openai-responses": F.when(~who["other"], False).when(bare.endswith("/v1/responses") & who["bearer"], True).otherwise(unknown),
+        "gemini-aistudio": F.when(bare.contains("/v1beta/models/") & (bare.endswith(":generateContent") | bare.endswith(":streamGenerateContent")), True).otherwise(unknown),
+        "openai-chat": F.when(~who["other"], False).when(bare.endswith("/v1/chat/completions") & who["bearer"], True).otherwise(unknown),
+    }
+
+
+def shapes(headers: Column, body: Column) -> dict[str, Column]:
+    """By wire API: whether a JSON body looks like one of its requests."""
+    who = _vendor(headers)
+    has = lambda name: is_there(body, f"$.{name}")
+    named = F.coalesce(kind(body, "$.model") == "STRING", F.lit(False))
+    filled = lambda name: is_list(body, f"$.{name}") & is_there(body, f"$.{name}[0]")
+    roles = F.transform(F.from_json(F.get_json_object(body, "$.messages"), "array<struct<role:string>>"), lambda m: m["role"])
+    strict = F.coalesce(F.forall(roles, lambda r: F.coalesce(r.isin("user", "assistant"), F.lit(False))), F.lit(False))
+    return {
+        "anthropic": named & is_list(body, "$.messages") & strict & ~has("input") & (who["version"] | who["key"] | has("system") | has("stop_sequences")),
+        "openai-responses": named & has("input") & ~has("messages"),
+        "gemini-aistudio": filled("contents") & ~has("messages") & ~has("input") & ~has("request"),
+        "openai-chat": named & ~has("input") & filled("messages"),
+    }
+
+
 def detect(method: Column, path: Column, headers: Column, body: Column) -> Column:
-    """The wire API of a request: by route first, then, for JSON that is posted, by the shape of the body; null if none fits."""
-    route = (
-        F.when(path.rlike(r"/v1/messages(\?|$)") | header(headers, "anthropic-version").isNotNull(), "anthropic")
-        .when(path.rlike(r"/responses(\?|$)"), "openai-responses")
-        .when(path.rlike(r":(streamGenerateContent|generateContent)(\?|$)"), "gemini-aistudio")
-        .when(path.rlike(r"/chat/completions(\?|$)"), "openai-chat")
-    )
-    rejected = path.rlike(r"/(embeddings|count_tokens|models|completions/render|tokenize)(\?|$)")
-    has = lambda p: F.get_json_object(body, p).isNotNull()
-    shape = (
-        F.when(has("$.messages") & has("$.max_tokens") & (has("$.system") | has("$.messages[0].content[0].type") | has("$.anthropic_version")), "anthropic")
-        .when(has("$.input") & has("$.model"), "openai-responses")
-        .when(has("$.contents[0].parts"), "gemini-aistudio")
-        .when(has("$.messages") & has("$.model"), "openai-chat")
-    )
-    posted = (F.upper(method) == "POST") & F.coalesce(header(headers, "content-type"), F.lit("")).contains("application/json")
-    return F.when(rejected, None).otherwise(F.coalesce(route, F.when(posted, shape)))
+    """The wire API of a posted request, null if none fits.
+
+    All routes are asked before any body: a route of an API's own settles it. Else, for JSON, the first API whose route is open and
+    whose shape the body has; a vendor's header alone is not enough, as its telemetry carries that, too.
+    """
+    by_route, by_shape = routes(path, headers), shapes(headers, body)
+    json = F.lower(F.trim(F.substring_index(F.coalesce(header(headers, "content-type"), F.lit("")), ";", 1))) == "application/json"
+    settled = F.coalesce(*(F.when(by_route[api], api) for api in RESPONSE_PATHS))
+    guessed = F.coalesce(*(F.when(by_route[api].isNull() & by_shape[api], api) for api in RESPONSE_PATHS))
+    return F.when(method == "POST", F.coalesce(settled, F.when(json, guessed)))
 
 
 def request_fields(wire_api: Column, path: Column, body: Column) -> Column:
@@ -70,10 +108,18 @@ def response_fields(wire_api: Column, body: Column) -> Column:
     return F.struct(one("id", text), one("model", text), finish.alias("finish_reason"), *(t.cast("long").alias(n) for t, n in zip(tokens, ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"))), total.alias("total_tokens"))
 
 
-def is_turn_terminal(wire_api: Column, finish_reason: Column) -> Column:
+def ends_with_message(body: Column) -> Column:
+    """A responses body whose output has a message and asks for no call."""
+    kinds = F.transform(F.from_json(F.get_json_object(body, "$.output"), "array<struct<type:string>>"), lambda x: F.coalesce(x["type"], F.lit("")))
+    return F.coalesce(F.exists(kinds, lambda k: k == "message") & ~F.exists(kinds, lambda k: k.endswith("_call")), F.lit(False))
+
+
+def is_turn_terminal(wire_api: Column, finish_reason: Column, body: Column | None = None) -> Column:
+    """The answer ends a turn. With ``body``, a responses answer is judged by its output, as its status says nothing of calls."""
     ends = _by_api(wire_api, lambda api: finish_reason.isin(*TERMINAL[api]))
     tools = _by_api(wire_api, lambda api: finish_reason.isin(*TOOL_USE[api]) if TOOL_USE[api] else F.lit(False))
-    return F.coalesce(ends & ~tools, F.lit(False))
+    by_reason = F.coalesce(ends & ~tools, F.lit(False))
+    return by_reason if body is None else F.when(wire_api == "openai-responses", ends_with_message(body)).otherwise(by_reason)
 
 
 def sse_events(stream: Column) -> Column:
@@ -161,6 +207,14 @@ def tokens_estimated(body: Column, input_tokens: Column, output_tokens: Column)
     return ((F.coalesce(input_tokens, F.lit(0)) > 0) | (F.coalesce(output_tokens, F.lit(0)) > 0)) & ~named
 
 
+def estimated(wire_api: Column, status: Column, request: Column, answer: Column, input_tokens: Column, output_tokens: Column, bytes_per_token: int = 4) -> Column:
+    """input and output: the counts named, or, of a good answer that names none (but for gemini), visible bytes by ``bytes_per_token``, thoughts left out."""
+    visible = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?s)<think>.*?(</think>|$)", "")
+    none = status.between(200, 299) & (F.coalesce(input_tokens, F.lit(0)) == 0) & (F.coalesce(output_tokens, F.lit(0)) == 0) & answer.isNotNull() & (wire_api != "gemini-aistudio")
+    size = lambda x: F.ceil(F.octet_length(x) / bytes_per_token).cast("long")
+    return F.struct(F.when(none, size(F.coalesce(request, F.lit("")))).otherwise(input_tokens).alias("input"), F.when(none, size(visible)).otherwise(output_tokens).alias("output"))
+
+
 def backfill_tokens(spans: DataFrame, bytes_per_token: int = 4) -> DataFrame:
     """Estimates the counts of answered spans that have none: visible bytes by ``bytes_per_token``, thoughts left out. Doing it again changes nothing."""
     visible = F.regexp_replace(F.coalesce("response_body", F.lit("")), r"(?s)<think>.*?(</think>|$)", "")

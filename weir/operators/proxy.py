@@ -12,26 +12,27 @@ GAP_US, MIRROR_US = 100_000, 500
 
 
 def groups(turns: DataFrame, content: Sequence[str]) -> DataFrame:
-    """turn_id, pair_id, role and size, for turns of equal content that started close together.
+    """turn_id, pair_id, role, size and peers (the other members, sorted), for turns of equal content that are one call seen more than once.
 
-    Turns of one content are clustered by gaps between starts. The outermost turn of a cluster (first start, then last end, then id) is `proxy_in`,
-    or `mirror_primary` if all others started within the mirror distance on other views; the others are `proxy_out` or `mirror_secondary`.
+    ``turns``: turn_id, start_us, end_us, view and the content. Turns are clustered by gaps between starts. The outermost one of a cluster (first
+    start, then last end, then id) leads; of the others, those on its own view are no copies; those whose start and end are within the mirror distance
+    are `mirror_secondary`, those that lie within it `proxy_out`; what overlaps it in another way belongs to no group. The leader is
+    `proxy_in` if there is a `proxy_out`, else `mirror_primary`; without any other member there is no group. The pair has the leader's id.
     """
     by = Window.partitionBy(*content).orderBy("start_us", F.col("end_us").desc(), "turn_id")
     gap = F.when(F.col("start_us") - F.lag("start_us").over(by) > GAP_US, 1).otherwise(0)
-    own = turns.withColumn("_gap", gap).withColumn("_cluster", F.sum("_gap").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    own = turns.select(*content, "turn_id", "start_us", "end_us", "view", gap.alias("_gap")).withColumn("_cluster", F.sum("_gap").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy(*content, "_cluster")
-    ranked = own.withColumns({
-        "_rank": F.row_number().over(inside.orderBy("start_us", F.col("end_us").desc(), "turn_id")),
-        "size": F.count("*").over(inside),
-        "pair_id": F.first("turn_id").over(inside.orderBy("start_us", F.col("end_us").desc(), "turn_id")),
-        "_first": F.min("start_us").over(inside),
-        "_last": F.max("start_us").over(inside),
-        "_views": F.size(F.collect_set("view").over(inside)),
-    })
-    mirror = (F.col("_last") - F.col("_first") <= MIRROR_US) & (F.col("_views") == F.col("size"))
-    role = F.when(mirror, F.when(F.col("_rank") == 1, "mirror_primary").otherwise("mirror_secondary")).otherwise(F.when(F.col("_rank") == 1, "proxy_in").otherwise("proxy_out"))
-    return ranked.where("size > 1").select("turn_id", "pair_id", role.alias("role"), F.col("size").cast("long").alias("size"))
+    led = own.withColumn("_lead", F.first(F.struct("turn_id", "start_us", "end_us", "view")).over(inside.orderBy("start_us", F.col("end_us").desc(), "turn_id")))
+    at = lambda name: F.col(f"_lead.{name}")
+    mirror = (F.abs(F.col("start_us") - at("start_us")) <= MIRROR_US) & (F.abs(F.col("end_us") - at("end_us")) <= MIRROR_US)
+    nested = (at("start_us") <= F.col("start_us")) & (at("end_us") >= F.col("end_us"))
+    role = F.when(F.col("turn_id") == at("turn_id"), "lead").when(F.col("view") == at("view"), None).when(mirror, "mirror_secondary").when(nested, "proxy_out")
+    told = led.withColumn("_role", role).where(F.col("_role").isNotNull())
+    sized = told.withColumns({"size": F.count("*").over(inside), "_hop": F.max(F.col("_role") == "proxy_out").over(inside), "_all": F.collect_set("turn_id").over(inside)})
+    role = F.when(F.col("_role") != "lead", F.col("_role")).when(F.col("_hop"), "proxy_in").otherwise("mirror_primary")
+    peers = F.array_sort(F.array_remove("_all", F.col("turn_id")))
+    return sized.where("size > 1").select("turn_id", at("turn_id").alias("pair_id"), role.alias("role"), F.col("size").cast("long").alias("size"), peers.alias("peers"))
 
 
 def header_diff(legs: DataFrame) -> DataFrame:

@@ -26,6 +26,11 @@ def assemble(calls: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("source_id", "session_id").orderBy("request_us").rangeBetween(Window.unboundedPreceding, -1)
     own = calls.where(~F.col("is_auxiliary")).withColumn("turn_no", F.coalesce(F.sum(F.col("is_terminal").cast("int")).over(earlier), F.lit(0)))
     at = F.struct("request_us", "id")
+    # what only calls read from bodies have
+    rank = F.max(F.when(F.col("agent_topology") == "orchestrator", 2).when(F.col("agent_topology") == "sub_agent", 1).when(F.col("agent_topology") == "single_agent", 0)) if "agent_topology" in calls.columns else None
+    extra = {n: F.min_by(n, at).alias(n) for n in ("wire_api", "agent_kind") if n in calls.columns}
+    extra |= {f"total_{n}": F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(f"total_{n}") for n in ("cache_read_input_tokens", "cache_creation_input_tokens") if n in calls.columns}
+    extra |= {"agent_topology": F.get(F.array(F.lit("single_agent"), F.lit("sub_agent"), F.lit("orchestrator")), rank).alias("agent_topology")} if rank is not None else {}
     ordered = F.array_sort(F.collect_list(F.struct("request_us", "id", "model", "subagent")))
     turns = own.groupBy("source_id", "session_id", "turn_no").agg(
         F.min("request_us").alias("start_us"),
@@ -39,6 +44,7 @@ def assemble(calls: DataFrame) -> DataFrame:
         F.max("is_user_start").alias("_started"),
         F.min_by(F.when(F.col("is_user_start"), F.struct("id", "user_input")), F.when(F.col("is_user_start"), at)).alias("_user"),
         F.max_by(F.struct("id", "assistant_text", "finish_reason"), at).alias("_final"),
+        *(f for name, f in extra.items()),
     )
     names = F.array_distinct(F.filter(F.transform("_calls", lambda c: c["model"]), lambda m: m.isNotNull()))
     subagents = F.array_distinct(F.filter(F.transform("_calls", lambda c: c["subagent"]), lambda m: m.isNotNull()))
@@ -51,7 +57,7 @@ def assemble(calls: DataFrame) -> DataFrame:
         F.when(F.col("_done"), "complete").otherwise("incomplete").alias("status"),
         F.col("_final.finish_reason").alias("final_finish_reason"),
         preview(F.col("_user.user_input")).alias("user_input_preview"), F.col("_user.id").alias("user_call_id"),
-        preview(F.col("_final.assistant_text")).alias("final_answer_preview"), F.col("_final.id").alias("final_call_id"),
+        preview(F.col("_final.assistant_text")).alias("final_answer_preview"), F.col("_final.id").alias("final_call_id"), *extra,
     )
 
 

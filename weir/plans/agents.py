@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import listing, predicates, proxy, turns
+from ..operators import calls, listing, predicates, proxy, turns
 from ..sources import bridge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,15 +97,17 @@ def traces_with_in_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.union_in_progress(rows.where("status = 'complete'"), rows.where("status = 'incomplete'").withColumn("status", F.lit("in_progress")))
 
 
-#: Turns seen again: event e has copies some time after, on other views.
+#: Turns seen again: event e has copies some time after, on other views; some end with the first, some within it, some after it.
 _SEEN = """seen AS (SELECT concat(CAST(event_id AS VARCHAR), '/', CAST(leg AS VARCHAR)) AS turn_id, event_id AS content, epoch_us(ts) + CASE leg WHEN 0 THEN 0 WHEN 1 THEN (event_id % 7) * 100 ELSE (event_id % 5) * 60000 END AS start_us,
- epoch_us(ts) + 1000000 + CAST(floor(value * 1000) AS BIGINT) - leg * 1000 AS end_us, concat('v', CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE leg END AS VARCHAR)) AS view
+ epoch_us(ts) + 1000000 + CAST(floor(value * 1000) AS BIGINT) - leg * CASE WHEN event_id % 5 = 0 THEN 100 WHEN event_id % 9 = 0 THEN -50000 ELSE 1000 END AS end_us, concat('v', CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE leg END AS VARCHAR)) AS view
  FROM events CROSS JOIN (SELECT unnest([0, 1, 2]) AS leg) WHERE leg <= event_id % 3)"""
 _GROUPS = f"""{_SEEN}, g AS (SELECT *, CASE WHEN start_us - lag(start_us) OVER (PARTITION BY content ORDER BY start_us, end_us DESC, turn_id) > 100000 THEN 1 ELSE 0 END AS gap FROM seen),
 k AS (SELECT *, sum(gap) OVER (PARTITION BY content ORDER BY start_us, end_us DESC, turn_id ROWS UNBOUNDED PRECEDING) AS cl FROM g),
-a AS (SELECT content, cl, count(*) AS size, min(start_us) AS lo, max(start_us) AS hi, count(DISTINCT view) AS views FROM k GROUP BY 1, 2),
-p AS (SELECT k.*, a.size, first_value(turn_id) OVER w AS pair_id, row_number() OVER w AS rk, hi - lo <= 500 AND views = a.size AS mirror FROM k JOIN a ON k.content = a.content AND k.cl = a.cl WHERE a.size > 1 WINDOW w AS (PARTITION BY k.content, k.cl ORDER BY start_us, end_us DESC, turn_id)),
-r AS (SELECT turn_id, pair_id, size, end_us - start_us AS duration_us, CASE WHEN mirror THEN CASE WHEN rk = 1 THEN 'mirror_primary' ELSE 'mirror_secondary' END WHEN rk = 1 THEN 'proxy_in' ELSE 'proxy_out' END AS role FROM p)"""
+f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY content, cl ORDER BY start_us, end_us DESC, turn_id) = 1),
+m AS (SELECT k.*, f.turn_id AS pair_id, f.turn_id = k.turn_id AS leads, abs(k.start_us - f.start_us) <= 500 AND abs(k.end_us - f.end_us) <= 500 AS mirror, k.start_us >= f.start_us AND k.end_us <= f.end_us AS nested, k.view = f.view AS own FROM k JOIN f ON f.content = k.content AND f.cl = k.cl),
+v AS (SELECT * FROM m WHERE leads OR (NOT own AND (mirror OR nested))),
+a AS (SELECT pair_id, count(*) AS size, bool_or(NOT leads AND NOT mirror) AS hop FROM v GROUP BY 1 HAVING count(*) > 1),
+r AS (SELECT v.turn_id, v.pair_id, a.size, v.end_us - v.start_us AS duration_us, CASE WHEN leads AND hop THEN 'proxy_in' WHEN leads THEN 'mirror_primary' WHEN mirror THEN 'mirror_secondary' ELSE 'proxy_out' END AS role FROM v JOIN a ON a.pair_id = v.pair_id)"""
 
 
 def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,14 +116,14 @@ def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = F.when(F.col("leg") == 0, 0).when(F.col("leg") == 1, F.col("event_id") % 7 * 100).otherwise(F.col("event_id") % 5 * 60000)
     return legs.select(
         F.concat_ws("/", F.col("event_id").cast("string"), F.col("leg").cast("string")).alias("turn_id"), F.col("event_id").alias("content"), (F.col("us") + later).alias("start_us"),
-        (F.col("us") + 1_000_000 + F.floor(F.col("value") * 1000) - F.col("leg") * 1000).alias("end_us"),
+        (F.col("us") + 1_000_000 + F.floor(F.col("value") * 1000) - F.col("leg") * F.when(F.col("event_id") % 5 == 0, 100).when(F.col("event_id") % 9 == 0, -50_000).otherwise(1000)).alias("end_us"),
         F.concat(F.lit("v"), F.when(F.col("event_id") % 4 == 0, 0).otherwise(F.col("leg")).cast("string")).alias("view"),
     )
 
 
-@query(f"WITH {_GROUPS} SELECT turn_id, pair_id, role, size FROM r")
+@query(f"WITH {_GROUPS} SELECT turn_id, pair_id, role, size, (SELECT string_agg(o.turn_id, ',' ORDER BY o.turn_id) FROM r o WHERE o.pair_id = r.pair_id AND o.turn_id <> r.turn_id) AS peers FROM r")
 def proxy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proxy.groups(seen(spark, sf_dir), ["content"])
+    return flat(proxy.groups(seen(spark, sf_dir), ["content"]))
 
 
 @query(f"WITH {_GROUPS} SELECT turn_id FROM seen WHERE turn_id NOT IN (SELECT turn_id FROM r WHERE role IN ('proxy_out', 'mirror_secondary'))")
@@ -161,7 +163,7 @@ _LEGS = """legs AS (SELECT r.turn_id, r.pair_id, r.role, concat('m', CAST((conte
 
 def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = seen(spark, sf_dir)
-    out = proxy.groups(rows, ["content"]).join(rows.select("turn_id", "content"), "turn_id")
+    out = proxy.groups(rows, ["content"]).drop("peers").join(rows.select("turn_id", "content"), "turn_id")
     shift = F.when((F.col("role") == "proxy_out") & (F.col("content") % 2 == 0), 1).otherwise(0)
     return out.select("turn_id", "pair_id", "role", F.concat(F.lit("m"), ((F.col("content") + shift) % 5).cast("string")).alias("model"), F.col("content").cast("string").alias("first_span"))
 
@@ -180,3 +182,55 @@ def proxy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def traces_by_port(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bridge.read(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("turn_id"), F.array(F.col("event_id").cast("string")).alias("span_ids"))
     return turns.with_first_span_port(rows, bridge.spans(spark, sf_dir), [8001, 8002]).select("turn_id")
+
+
+def conversation_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exchange for each answer of a conversation: even conversations are of one agent, every other of these a stream of events, odd ones of another."""
+    rows = bridge.read(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    own = rows.withColumns({"asked": F.lag("text").over(w), "before": F.lag("role").over(w), "after": F.lead("role").over(w), "said": F.coalesce("text", F.lit(""))}).where("role = 'assistant'")
+    conv, turn, said = F.col("conv_id"), F.col("turn"), F.col("said")
+    claude, ends = conv % 2 == 0, F.coalesce(F.col("after") == "user", F.lit(True))
+    tokens = F.char_length(said)
+    ask = F.when(F.col("before") == "user", F.col("asked"))
+    content = F.when(ask.isNotNull(), F.to_json(F.struct(F.struct(F.lit("text").alias("type"), ask.alias("text")).alias("b")))).otherwise(F.lit('{"b":{"type":"tool_result","tool_use_id":"t"}}'))
+    last = F.when(claude, F.concat(F.lit('{"role":"user","content":['), F.get_json_object(content, "$.b"), F.lit("]}"))).otherwise(F.when(ask.isNotNull(), F.to_json(F.struct(F.lit("user").alias("role"), ask.alias("content")))).otherwise('{"role":"tool","content":"42"}'))
+    request = F.concat(F.lit('{"model":"ask","stream":'), (conv % 4 == 0).cast("string"), F.lit(',"tools":[{"name":"Agent","function":{"name":"x"}}],"messages":['), last, F.lit("]}"))
+    quoted = F.get_json_object(F.to_json(F.struct(F.struct(said.alias("t")).alias("q"))), "$.q")
+    whole = F.concat(F.format_string('{"id":"r%d","model":"m%d","content":[', turn, conv % 3), F.replace(quoted, F.lit('{"t":'), F.lit('{"type":"text","text":')), F.format_string('],"stop_reason":"%s","usage":{"input_tokens":%d,"output_tokens":%d}}', F.when(ends, "end_turn").otherwise("tool_use"), turn, tokens))
+    start = F.format_string('event: message_start\ndata: {"type":"message_start","message":{"id":"r%d","model":"m%d","usage":{"input_tokens":%d}}}\n\n', turn, conv % 3, turn)
+    delta = F.concat(F.lit('data: {"type":"content_block_delta","index":0,"delta":'), F.replace(quoted, F.lit('{"t":'), F.lit('{"type":"text_delta","text":')), F.lit("}\n\n"))
+    stop = F.format_string('data: {"type":"message_delta","delta":{"stop_reason":"%s"},"usage":{"output_tokens":%d}}\n\n', F.when(ends, "end_turn").otherwise("tool_use"), tokens)
+    chat = F.concat(F.format_string('{"id":"r%d","model":"m%d","choices":[{"finish_reason":"%s","message":', turn, conv % 3, F.when(ends, "stop").otherwise("tool_calls")), F.replace(quoted, F.lit('{"t":'), F.lit('{"content":')), F.format_string('}],"usage":{"prompt_tokens":%d,"completion_tokens":%d}}', turn, tokens))
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    json = pair("content-type", F.lit("application/json"))
+    headers = F.when(claude, F.array(json, pair("anthropic-version", F.lit("1")), pair("user-agent", F.lit("claude-cli/1")), pair("x-claude-code-session-id", conv.cast("string")))).otherwise(F.array(json, pair("user-agent", F.lit("opencode/1")), pair("x-session-affinity", conv.cast("string"))))
+    at = conv * 3_600_000_000 + turn * 1_000_000
+    return own.select(
+        F.concat(F.lit("src-"), (conv % 2).cast("string")).alias("source_id"), F.lit("10.1.0.1").alias("client_ip"), turn.cast("int").alias("client_port"), F.lit("10.0.0.1").alias("server_ip"), F.lit(443).alias("server_port"),
+        F.lit("POST").alias("method"), F.when(claude, "/v1/messages").otherwise("/gate/chat").alias("uri"), headers.alias("request_headers"), request.alias("request_body"), F.lit(200).alias("status_code"),
+        F.array(json).alias("response_headers"), F.when(conv % 4 == 0, F.concat(start, delta, stop)).when(claude, whole).otherwise(chat).alias("response_body"), (conv % 4 == 0).alias("is_sse"),
+        at.alias("request_us"), (at + turn % 3 * 500).alias("response_us"), (at + tokens * 10).alias("complete_us"),
+    )
+
+
+_ANSWERS_SQL = """q AS (SELECT *, lag(text) OVER w AS asked, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT conv_id, turn, conv_id * 3600000000 + turn * 1000000 AS request_us, length(coalesce(text, '')) AS n, coalesce(after = 'user', true) AS ends, CASE WHEN before = 'user' THEN asked END AS ask, nullif(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '') AS said, text FROM q WHERE role = 'assistant'),
+s AS (SELECT concat('src-', CAST(conv_id % 2 AS VARCHAR)) AS source_id, CAST(conv_id AS VARCHAR) AS session_id, request_us, CASE WHEN conv_id % 2 = 0 THEN 'anthropic' ELSE 'openai-chat' END AS wire_api, CASE WHEN conv_id % 2 = 0 THEN 'claude-cli' ELSE 'opencode' END AS agent_kind, concat('m', CAST(conv_id % 3 AS VARCHAR)) AS model, conv_id % 4 = 0 AS is_stream,
+ CASE WHEN conv_id % 2 = 0 THEN CASE WHEN ends THEN 'end_turn' ELSE 'tool_use' END ELSE CASE WHEN ends THEN 'stop' ELSE 'tool_calls' END END AS finish_reason, concat('r', CAST(turn AS VARCHAR)) AS response_id, CAST(turn AS BIGINT) AS named_in, CAST(n AS BIGINT) AS output_tokens,
+ CASE WHEN turn % 3 > 0 THEN turn % 3 * 0.5::DOUBLE END AS ttft_ms, CASE WHEN n > 0 THEN n / 100.0::DOUBLE END AS e2e_latency_ms, ends AS is_terminal, CASE WHEN ask IS NULL THEN false ELSE regexp_matches(ask, '\\S') END AS is_user_start, request_us + greatest(n * 10, 0) AS end_us FROM x)"""
+
+
+@query(f"WITH {_ANSWERS_SQL} SELECT source_id, session_id, request_us, wire_api, agent_kind, model, is_stream, finish_reason, response_id, named_in AS input_tokens, output_tokens, named_in + output_tokens AS total_tokens, ttft_ms, e2e_latency_ms, is_terminal, is_user_start FROM s WHERE named_in + output_tokens > 0")
+def spans_from_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["source_id", "session_id", "request_us", "wire_api", "agent_kind", "model", "is_stream", "finish_reason", "response_id", "input_tokens", "output_tokens", "total_tokens", "ttft_ms", "e2e_latency_ms", "is_terminal", "is_user_start"]
+    # an answer of no token at turn 0 names no count, so it would be estimated
+    return calls.to_spans(conversation_exchanges(spark, sf_dir)).select(*names).where("total_tokens > 0 and request_us % 3600000000 + output_tokens > 0")
+
+
+@query(f"""WITH {_ANSWERS_SQL}, t AS (SELECT *, coalesce(sum(CAST(is_terminal AS INT)) OVER (PARTITION BY source_id, session_id ORDER BY request_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn_no FROM s)
+SELECT concat(source_id, ':', session_id, ':', CAST(turn_no AS VARCHAR)) AS turn_id, min(request_us) AS start_us, max(end_us) AS end_us, count(*) AS call_count, any_value(model) AS models_used, CASE WHEN bool_or(is_terminal) THEN 'complete' ELSE 'incomplete' END AS status, any_value(agent_kind) AS agent_kind, any_value(wire_api) AS wire_api
+FROM t GROUP BY source_id, session_id, turn_no HAVING bool_or(is_user_start)""")
+def turns_from_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = turns.assemble(calls.of_agents(calls.to_spans(conversation_exchanges(spark, sf_dir))))
+    return flat(out).select("turn_id", "start_us", "end_us", "call_count", "models_used", "status", "agent_kind", "wire_api")

@@ -45,14 +45,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _API = "CASE event_type WHEN 'signup' THEN 'anthropic' WHEN 'view' THEN 'openai-responses' WHEN 'click' THEN 'gemini-aistudio' WHEN 'error' THEN NULL ELSE 'openai-chat' END"
 
 
-def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).withColumn("wire_api", wire.detect(F.lit("POST"), F.col("path"), F.col("headers"), F.col("body")))
-
-
-@query(f"SELECT event_id, {_API} AS wire_api, CASE WHEN event_type = 'click' THEN concat('g', CAST(event_id % 3 AS VARCHAR)) ELSE concat('m', CAST(event_id % 5 AS VARCHAR)) END AS model, CASE WHEN event_type = 'click' THEN true ELSE event_id % 2 = 0 END AS is_stream FROM events WHERE event_type <> 'error'")
-def wire_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _detected(spark, sf_dir).where(F.col("wire_api").isNotNull())
-    return rows.select("event_id", "wire_api", wire.request_fields(F.col("wire_api"), F.col("path"), F.col("body")).alias("r")).select("event_id", "wire_api", "r.model", "r.is_stream")
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _events(spark, sf_dir).where("event_type <> 'error'")
+    kind = F.col("event_type")
+    return own.withColumn("wire_api", F.when(kind == "signup", "anthropic").when(kind == "view", "openai-responses").when(kind == "click", "gemini-aistudio").otherwise("openai-chat"))
 
 
 @query(f"""WITH x AS (SELECT *, {_API} AS wire_api FROM events WHERE event_type <> 'error'),
@@ -60,19 +56,11 @@ y AS (SELECT event_id, wire_api, concat('r', CAST(event_id AS VARCHAR)) AS id, C
  CASE wire_api WHEN 'gemini-aistudio' THEN event_id % 50 WHEN 'openai-chat' THEN event_id % 80 ELSE event_id % 90 END AS input_tokens, CASE wire_api WHEN 'gemini-aistudio' THEN event_id % 40 WHEN 'openai-chat' THEN event_id % 60 ELSE event_id % 70 END AS output_tokens FROM x)
 SELECT *, input_tokens + output_tokens AS total_tokens, (wire_api = 'anthropic' OR wire_api = 'openai-responses' OR finish_reason = 'STOP') AS is_terminal FROM y""")
 def wire_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _detected(spark, sf_dir).where(F.col("wire_api").isNotNull())
+    rows = _known(spark, sf_dir)
     out = rows.select("event_id", "wire_api", wire.response_fields(F.col("wire_api"), F.col("response")).alias("r"))
     return out.select("event_id", "wire_api", "r.id", "r.finish_reason", "r.input_tokens", "r.output_tokens", "r.total_tokens", wire.is_turn_terminal(F.col("wire_api"), F.col("r.finish_reason")).alias("is_terminal"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'claude-cli' WHEN 1 THEN 'codex-cli' WHEN 2 THEN 'opencode' ELSE 'generic' END AS agent_kind,
-CASE WHEN event_id % 7 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'mcp__x,Task' ELSE 'Bash,Task' END WHEN event_id % 3 = 0 THEN 'mcp__x' ELSE 'Bash' END AS tool_names,
-CASE WHEN event_id % 7 = 0 THEN 'mixed' WHEN event_id % 3 = 0 THEN 'mcp' ELSE 'cli' END AS tool_surface, CASE WHEN event_id % 11 = 0 THEN 'sub_agent' WHEN event_id % 7 = 0 THEN 'orchestrator' ELSE 'single_agent' END AS agent_topology FROM events""")
-def agent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _events(spark, sf_dir).withColumn("names", agents.tool_names(F.col("body")))
-    return rows.select("event_id", agents.profile(F.col("headers"), F.col("body")).alias("agent_kind"), F.array_join("names", ",").alias("tool_names"), agents.tool_surface(F.col("names")).alias("tool_surface"), agents.topology(F.col("names"), F.col("event_id") % 11 == 0).alias("agent_topology"))
-
-
 @query("SELECT conv_id, count(*) AS event_count, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS data_bytes FROM conversations GROUP BY 1")
 def sse_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bridge.read(spark, sf_dir, "conversations")
@@ -115,8 +103,8 @@ def tool_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = bridge.read(spark, sf_dir, "events")
     by_tool = F.col("event_id") % 3 == 0
-    headers = _headers(X_Session_Id=F.when(~by_tool, F.concat(F.lit("s"), F.col("user_id").cast("string"))))
-    out = agents.session_id(headers, F.lit("{}"), F.when(by_tool, F.concat(F.lit("toolu"), F.col("event_id").cast("string"))), F.lit("hello"), F.lit("hi"))
+    headers = _headers(X_Session_Affinity=F.concat(F.lit("s"), F.col("user_id").cast("string")))
+    out = agents.session_id(F.when(by_tool, "generic").otherwise("opencode"), headers, F.when(by_tool, F.concat(F.lit("toolu"), F.col("event_id").cast("string"))), F.lit("hello"), F.lit("hi"))
     return e.select("event_id", out.alias("session_id"))
 
 
@@ -151,4 +139,4 @@ def user_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.to_json(F.struct(F.array(F.struct("role", content.alias("content"))).alias("messages")))
     listed = F.to_json(F.struct(F.array(F.struct("role", part.alias("content"))).alias("messages")))
     own = rows.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "anthropic").otherwise("openai-chat").alias("wire_api"), F.when(F.col("conv_id") % 2 == 0, plain).otherwise(listed).alias("body"))
-    return own.select("conv_id", "turn", messages.user_text(F.col("wire_api"), F.col("body")).alias("asked"), messages.is_user_turn_start(F.col("wire_api"), F.col("body")).alias("starts"))
+    return own.select("conv_id", "turn", messages.user_text(F.col("wire_api"), F.col("body")).alias("asked"), F.coalesce(messages.is_user_turn_start(F.col("wire_api"), F.col("body")), F.lit(False)).alias("starts"))

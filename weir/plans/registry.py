@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agents, bodies, traffic
+from . import agents, bodies, cases, traffic
 
-QUERIES = traffic.QUERIES | agents.QUERIES | bodies.QUERIES
-ORACLE_SQL: dict[str, str] = traffic.ORACLE_SQL | agents.ORACLE_SQL | bodies.ORACLE_SQL
+QUERIES = traffic.QUERIES | agents.QUERIES | bodies.QUERIES | cases.QUERIES
+ORACLE_SQL: dict[str, str] = traffic.ORACLE_SQL | agents.ORACLE_SQL | bodies.ORACLE_SQL | cases.ORACLE_SQL

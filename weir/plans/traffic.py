@@ -173,12 +173,12 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SERVICES_SQL = """services AS (SELECT server_ip, server_port, list_sort(list_distinct(array_agg(model)))[1:32] AS models, list_sort(list_distinct(array_agg(wire_api)))[1:8] AS wire_apis, list_sort(list_distinct(array_agg(request_path)))[1:16] AS paths,
 count(*) AS call_count, CAST(count(*) FILTER (status_code >= 400) AS BIGINT) AS error_count, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens,
-avg(ttft_ms) AS ttft_avg, quantile_cont(ttft_ms, 0.95) AS ttft_p95, avg(e2e_latency_ms) AS e2e_avg, min(request_us) AS first_us, max(request_us) AS last_us FROM spans GROUP BY 1, 2)"""
+CAST(count(*) FILTER (is_stream) AS BIGINT) AS stream_count, avg(ttft_ms) AS ttft_avg, quantile_cont(ttft_ms, 0.95) AS ttft_p95, avg(e2e_latency_ms) AS e2e_avg, quantile_cont(e2e_latency_ms, 0.95) AS e2e_p95, min(request_us) AS first_us, max(request_us) AS last_us FROM spans GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_ALL}, {SERVICES_SQL} SELECT * EXCLUDE (models, wire_apis, paths), array_to_string(models, ',') AS models, array_to_string(wire_apis, ',') AS wire_apis, array_to_string(paths, ',') AS paths, CASE WHEN len(wire_apis) > 1 THEN 'gateway' WHEN wire_apis = ['anthropic'] THEN 'anthropic' WHEN wire_apis = ['gemini-aistudio'] THEN 'gemini' ELSE 'unknown' END AS app FROM services", ("ttft_avg", "ttft_p95", "e2e_avg"))
+@query(f"WITH {_ALL}, {SERVICES_SQL} SELECT * EXCLUDE (models, wire_apis, paths), array_to_string(models, ',') AS models, array_to_string(wire_apis, ',') AS wire_apis, array_to_string(paths, ',') AS paths FROM services", ("ttft_avg", "ttft_p95", "e2e_avg", "e2e_p95"))
 def service_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = services.classify(services.services(bridge.spans(spark, sf_dir)))
+    out = services.services(bridge.spans(spark, sf_dir))
     return out.withColumns({c: F.array_join(c, ",") for c in ("models", "wire_apis", "paths")})
 
 
@@ -187,22 +187,37 @@ def service_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.recent_samples(bridge.spans(spark, sf_dir), ["request_path"])
 
 
-_LINKED = "(SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN concat('10.0.0.', CAST(CAST(id AS BIGINT) % 5 AS VARCHAR)) ELSE client_ip END AS client_ip) FROM spans)"
+#: Turns of one call; every third pair of neighbours is seen on both sides of a proxy. Services on port 8000 are proxies; some callers are services.
+_HOPS = """hops AS (SELECT CAST(id AS BIGINT) AS n, CASE WHEN n // 2 % 3 = 0 THEN CASE WHEN n % 2 = 0 THEN 'proxy_in' ELSE 'proxy_out' END END AS role, n // 2 AS pair_id, CASE WHEN n % 4 = 0 THEN concat('10.0.0.', CAST(n % 5 AS VARCHAR)) ELSE client_ip END AS client_ip, server_ip, server_port FROM spans),
+n AS (SELECT server_ip, server_port, CASE server_port WHEN 8000 THEN 'litellm' ELSE 'vllm' END AS app, count(*) AS call_count FROM spans GROUP BY ALL),
+p AS (SELECT a.server_ip AS from_ip, a.server_port AS from_port, b.server_ip AS to_ip, b.server_port AS to_port, count(*) AS turn_count FROM hops a JOIN hops b ON a.pair_id = b.pair_id AND a.role = 'proxy_in' AND b.role = 'proxy_out' WHERE a.server_ip <> b.server_ip OR a.server_port <> b.server_port GROUP BY ALL),
+e AS (SELECT client_ip, server_ip, server_port, count(*) AS turn_count FROM hops WHERE coalesce(role, '') <> 'proxy_out' GROUP BY ALL),
+c AS (SELECT e.*, n.server_port AS from_port, row_number() OVER (PARTITION BY e.client_ip, e.server_ip, e.server_port ORDER BY n.server_port IS NULL, n.app = 'litellm' DESC, n.call_count DESC, n.server_port) AS rn
+  FROM e LEFT JOIN n ON e.server_port <> 8000 AND n.server_ip = e.client_ip AND NOT (n.server_ip = e.server_ip AND n.server_port = e.server_port)),
+k AS (SELECT 'proxy' AS kind, * FROM p UNION ALL
+  SELECT 'inferred', client_ip, from_port, server_ip, server_port, sum(turn_count) FROM c WHERE rn = 1 AND from_port IS NOT NULL AND (client_ip, from_port, server_ip, server_port) NOT IN (SELECT (from_ip, from_port, to_ip, to_port) FROM p) GROUP BY ALL UNION ALL
+  SELECT 'client', '__clients__', 0, server_ip, server_port, sum(turn_count) FROM c WHERE rn = 1 AND from_port IS NULL GROUP BY ALL)"""
 
 
-@query(f"""WITH {_ALL}, {SERVICES_SQL.replace("FROM spans", "FROM spans")}, linked AS {_LINKED},
-n AS (SELECT server_ip, server_port, call_count, CASE WHEN len(wire_apis) > 1 THEN 1 ELSE 2 END AS rank FROM services),
-c AS (SELECT client_ip, server_ip, server_port, count(*) AS call_count FROM linked GROUP BY 1, 2, 3),
-j AS (SELECT c.*, n.server_ip AS nip, n.server_port AS nport, row_number() OVER (PARTITION BY c.client_ip, c.server_ip, c.server_port ORDER BY n.rank, n.call_count DESC, n.server_port) AS rn
-  FROM c LEFT JOIN n ON c.client_ip = n.server_ip AND (c.server_ip <> n.server_ip OR c.server_port <> n.server_port))
-SELECT CASE WHEN nip IS NULL THEN 'client' ELSE 'inferred' END AS kind, CASE WHEN nip IS NULL THEN '__clients__' ELSE nip || ':' || CAST(nport AS VARCHAR) END AS source, server_ip || ':' || CAST(server_port AS VARCHAR) AS target, CAST(sum(call_count) AS BIGINT) AS call_count
-FROM j WHERE rn = 1 GROUP BY 1, 2, 3""")
-def service_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _topology(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     spans = bridge.spans(spark, sf_dir)
-    nodes = services.classify(services.services(spans)).select("server_ip", "server_port", "app", "call_count")
-    number = F.col("id").cast("long")
-    linked = spans.withColumn("client_ip", F.when(number % 4 == 0, F.concat(F.lit("10.0.0."), (number % 5).cast("string"))).otherwise(F.col("client_ip")))
-    return services.edges(linked, nodes)
+    number, pairs = F.col("id").cast("long"), "array<struct<name:string,value:string>>"
+    stamp = F.when(F.col("server_port") == 8000, F.array(F.struct(F.lit("x-litellm-key").alias("name"), F.lit("1").alias("value")))).otherwise(F.array(F.struct(F.lit("server").alias("name"), F.lit("uvicorn").alias("value"))))
+    seen = spans.withColumns({"client_ip": F.when(number % 4 == 0, F.concat(F.lit("10.0.0."), (number % 5).cast("string"))).otherwise(F.col("client_ip")), "response_headers": stamp, "request_headers": F.array().cast(pairs), "request_body": F.lit(None).cast("string"), "response_body": F.lit(None).cast("string")})
+    nodes = services.classify(services.services(seen), services.samples(seen, 1 << 60, 1 << 61))
+    pair = F.floor(number / 2)
+    traces = spans.select(F.col("id").alias("turn_id"), F.when(pair % 3 == 0, F.when(number % 2 == 0, "proxy_in").otherwise("proxy_out")).alias("role"), pair.alias("pair_id"), F.array("id").alias("span_ids"))
+    return services.topology(nodes, services.first_hops(traces, seen))
+
+
+@query(f"WITH {_ALL}, {_HOPS} SELECT kind, from_ip, CAST(from_port AS INT) AS from_port, to_ip, to_port, CAST(turn_count AS BIGINT) AS turn_count FROM k")
+def topology_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topology(spark, sf_dir)[1]
+
+
+@query(f"WITH {_ALL}, {_HOPS} SELECT * FROM n UNION ALL SELECT '__clients__', 0, 'clients', CAST(sum(turn_count) AS BIGINT) FROM k WHERE kind = 'client' HAVING count(*) > 0")
+def topology_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topology(spark, sf_dir)[0].drop("models")
 
 
 @query(f"WITH {_ALL}, c AS (SELECT model, request_us - request_us % 3600000000 AS window_us, count(*) AS n, count(*) FILTER (status_code >= 400) AS e, count(*) FILTER (status_code = 429) AS t, coalesce(sum(input_tokens), 0) AS i, coalesce(sum(output_tokens), 0) AS o, coalesce(sum(cache_read_input_tokens), 0) AS r FROM spans GROUP BY 1, 2) SELECT model, window_us, n / 3600.0::DOUBLE AS call_rate, (i + o) / 3600.0::DOUBLE AS token_rate, e / n::DOUBLE AS error_rate, 1 - e / n::DOUBLE AS success_rate, t / n::DOUBLE AS throttled_rate, CASE WHEN i > 0 THEN r / i::DOUBLE END AS cache_hit_rate FROM c", ("call_rate", "token_rate", "error_rate", "success_rate", "throttled_rate", "cache_hit_rate"))
