@@ -67,6 +67,9 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
         step = max(1, min(rows, int(SLICE_BYTES * b.num_rows / max(b.nbytes, 1)) if b.num_rows else rows))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
+        del b
+        # what a batch took goes back to the system, as the worker lives on through other stages
+        pa.default_memory_pool().release_unused()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -177,9 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str =
 
 
 class WordScorer:
-    """The weights of words by category, kept for at most ``keep`` words of a task (about 15 MB), or those of one batch."""
+    """The weights of words by category, kept for at most ``keep`` words of a task (about 30 MB), or those of one batch."""
 
-    def __init__(self, chain: Chain, keep: int = 100_000) -> None:
+    def __init__(self, chain: Chain, keep: int = 200_000) -> None:
         self.table = np.zeros((SLOTS, len(chain.categories)))
         for k, m in enumerate(chain.models):
             self.table[m.slots, k] = m.weights
