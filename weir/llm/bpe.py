@@ -39,8 +39,10 @@ Ends = tuple[tuple[int, int, dict[int, bool]], ...]
 _PAIR_BYTES, _END_BYTES, _CHUNK_BYTES, LONGEST_KEPT = 60, 400, 300, 64
 #: Texts taken at a time, unless their bytes bound them first: the more words at once, the more prefixes they share.
 ROWS = 4096
-#: A blank or line end next to other white space: there, splitting at blanks and line ends is not enough.
-_UNEVEN = regex.compile(r"\s[ \n]|[ \n]\s")
+#: Signs that are no letters, numbers or white space, and no apostrophe.
+_SIGNS = frozenset(".,;:!?)")
+#: Where other white space is, or blanks and line ends meet, splitting at these is not enough.
+_OTHER_SPACE, _MEETING = re.compile(r"[^\S \n]"), ("  ", " \n", "\n ", "\n\n")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -193,7 +195,13 @@ class TrieBpe:
         for k, c in enumerate(chunks):
             if out[k] is None:
                 own = c[1:] if c[:1] == "\n" else " " + c
-                parts.append((k, c, [own.encode()] if c.isascii() and c.isalpha() else [x.encode() for x in SPLIT.findall(own)]))
+                # most chunks are letters, with a sign behind them or not: what the pattern would cut is plain then
+                if c.isalpha():
+                    parts.append((k, c, [own.encode()]))
+                elif c[-1:] in _SIGNS and c[:-1].isalpha():
+                    parts.append((k, c, [own[:-1].encode(), c[-1].encode()]))
+                else:
+                    parts.append((k, c, [x.encode() for x in SPLIT.findall(own)]))
         done = self.encode_words(x for _, _, xs in parts for x in xs)
         bytes_of, (end_ids, end_raw) = self.bytes_of, self.line_end
         packed = {x: (self._packed(ids), b"".join([bytes_of[t] for t in ids])) for x, ids in done.items()}
@@ -230,8 +238,8 @@ class TrieBpe:
         Texts are cut at blanks and before line ends, which no word crosses, and the distinct chunks numbered; a text is the
         sequence of its chunks' tokens. A line end put in front of each text makes its first chunk like any other.
         """
-        search, special = _UNEVEN.search, self.special_at.search if self.special_at else lambda _: None
-        even = [not (special(t) or search(t)) for t in texts]
+        other, uneven = _OTHER_SPACE.search, (*_MEETING, *self.special)
+        even = [not (any(x in t for x in uneven) or other(t)) for t in texts]
         lead = pa.array(["\n" + t if e else "" for t, e in zip(texts, even)], pa.large_string())
         cut = pc.split_pattern(pc.replace_substring(lead, "\n", " \n"), " ")
         coded = pc.dictionary_encode(cut.flatten())
