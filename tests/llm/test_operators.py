@@ -422,9 +422,11 @@ def _brute_main_texts(rows, min_pages=5):
     return out
 
 
-def test_main_texts_equal_a_style_tree_by_hand(spark):
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_main_texts_equal_a_style_tree_by_hand(spark, monkeypatch, sent):
     import random
 
+    monkeypatch.setattr(html_text, "MAX_SENT", sent)
     rng = random.Random(9)
     rows = []
     for k in range(60):

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import takewhile
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import added, apart, column, slices, texts_of, with_columns, written
 
 GAMMA = 0.9
+#: So many texts that go, with 9 bytes each, are sent to all tasks at most.
+MAX_SENT = 500_000
 #: What markup says of an element.
 OUT, APART_BY_NAME, OPEN, ARTICLE_TEXT = range(4)
 #: By these: the factor of importance, and the least importance of a branch and of a single text.
@@ -330,24 +333,68 @@ def put_out(tree: DataFrame, texts: DataFrame) -> DataFrame:
     return written(marked.where(F.col("branch").isNotNull() | F.col("low") | (F.col("state") == APART_BY_NAME)).select("site", "h", "state", by_tree.alias("by_tree")), "lost")
 
 
+def _finished(pages: DataFrame, rest: list[str], gone: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """``rest``, text, n_chars, out_by_markup and out_by_tree, from ``blocks`` and, aligned with them, the ``keys`` of texts; ``gone``: sorted keys that
+    go, and whether by the tree. Without it, ``gone`` and ``by_tree`` are columns with the places of a page's texts that go."""
+    new = [("text", T.StringType()), ("n_chars", T.LongType()), ("out_by_markup", T.LongType()), ("out_by_tree", T.LongType())]
+    schema = T.StructType([f for f in pages.schema.fields if f.name in rest] + [T.StructField(n, t) for n, t in new])
+    arrow = to_arrow_schema(schema)
+    shared = pages.sparkSession.sparkContext.broadcast(gone) if gone else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 512):
+            blocks = column(b, "blocks")
+            texts, states = (blocks.flatten().field(n) for n in ("text", "state"))
+            texts, states, sizes = texts.to_pylist(), states.to_numpy(), blocks.value_lengths().to_numpy()
+            if shared:
+                keys, known = column(b, "keys").flatten().to_numpy(), shared.value
+                at = np.minimum(np.searchsorted(known[0], keys), max(len(known[0]) - 1, 0))
+                lost = known[0][at] == keys if len(known[0]) else np.zeros(len(keys), dtype=bool)
+                tree = lost & known[1][at] if len(known[0]) else lost
+            else:
+                lost, tree = np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=bool)
+                for mask, name in ((lost, "gone"), (tree, "by_tree")):
+                    start = 0
+                    for places, n in zip(column(b, name).to_pylist(), sizes):
+                        mask[start + np.array(places or [], dtype=np.int64)] = True
+                        start += n
+            out = lost | (states <= APART_BY_NAME)
+            tree &= states > OUT
+            joined, by_markup, by_tree, start = [], [], [], 0
+            for n in sizes.tolist():
+                end = start + n
+                joined.append(" ".join([t for t, x in zip(texts[start:end], out[start:end]) if not x]))
+                by_tree.append(int(tree[start:end].sum()))
+                by_markup.append(int(out[start:end].sum()) - by_tree[-1])
+                start = end
+            yield with_columns(b, arrow, {"text": pa.array(joined, pa.string()), "n_chars": pa.array([len(t) for t in joined], pa.int64()), "out_by_markup": pa.array(by_markup, pa.int64()), "out_by_tree": pa.array(by_tree, pa.int64())})
+
+    return pages.mapInArrow(run, schema)
+
+
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", min_pages: int = 5) -> DataFrame:
-    """``df`` without the source, with text (string, '' if none), n_chars, out_by_markup and out_by_tree (long; blocks put out by markup alone, and by the tree)."""
+    """``df`` without the source, with text (string, '' if none), n_chars, out_by_markup and out_by_tree (long; blocks put out by markup alone, and by the tree).
+
+    The texts that go, by site, are few where sites have frames and many pages; up to ``MAX_SENT`` of them are sent to all tasks, so
+    that pages need no shuffle. Where there are more, places are joined instead, with the same result.
+    """
     own, name = apart(df, page_id, url, source)
     rest = [f"c{k}" for k, c in enumerate(df.columns) if c.lower() not in (source.lower(), "text", "n_chars", "out_by_markup", "out_by_tree")]
     carried = list(dict.fromkeys([*rest, name[page_id]]))
     parsed = written(_parsed(own.select(*carried, host_of(F.col(name[url])).alias("host"), F.col(name[source]).alias("source")), "source"), "pages")
     lost = put_out(*importance(parsed, min_pages))
-    keys = F.transform("blocks", lambda x, k: F.struct(F.xxhash64("host", x["node"]).alias("site"), x["h"].alias("h"), x["state"].alias("state"), k.alias("k")))
-    keys = parsed.select(F.col(name[page_id]).alias("id"), "host", "page", F.explode(F.filter(keys, lambda x: x["state"] > OUT)).alias("x")).select("id", "host", "page", "x.*")
-    # equal rows have equal blocks, so a set is enough
-    gone = keys.join(lost, ["site", "h", "state"]).groupBy("id", "host", "page").agg(F.collect_set("k").alias("gone"), F.collect_set(F.when(F.col("by_tree"), F.col("k"))).alias("by_tree"))
-    gone = written(gone, "places")
-    same = F.col(f"p.{name[page_id]}").eqNullSafe(F.col("g.id")) & (F.col("p.host") == F.col("g.host")) & (F.col("p.page") == F.col("g.page"))
-    settled = parsed.alias("p").join(gone.alias("g"), same, "left").select(*(f"p.{c}" for c in rest), "p.blocks", "g.gone", "g.by_tree")
-    # array_except takes time in proportion to the blocks; texts that markup puts out are null and so not joined
-    stay = F.array_except(F.sequence(F.lit(0), F.size("blocks") - 1), F.coalesce("gone", F.array().cast("array<int>")))
-    text = F.when(F.size("blocks") == 0, "").otherwise(F.array_join(F.transform(stay, lambda k: F.get("blocks", k)["text"]), " "))
-    n_tree = F.coalesce(F.array_size("by_tree"), F.lit(0)).cast("long")
-    n_out = F.size(F.filter("blocks", lambda x: x["state"] == OUT)) + F.coalesce(F.array_size("gone"), F.lit(0)) - n_tree
-    out = settled.select(*rest, text.alias("text"), n_out.cast("long").alias("out_by_markup"), n_tree.alias("out_by_tree")).withColumn("n_chars", F.char_length("text").cast("long"))
+    key = lambda site, x: F.xxhash64(site, x["h"], x["state"])
+    if lost.count() <= MAX_SENT:
+        sent = lost.select(F.xxhash64("site", "h", "state").alias("key"), "by_tree").toArrow().sort_by("key")
+        gone = (sent.column("key").to_numpy(), sent.column("by_tree").to_numpy(zero_copy_only=False) if sent.num_rows else np.zeros(0, dtype=bool))
+        keys = F.transform("blocks", lambda x: key(F.xxhash64("host", x["node"]), x))
+        out = _finished(parsed.select(*rest, "blocks", keys.alias("keys")), rest, gone)
+    else:
+        keys = F.transform("blocks", lambda x, k: F.struct(F.xxhash64("host", x["node"]).alias("site"), x["h"].alias("h"), x["state"].alias("state"), k.alias("k")))
+        keys = parsed.select(F.col(name[page_id]).alias("id"), "host", "page", F.explode(F.filter(keys, lambda x: x["state"] > OUT)).alias("x")).select("id", "host", "page", "x.*")
+        # equal rows have equal blocks, so a set is enough
+        gone = keys.join(lost, ["site", "h", "state"]).groupBy("id", "host", "page").agg(F.collect_set("k").alias("gone"), F.collect_set(F.when(F.col("by_tree"), F.col("k"))).alias("by_tree"))
+        gone = written(gone, "places")
+        same = F.col(f"p.{name[page_id]}").eqNullSafe(F.col("g.id")) & (F.col("p.host") == F.col("g.host")) & (F.col("p.page") == F.col("g.page"))
+        out = _finished(parsed.alias("p").join(gone.alias("g"), same, "left").select(*(f"p.{c}" for c in rest), "p.blocks", "g.gone", "g.by_tree"), rest, None)
     return out.select(*(F.col(c).alias(df.columns[int(c[1:])]) for c in rest), "text", "n_chars", "out_by_markup", "out_by_tree")
