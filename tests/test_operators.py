@@ -145,6 +145,11 @@ def test_store_answers_from_its_tables(spark, tmp_path):
     assert store.timeseries(["call_count"], "1h", 0, predicates.LATEST_SECOND // 400, grid=False).count() == 0
     assert store.spans_page(0, predicates.LATEST_SECOND, size=10).count() == 10
     assert store.span("5").count() == 1 and store.services(0, predicates.LATEST_SECOND).count() > 0
+    active = store.timeseries(["active_calls_max", "call_count"], "1h", 0, 10_000 * 3600)
+    assert active.columns == ["ts", "active_calls_max", "call_count"]
+    first = spans.agg(F.min("request_us")).first()[0] // 1_000_000
+    rows = store.timeseries(["active_calls_max"], "1h", first - 3600, first + 36_000).collect()
+    assert rows and all(r.active_calls_max >= 1 for r in rows)
     plan = store.read("llm_metrics").where("granularity = '1h'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(granularity" in plan
 

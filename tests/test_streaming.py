@@ -1,5 +1,7 @@
 """Streams give what batches give."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from weir.operators import exchanges, metrics
@@ -32,11 +34,69 @@ def test_pairs_of_a_stream(spark, tmp_path):
     assert {(r.flow, r.request, r.response) for r in spark.table("pairs").collect()} == want
 
 
+def _turns(spark, calls, tmp_path, name, files):
+    """The turns of calls that come in several files, in the order of their time or not."""
+    for k, rows in enumerate(files):
+        calls.where(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / f"{name}-{k}"))
+    folder = tmp_path / name
+    folder.mkdir()
+    for k in range(len(files)):
+        part = next((tmp_path / f"{name}-{k}").glob("part-*"))
+        part.rename(folder / f"{k}.parquet")
+        os.utime(folder / f"{k}.parquet", (1_000_000 + k * 100, 1_000_000 + k * 100))
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    pairing.turn_stream(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-check")).trigger(availableNow=True).start().awaitTermination()
+    return {(r.session_id, r.start_us, r.end_us, r.call_count, r.status) for r in spark.table(name).collect()}
+
+
 def test_turns_of_a_stream(spark, tmp_path):
+    """The longest session over three files, so that state is carried over micro-batches; a far later call lets the watermark pass it."""
     from weir.operators import turns
 
-    calls = turns.conversation_calls(bridge.read(spark, SF_DIR, "conversations")).where("session_id <> '0'").withColumn("time", F.timestamp_micros("request_us"))
-    query = pairing.turn_stream(_streamed(spark, calls, str(tmp_path / "in"), 1)).writeStream.format("memory").queryName("turns").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    want = {(r.session_id, r.start_us, r.call_count) for r in turns.assemble(calls.drop("time")).where("status = 'complete'").collect()}
-    assert {(r.session_id, r.start_us, r.call_count) for r in spark.table("turns").where("status = 'complete'").collect()} == want
+    rows = bridge.read(spark, SF_DIR, "conversations")
+    longest = rows.groupBy("conv_id").count().orderBy(F.col("count").desc(), "conv_id").first()
+    calls = turns.conversation_calls(rows).where(F.col("session_id") == str(longest.conv_id))
+    beat = calls.limit(1).select(*(F.lit("beat").alias(c) if c in ("session_id", "id") else F.lit(10**15).alias(c) if c in ("request_us", "end_us") else c for c in calls.columns)).withColumns({"is_terminal": F.lit(False), "is_user_start": F.lit(False)})
+    both = calls.unionByName(beat).withColumn("time", F.timestamp_micros("request_us"))
+    turn, third = "cast(split(id, '-')[1] as int)", longest["count"] // 3
+    got = _turns(spark, both, tmp_path, "turns", [f"id <> 'beat' and {turn} < {third}", f"id <> 'beat' and {turn} >= {third} and {turn} < {2 * third}", f"id <> 'beat' and {turn} >= {2 * third}", "id = 'beat'"])
+    want = {(r.session_id, r.start_us, r.end_us, r.call_count, r.status) for r in turns.assemble(calls).collect()}
+    assert got == want and len(want) > 1
+
+
+def test_calls_tied_with_a_terminal_one_and_late_ones_count(spark, tmp_path):
+    def call(name, at, terminal=False, start=False):
+        return ("s", "a", name, at, at + 10, terminal, start, False)
+
+    rows = [call("c1", 1_000_000, start=True), call("c3", 2_000_000, terminal=True), call("c2", 2_000_000), call("c4", 1_500_000), call("c5", 2_400_000, start=True), call("z", 10**13)]
+    calls = spark.createDataFrame(rows, "source_id string, session_id string, id string, request_us long, end_us long, is_terminal boolean, is_user_start boolean, is_auxiliary boolean").withColumn("time", F.timestamp_micros("request_us"))
+    calls = calls.withColumn("session_id", F.when(F.col("id") == "z", "z").otherwise(F.col("session_id")))
+    got = _turns(spark, calls, tmp_path, "late", ["id in ('c1', 'c3')", "id in ('c2', 'c4', 'c5')", "id = 'z'"])
+    # c4 comes a file after the terminal call, c2 is of its microsecond; c5 is the open tail
+    assert got == {("a", 1_000_000, 2_000_010, 4, "complete"), ("a", 2_400_000, 2_400_010, 1, "incomplete")}
+
+
+def test_many_batches_leave_few_folders_and_the_same_rows(spark, tmp_path):
+    spans = bridge.spans(spark, SF_DIR).where("id < '2'")
+    store = Store(spark, str(tmp_path))
+    for number in range(4):
+        store.write("spans", spans.where(F.col("id").cast("long") % 4 == number), number)
+    store.write("spans", spans.where(F.col("id").cast("long") % 4 == 3), 3)  # done again
+    want, before = spans.count(), len(list(store._folders("spans")))
+    assert store.read("spans").count() == want and store.compact("spans") == before
+    days = {day for _, day, _, _ in store._folders("spans")}
+    assert store.read("spans").count() == want and len(list(store._folders("spans"))) == len(days)
+    store.write("spans", spans.limit(5), 2)  # a batch that is compacted already adds nothing
+    store.refresh()
+    assert store.read("spans").count() == want
+
+
+def test_retention_deletes_old_days_and_keeps_young_rows(spark, tmp_path):
+    day = 86_400_000_000
+    store = Store(spark, str(tmp_path))
+    store.write("traces", spark.createDataFrame([("a", day, day + 5), ("b", day, 40 * day), ("c", 39 * day, 39 * day)], "turn_id string, start_us long, end_us long"))
+    store.write("llm_metrics", spark.createDataFrame([("10s", 38 * day), ("1h", 38 * day), ("10s", 40 * day)], "granularity string, window_us long"))
+    store.expire(41 * day)
+    store.refresh()
+    assert {r.turn_id for r in store.read("traces").collect()} == {"b", "c"}
+    assert {(r.granularity, r.window_us // day) for r in store.read("llm_metrics").collect()} == {("1h", 38), ("10s", 40)}

@@ -153,8 +153,8 @@ def finish_series(rows: DataFrame, granularity: str) -> DataFrame:
     return own.groupBy("finish_reason", "window_us").agg(F.sum("count").alias("count"))
 
 
-def active_calls(spans: DataFrame, chunk_us: int = 3_600_000_000) -> DataFrame:
-    """The most calls under way at once in each minute, by source: a running count that starts add to and ends take from, never below 0.
+def active_samples(spans: DataFrame, chunk_us: int = 3_600_000_000) -> DataFrame:
+    """source_id, ts_us and active: the calls under way at each start of one, by source: a running count that starts add to and ends take from, never below 0.
 
     With S the running sum of +1 and -1, the count floored at 0 is S - min(0, running minimum of S); it is sampled at starts.
     Both run within chunks of time first, then over the chunks' totals, so no task needs all rows of a source.
@@ -170,7 +170,19 @@ def active_calls(spans: DataFrame, chunk_us: int = 3_600_000_000) -> DataFrame:
     both = run.where("delta = 1").join(offsets, ["source_id", "chunk"])
     lowest = F.least(F.lit(0), F.coalesce("lowest", F.lit(0)), F.col("offset") + F.col("low"))
     active = (F.col("offset") + F.col("s") - lowest).cast("long")
-    return both.groupBy("source_id", (F.col("ts_us") - F.col("ts_us") % 60_000_000).alias("window_us")).agg(F.max(active).alias("active_calls_max"))
+    return both.select("source_id", "ts_us", active.alias("active"))
+
+
+def active_calls(spans: DataFrame) -> DataFrame:
+    """The most calls under way at once in each minute, by source."""
+    return active_samples(spans).groupBy("source_id", (F.col("ts_us") - F.col("ts_us") % 60_000_000).alias("window_us")).agg(F.max("active").alias("active_calls_max"))
+
+
+def active_rollup(spans: DataFrame, granularities: dict[str, int] = GRANULARITIES) -> DataFrame:
+    """The most calls under way at once, by source, granularity and window: one running count, whose samples all granularities share."""
+    windows = F.explode(F.array(*(F.struct(F.lit(n).alias("granularity"), F.lit(s * 1_000_000).cast("long").alias("size")) for n, s in granularities.items())))
+    samples = active_samples(spans).select("source_id", "ts_us", "active", windows.alias("g"))
+    return samples.groupBy("source_id", F.col("g.granularity").alias("granularity"), (F.col("ts_us") - F.col("ts_us") % F.col("g.size")).alias("window_us")).agg(F.max("active").alias("active_calls_max"))
 
 
 def rates(rows: DataFrame, seconds: int) -> DataFrame:

@@ -1,12 +1,15 @@
 """The stored tables and the questions that are asked of them, each answered with a DataFrame.
 
-Tables are Parquet, written by column name. Spans, exchanges and rollups are partitioned by day (rollups by granularity
-first), so a time range reads the days it covers and a coarse question never opens the fine windows.
+Tables are Parquet, written by column name, in folders by day, then granularity (of rollups), then batch: a time range lists and reads the days it
+covers, and a coarse question never opens the fine windows. A batch done again replaces its own rows. As a stream makes a folder for each
+micro-batch, ``compact`` puts those of a day together; a crash on the way leaves both, and readers then take the compacted rows alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import time
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +19,14 @@ from .operators import listing, metrics, predicates, services, turns
 #: Days that each table and granularity is kept; 0 keeps all.
 RETENTION_DAYS = {"spans": 7, "traces": 30, "http_exchanges": 7, "10s": 1, "1m": 7, "5m": 30, "1h": 365}
 DAY_US = 86_400_000_000
-#: The time column and the partitions of each table.
-TABLES = {"spans": "request_us", "traces": "start_us", "http_exchanges": "request_us", "llm_metrics": "window_us", "llm_finish_metrics": "window_us"}
+#: The time column of each table, by whose day it is partitioned.
+TABLES = {"spans": "request_us", "traces": "start_us", "http_exchanges": "request_us", "llm_metrics": "window_us", "llm_finish_metrics": "window_us", "llm_active": "window_us"}
+#: Times by which rows grow old, where it is another column.
+AGES = {"traces": "end_us"}
+#: Tables with a granularity.
+ROLLED = ("llm_metrics", "llm_finish_metrics", "llm_active")
+#: Batches from this number on are single writes, numbered by their time; those below are a stream's. Compacted ones are negative: -1 - n has all up to n of its kind.
+SINGLE = 10**12
 
 
 class Store:
@@ -34,24 +43,61 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, table: str, rows: DataFrame, batch: int | None = None) -> None:
-        """Appends by name. Rows of a day are brought together first, so that a day has few files. Rows of a numbered batch replace those of that batch."""
-        time = TABLES[table]
-        rows = rows.withColumn("day", F.floor(F.col(time) / DAY_US))
-        keys = ["granularity", "day"] if "granularity" in rows.columns else ["day"]
+    def _files(self, path: str) -> tuple[object, object]:
+        """The file system of a path, and the path in it."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def exists(self, table: str) -> bool:
+        fs, at = self._files(self.path(table))
+        return fs.exists(at)
+
+    def _folders(self, table: str) -> Iterator[tuple[str, int, str | None, int]]:
+        """Path, day, granularity and batch of each folder; as many as ``compact`` and ``expire`` let there be."""
+        depth = "/*" * (3 if table in ROLLED else 2)
+        fs, at = self._files(self.path(table) + depth)
+        for status in fs.globStatus(at) or ():
+            path = status.getPath().toString()
+            if m := re.search(r"/day=(-?\d+)(?:/granularity=([^/]+))?/batch=(-?\d+)$", path):
+                yield path, int(m[1]), m[2], int(m[3])
+
+    def _dead(self, table: str) -> list[tuple[str, int, str | None, int]]:
+        """Folders whose rows a compacted one has, too."""
+        folders = list(self._folders(table))
+        covers: dict[tuple, int] = {}
+        for _, day, gran, batch in folders:
+            if batch < 0:
+                key = (day, gran, -1 - batch >= SINGLE)
+                covers[key] = max(covers.get(key, -1), -1 - batch)
+        def has(batch: int) -> int:
+            return batch if batch >= 0 else -1 - batch
+
+        return [f for f in folders if has(f[3]) <= (most := covers.get((f[1], f[2], has(f[3]) >= SINGLE), -1)) and f[3] != -1 - most]
+
+    def _remove(self, path: str) -> None:
+        fs, at = self._files(path)
+        fs.delete(at, True)
+
+    def _put(self, table: str, rows: DataFrame) -> None:
+        """Replaces the folders that ``rows`` (with day and batch) has rows for."""
+        keys = ["day", *(["granularity"] if table in ROLLED else [])]
         # REBALANCE lets Spark split a day that is too large for one file
+        rows.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys, "batch").parquet(self.path(table))
         self._tables.pop(table, None)
-        writer = rows.withColumn("batch", F.lit(batch).cast("long")).hint("rebalance", *keys).write
-        if batch is None:
-            writer.mode("append").partitionBy("batch", *keys).parquet(self.path(table))
-        else:
-            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *keys).parquet(self.path(table))
+
+    def write(self, table: str, rows: DataFrame, batch: int | None = None) -> None:
+        """Adds rows, by name. Rows of a numbered batch (of a stream) replace those that it wrote before."""
+        number = time.time_ns() // 1000 if batch is None else batch
+        self._put(table, rows.withColumn("day", F.floor(F.col(TABLES[table]) / DAY_US)).withColumn("batch", F.lit(number).cast("long")))
 
     def read(self, table: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
-        # files are listed once, not for each question
+        # folders are listed once, not for each question
         rows = self._tables.get(table)
         if rows is None:
-            rows = self._tables[table] = self.spark.read.parquet(self.path(table))
+            rows = self.spark.read.parquet(self.path(table))
+            for _, day, gran, batch in self._dead(table):
+                rows = rows.where(~((F.col("day") == day) & (F.col("batch") == batch) & (F.lit(True) if gran is None else F.col("granularity") == gran)))
+            self._tables[table] = rows
         if start_us is not None:
             rows = rows.where(F.col("day") >= start_us // DAY_US)
         if end_us is not None:
@@ -69,18 +115,73 @@ class Store:
         """The rollups of some spans; rows of windows that are already there add to them."""
         self.write("llm_metrics", metrics.rollup(spans, exact=exact))
         self.write("llm_finish_metrics", metrics.finish_rollup(spans))
+        self.write("llm_active", metrics.active_rollup(spans))
 
     def backfill_metrics(self) -> bool:
         """Makes the rollups from the spans if there are none; tells whether it did."""
-        try:
-            if self.read("llm_metrics").limit(1).count():
-                return False
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        self.write("llm_metrics", metrics.rollup(self.read("spans").drop("day"), exact=False))
+        if self.exists("llm_metrics") and self.read("llm_metrics").limit(1).count():
+            return False
+        self.ingest_metrics(self.read("spans").drop("day", "batch"))
         return True
 
+    # upkeep
+
+    def compact(self, table: str, before_day: int | None = None, least: int = 2) -> int:
+        """Puts the folders of each day (before a day, if named) together where there are ``least`` or more of a kind; the number of folders that went.
+
+        One writer at a time: a batch that a stream does again later, with a number that is already compacted, adds nothing.
+        """
+        many: dict[tuple, list[tuple[str, int]]] = {}
+        for path, day, gran, batch in self._folders(table):
+            if before_day is None or day < before_day:
+                many.setdefault((day, gran, (batch if batch >= 0 else -1 - batch) >= SINGLE), []).append((path, batch))
+        gone = 0
+        for (day, gran, _), folders in many.items():
+            if len(folders) < least:
+                continue
+            last = max(b if b >= 0 else -1 - b for _, b in folders)
+            rows = self.read(table).where((F.col("day") == day) & F.col("batch").isin([b for _, b in folders]))
+            rows = rows if gran is None else rows.where(F.col("granularity") == gran)
+            self._put(table, rows.withColumn("batch", F.lit(-1 - last).cast("long")))
+            for path, batch in folders:
+                if batch != -1 - last:
+                    self._remove(path)
+                    gone += 1
+            self._tables.pop(table, None)
+        return gone
+
+    def expire(self, now_us: int, days: dict[str, int] = RETENTION_DAYS) -> dict[str, int]:
+        """Deletes what is older than its table, or granularity, is kept, and tells how many folders went from each table.
+
+        Folders of days before the limit go as they are; where rows grow old by another time than their day's (traces by their end), those
+        that are still young stay.
+        """
+        gone: dict[str, int] = {}
+        for table in TABLES:
+            if not self.exists(table):
+                continue
+            for path, day, gran, batch in list(self._folders(table)):
+                keep = days.get(gran if table in ROLLED else table, 0)
+                limit = now_us - keep * DAY_US
+                if not keep or (day + 1) * DAY_US > limit:
+                    continue
+                if table in AGES:
+                    own = self.read(table).where((F.col("day") == day) & (F.col("batch") == batch))
+                    young = own.where(F.col(AGES[table]) >= limit)
+                    if young.limit(1).count():
+                        self._put(table, self._aside(table, young))
+                        continue
+                self._remove(path)
+                gone[table] = gone.get(table, 0) + 1
+            self._tables.pop(table, None)
+        return gone
+
+    def _aside(self, table: str, rows: DataFrame) -> DataFrame:
+        """``rows`` from a copy, as no folder can be read and replaced at once."""
+        path = f"{self.root}/_aside/{table}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     # questions
 
     def spans_page(self, start_s: int, end_s: int, where: Sequence[Column] = (), sort: str = "request_us", descending: bool = True, page: int = 1, size: int = 50) -> DataFrame:
@@ -105,7 +206,12 @@ class Store:
     def timeseries(self, fields: Sequence[str], granularity: str, start_s: int, end_s: int, group_by: str | None = None, grid: bool = False, **dims: Sequence[str]) -> DataFrame:
         start, end = predicates.check_range(start_s, end_s)
         step = predicates.check_buckets(start_s, end_s, granularity)
-        series = metrics.timeseries(self.read("llm_metrics", start, end), fields, granularity, start, end, predicates.tier(**dims, group_by=group_by), group_by)
+        plain = [f for f in fields if f != "active_calls_max"]
+        series = metrics.timeseries(self.read("llm_metrics", start, end), plain or ["call_count"], granularity, start, end, predicates.tier(**dims, group_by=group_by), group_by)
+        if len(plain) < len(fields):
+            # calls under way are counted by source alone, so they are the same for all groups and filters
+            active = metrics.timeseries(self.read("llm_active", start, end), ["active_calls_max"], granularity, start, end, F.lit(True))
+            series = series.join(active, "ts", "left").select("ts", *([group_by] if group_by else []), *fields)
         return metrics.on_grid(series, fields, start_s, end_s, step, group_by) if grid else series
 
     def models(self, start_s: int, end_s: int, sort: str = "call_count", limit: int = 20) -> DataFrame:
@@ -126,19 +232,6 @@ class Store:
             rows = rows.where(listing.after_cursor(keys, listing.decode_cursor(cursor)))
         return rows.orderBy(*(F.col(k).desc() for k in keys)).limit(max(1, min(size, 200)) + 1)
 
-    # upkeep
-
-    def expired(self, now_us: int, days: dict[str, int] = RETENTION_DAYS) -> DataFrame:
-        """table, granularity, day of the partitions that retention lets go; traces go by their end."""
-        out = []
-        for table in ("spans", "traces", "http_exchanges"):
-            if keep := days.get(table, 0):
-                out.append((table, None, now_us // DAY_US - keep))
-        for name in predicates.GRANULARITIES:
-            if keep := days.get(name, 0):
-                out += [("llm_metrics", name, now_us // DAY_US - keep), ("llm_finish_metrics", name, now_us // DAY_US - keep)]
-        return self.spark.createDataFrame(out, "table string, granularity string, before_day long")
-
 
 def retained(rows: DataFrame, time: str, now_us: int, days: int) -> DataFrame:
     """Rows that retention keeps; 0 days keep all."""

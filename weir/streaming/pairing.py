@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,37 +41,48 @@ def pair_stream(events: DataFrame, stale_ms: int = 600_000) -> DataFrame:
 
 
 TURNS = "source_id string, session_id string, start_us long, end_us long, call_count long, status string"
-TURN_STATE = "start_us long, end_us long, call_count long, started boolean, done_us long"
+TURN_STATE = "calls string, done_us long"
 
 
-def turn_stream(calls: DataFrame, idle_ms: int = 600_000) -> DataFrame:
-    """Turns of a stream of calls (as in ``operators.turns``, with ``time``): calls add to the open turn of their session, a terminal one ends it.
+def turn_stream(calls: DataFrame, idle_ms: int = 600_000, grace_ms: int = 1_000) -> DataFrame:
+    """Turns of a stream of calls (as in ``operators.turns``, with ``time``): a session's calls wait in order; a terminal one ends the turn of all calls up to it.
 
-    Calls before the last ended turn of their session are late and dropped; a session without calls for ``idle_ms`` gives up
-    its open turn as incomplete. Turns without a user's start are dropped.
+    A turn that has ended is held until the watermark is ``grace_ms`` past its terminal call, so calls of it that come late, or in another order, still
+    count. Calls strictly before the last turn given out are dropped. A session without calls for ``idle_ms`` of event time gives up its open turn
+    as incomplete. Turns without a user's start are dropped, auxiliary calls belong to none. A session's waiting calls are its state: those of its open turn.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, count, started, done = state.get if state.exists else (0, 0, 0, False, -1)
+        packed, done = state.get if state.exists else ("[]", -1)
+        waiting = [tuple(c) for c in json.loads(packed)]
+        if not state.hasTimedOut:
+            for rows in frames:
+                waiting += [(int(r.request_us), str(r.id), int(r.end_us), bool(r.is_terminal), bool(r.is_user_start)) for r in rows.itertuples(index=False) if not r.is_auxiliary and r.request_us >= done]
+        waiting.sort()
+        clock = state.getCurrentWatermarkMs()
         out = []
-        if state.hasTimedOut:
-            if count and started:
-                out.append((*key, start, end, count, "incomplete"))
+
+        def give(turn: list[tuple], status: str) -> None:
+            if any(c[4] for c in turn):
+                out.append((*key, turn[0][0], max(c[2] for c in turn), len(turn), status))
+
+        while terminal := next((c for c in waiting if c[3]), None):
+            if clock < terminal[0] // 1000 + grace_ms:
+                break
+            # all calls up to the terminal one, those of its own microsecond too
+            turn = [c for c in waiting if c[0] <= terminal[0]]
+            waiting, done = waiting[len(turn) :], terminal[0]
+            give(turn, "complete")
+        last = max([c[0] // 1000 for c in waiting], default=done // 1000)
+        if waiting and state.hasTimedOut and clock >= last + idle_ms:
+            give(waiting, "incomplete")
+            waiting = []
+        if waiting or done >= 0 and clock < done // 1000 + idle_ms:
+            state.update((json.dumps(waiting), done))
+            ends = min([c[0] // 1000 + grace_ms for c in waiting if c[3]], default=last + idle_ms)
+            state.setTimeoutTimestamp(max(ends, clock + 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values(["request_us", "id"], kind="stable")
-            for r in rows.itertuples(index=False):
-                if r.is_auxiliary or r.request_us <= done:
-                    continue
-                start = min(start, int(r.request_us)) if count else int(r.request_us)
-                end = max(end, int(r.end_us)) if count else int(r.end_us)
-                count, started = count + 1, started or bool(r.is_user_start)
-                if r.is_terminal:
-                    if started:
-                        out.append((*key, start, end, count, "complete"))
-                    start, end, count, started, done = 0, 0, 0, False, int(r.request_us)
-            state.update((start, end, count, started, done))
-            state.setTimeoutTimestamp(max(end // 1000, done // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TURNS.split(", ")])
 
     return calls.withWatermark("time", "1 second").groupBy("source_id", "session_id").applyInPandasWithState(step, TURNS, TURN_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -13,8 +13,11 @@ from ..operators import metrics
 from ..store import Store
 
 
-def start(spans: DataFrame, store: Store, checkpoint: str, once: bool = False, every: str = "1 second") -> StreamingQuery:
-    """Writes spans, rollups and finish reasons for each micro-batch. A batch that is done again after a failure replaces its own rows."""
+def start(spans: DataFrame, store: Store, checkpoint: str, once: bool = False, every: str = "1 second", compact_every: int = 100) -> StreamingQuery:
+    """Writes spans, rollups and finish reasons for each micro-batch. A batch that is done again after a failure replaces its own rows.
+
+    After each ``compact_every`` batches the days' folders are put together, so a day never has many more than that.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -24,7 +27,9 @@ def start(spans: DataFrame, store: Store, checkpoint: str, once: bool = False, e
             store.write("llm_finish_metrics", metrics.finish_rollup(batch), number)
         finally:
             batch.unpersist()
+        if number % compact_every == compact_every - 1:
+            for table in ("spans", "llm_metrics", "llm_finish_metrics"):
+                store.compact(table)
 
     writer = spans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
-
