@@ -38,7 +38,7 @@ Ends = tuple[tuple[int, int, dict[int, bool]], ...]
 #: About so many bytes of memory go with a pair, an ending and a chunk that are kept; longer chunks (in characters) are not.
 _PAIR_BYTES, _END_BYTES, _CHUNK_BYTES, LONGEST_KEPT = 60, 400, 300, 64
 #: Texts taken at a time, unless their bytes bound them first: the more words at once, the more prefixes they share.
-ROWS = 4096
+ROWS = 1536
 #: Signs that are no letters, numbers or white space, and no apostrophe.
 _SIGNS = frozenset(".,;:!?)")
 #: Where other white space is, or blanks and line ends meet, splitting at these is not enough.

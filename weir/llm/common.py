@@ -58,7 +58,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 #: Bytes of a slice, about; one text may have more.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
