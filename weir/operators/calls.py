@@ -24,6 +24,12 @@ def _answered(api: Column, body: Column, is_sse: Column) -> Column:
     return F.when(is_sse, streamed).otherwise(plain)
 
 
+def once(value: Column) -> Column:
+    """``value``, computed where it stands. A condition above would else be carried below with all expressions that it is made of copied into it,
+    those of bodies many times over; an expression that Catalyst holds for random stops that. Conditions on exchanges go before ``to_spans``."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 def _later(first: str, then: str) -> Column:
     """Milliseconds between two times; null unless the second is later."""
     return F.when(F.col(then) > F.col(first), (F.col(then) - F.col(first)) / 1000.0)
@@ -32,10 +38,10 @@ def _later(first: str, then: str) -> Column:
 def attributed(calls: DataFrame) -> DataFrame:
     """Calls (wire_api, request_headers, request_body, response_body) with agent_kind, session_id, subagent, is_auxiliary, is_agent_request, tool_surface, agent_topology, tool_call_count and tool_names."""
     api, headers, body, answer = map(F.col, ("wire_api", "request_headers", "request_body", "response_body"))
-    own = calls.withColumns({"_anchor": agents.tool_anchor(api, body, answer), "_user": messages.first_user_text(api, body), "_answer": messages.answer_text(api, answer)})
-    own = own.withColumn("agent_kind", agents.profile(api, headers, body, F.col("_anchor"), F.col("_user")))
+    own = calls.withColumns({"_anchor": once(agents.tool_anchor(api, body, answer)), "_user": messages.first_user_text(api, body), "_answer": messages.answer_text(api, answer)})
+    own = own.withColumn("agent_kind", once(agents.profile(api, headers, body, F.col("_anchor"), F.col("_user"))))
     kind = F.col("agent_kind")
-    own = own.withColumns({"_found": agents.primitives(kind, headers, body), "subagent": agents.subagent(kind, headers, body), "is_auxiliary": agents.is_auxiliary(kind, body), "session_id": agents.session_id(kind, headers, F.col("_anchor"), F.col("_user"), F.col("_answer"))})
+    own = own.withColumns({"_found": once(agents.primitives(kind, headers, body)), "subagent": agents.subagent(kind, headers, body), "is_auxiliary": agents.is_auxiliary(kind, body), "session_id": agents.session_id(kind, headers, F.col("_anchor"), F.col("_user"), F.col("_answer"))})
     found, mark = F.col("_found"), F.col("subagent")
     new = {"is_agent_request": agents.is_agent_request(found, mark), "tool_surface": agents.tool_surface(found), "agent_topology": agents.topology(found, mark)}
     return own.withColumns(new | {"tool_call_count": F.when(kind.isNotNull(), found["tool_call_count"]).otherwise(0), "tool_names": found["tool_names"]}).drop("_anchor", "_user", "_answer", "_found")
@@ -50,13 +56,13 @@ def to_spans(exchanges: DataFrame) -> DataFrame:
     capped; ids follow from the connection, time and path, so that a job done again makes the same ones. Columns of attribution, and what turns need
     (is_terminal, is_user_start, user_input, assistant_text), are read from the whole bodies.
     """
-    own = exchanges.withColumn("wire_api", wire.detect(*map(F.col, ("method", "uri", "request_headers", "request_body")))).where("wire_api is not null")
+    own = exchanges.withColumn("wire_api", once(wire.detect(*map(F.col, ("method", "uri", "request_headers", "request_body"))))).where("wire_api is not null")
     api, body, answer = F.col("wire_api"), F.col("request_body"), F.col("response_body")
-    own = own.withColumns({"_q": wire.request_fields(api, F.col("uri"), body), "_r": _answered(api, answer, F.col("is_sse"))})
+    own = own.withColumns({"_q": wire.request_fields(api, F.col("uri"), body), "_r": once(_answered(api, answer, F.col("is_sse")))})
     own = attributed(own)
     kind = F.col("agent_kind")
     estimated = wire.estimated(api, F.col("status_code"), body, F.coalesce("_r.text", answer), F.col("_r.input_tokens"), F.col("_r.output_tokens"))
-    own = own.withColumn("_t", estimated)
+    own = own.withColumn("_t", once(estimated))
     cut_q, cut_r = wire.capped(body), wire.capped(answer)
     ends = F.when(F.col("is_sse"), wire.is_turn_terminal(api, F.col("_r.finish_reason"))).otherwise(wire.is_turn_terminal(api, F.col("_r.finish_reason"), answer))
     return own.select(

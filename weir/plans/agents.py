@@ -208,12 +208,17 @@ def conversation_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = conv * 3_600_000_000 + turn * 1_000_000
     return own.select(
         F.concat(F.lit("src-"), (conv % 2).cast("string")).alias("source_id"), F.lit("10.1.0.1").alias("client_ip"), turn.cast("int").alias("client_port"), F.lit("10.0.0.1").alias("server_ip"), F.lit(443).alias("server_port"),
-        F.lit("POST").alias("method"), F.when(claude, "/v1/messages").otherwise("/gate/chat").alias("uri"), headers.alias("request_headers"), request.alias("request_body"), F.lit(200).alias("status_code"),
-        F.array(json).alias("response_headers"), F.when(conv % 4 == 0, F.concat(start, delta, stop)).when(claude, whole).otherwise(chat).alias("response_body"), (conv % 4 == 0).alias("is_sse"),
+        F.lit("POST").alias("method"), F.when(claude, "/v1/messages").otherwise("/gate/chat").alias("uri"), headers.alias("request_headers"), calls.once(request).alias("request_body"), F.lit(200).alias("status_code"),
+        F.array(json).alias("response_headers"), calls.once(F.when(conv % 4 == 0, F.concat(start, delta, stop)).when(claude, whole).otherwise(chat)).alias("response_body"), (conv % 4 == 0).alias("is_sse"),
         at.alias("request_us"), (at + turn % 3 * 500).alias("response_us"), (at + tokens * 10).alias("complete_us"),
     )
 
 
+def _conversation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans are stored before they are asked for; kept, they stand for the stored table, and no question is planned into the reading of bodies."""
+    return calls.to_spans(conversation_exchanges(spark, sf_dir)).persist()
+
+
 _ANSWERS_SQL = """q AS (SELECT *, lag(text) OVER w AS asked, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 x AS (SELECT conv_id, turn, conv_id * 3600000000 + turn * 1000000 AS request_us, length(coalesce(text, '')) AS n, coalesce(after = 'user', true) AS ends, CASE WHEN before = 'user' THEN asked END AS ask, nullif(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '') AS said, text FROM q WHERE role = 'assistant'),
 s AS (SELECT concat('src-', CAST(conv_id % 2 AS VARCHAR)) AS source_id, CAST(conv_id AS VARCHAR) AS session_id, request_us, CASE WHEN conv_id % 2 = 0 THEN 'anthropic' ELSE 'openai-chat' END AS wire_api, CASE WHEN conv_id % 2 = 0 THEN 'claude-cli' ELSE 'opencode' END AS agent_kind, concat('m', CAST(conv_id % 3 AS VARCHAR)) AS model, conv_id % 4 = 0 AS is_stream,
@@ -225,12 +230,12 @@ s AS (SELECT concat('src-', CAST(conv_id % 2 AS VARCHAR)) AS source_id, CAST(con
 def spans_from_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["source_id", "session_id", "request_us", "wire_api", "agent_kind", "model", "is_stream", "finish_reason", "response_id", "input_tokens", "output_tokens", "total_tokens", "ttft_ms", "e2e_latency_ms", "is_terminal", "is_user_start"]
     # an answer of no token at turn 0 names no count, so it would be estimated
-    return calls.to_spans(conversation_exchanges(spark, sf_dir)).select(*names).where("total_tokens > 0 and request_us % 3600000000 + output_tokens > 0")
+    return _conversation_spans(spark, sf_dir).select(*names).where("total_tokens > 0 and request_us % 3600000000 + output_tokens > 0")
 
 
 @query(f"""WITH {_ANSWERS_SQL}, t AS (SELECT *, coalesce(sum(CAST(is_terminal AS INT)) OVER (PARTITION BY source_id, session_id ORDER BY request_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn_no FROM s)
 SELECT concat(source_id, ':', session_id, ':', CAST(turn_no AS VARCHAR)) AS turn_id, min(request_us) AS start_us, max(end_us) AS end_us, count(*) AS call_count, any_value(model) AS models_used, CASE WHEN bool_or(is_terminal) THEN 'complete' ELSE 'incomplete' END AS status, any_value(agent_kind) AS agent_kind, any_value(wire_api) AS wire_api
 FROM t GROUP BY source_id, session_id, turn_no HAVING bool_or(is_user_start)""")
 def turns_from_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = turns.assemble(calls.of_agents(calls.to_spans(conversation_exchanges(spark, sf_dir))))
+    out = turns.assemble(calls.of_agents(_conversation_spans(spark, sf_dir)))
     return flat(out).select("turn_id", "start_us", "end_us", "call_count", "models_used", "status", "agent_kind", "wire_api")
