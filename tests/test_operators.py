@@ -60,6 +60,11 @@ def test_turn_without_user_is_dropped_and_tail_is_incomplete(spark):
     assert got == {"src:a:0": ("complete", ["c1", "c2"]), "src:a:1": ("incomplete", ["c3"])}
 
 
+def test_turns_under_way_overlap_the_range(spark):
+    rows = spark.createDataFrame([("a", 0, 10), ("b", 5, 30), ("c", 30, 40), ("d", 31, 40)], "turn_id string, start_us long, end_us long")
+    assert {r.turn_id for r in turns.under_way(rows, 10, 30).collect()} == {"a", "b", "c"}
+
+
 def test_pairing_overwrites_and_ignores(spark):
     rows = [(1, 10, 0, 1, "a"), (1, 20, 0, 2, "b"), (1, 30, 1, 3, "r"), (1, 40, 1, 4, "r"), (2, 5, 1, 9, "r")]
     got = {(r.request, r.response) for r in exchanges.pair(spark.createDataFrame(rows, "flow long, ts_us long, kind int, seq long, label string")).collect()}

@@ -123,6 +123,11 @@ def sessions(traces: DataFrame) -> DataFrame:
     )
 
 
+def under_way(snapshot: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """Turns under way that overlap a range, both ends with it; written turns are asked for by their start alone."""
+    return snapshot.where((F.col("end_us") >= start_us) & (F.col("start_us") <= end_us))
+
+
 def union_in_progress(persisted: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Turns under way before those written, each newest first; sort by in_progress desc, start_us desc, turn_id."""
     return snapshot.withColumn("in_progress", F.lit(True)).unionByName(persisted.withColumn("in_progress", F.lit(False)), allowMissingColumns=True)
