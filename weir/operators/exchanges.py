@@ -19,7 +19,16 @@ def pair(events: DataFrame) -> DataFrame:
     return out.select("flow", F.col("q.seq").alias("request"), F.col("q.ts_us").alias("request_us"), F.col("r.seq").alias("response"), F.col("r.ts_us").alias("response_us"), F.col("r.label").alias("response_label"), ((F.col("r.ts_us") - F.col("q.ts_us")) / 1000.0).alias("duration_ms"))
 
 
-def heartbeats(packets: DataFrame, gap_us: int = 1_000_000) -> DataFrame:
-    """A heartbeat before each packet that comes a gap or more after the one before it, by source, and before the first."""
-    order = Window.partitionBy("source_id").orderBy("ts_us", "seq")
-    return packets.withColumn("before", F.lag("ts_us").over(order)).where(F.col("before").isNull() | (F.col("ts_us") - F.col("before") >= gap_us)).select("source_id", F.col("ts_us").alias("heartbeat_us"), "seq")
+def heartbeats(packets: DataFrame, gap_us: int = 1_000_000, chunk_us: int = 3_600_000_000) -> DataFrame:
+    """A heartbeat before each packet that comes a gap or more after the one before it, by source, and before the first.
+
+    Packets are put in order within chunks of time; the last one of the chunk before comes from a row for each source and chunk, so no
+    task needs all packets of a source.
+    """
+    own = packets.select("source_id", "ts_us", "seq", F.floor(F.col("ts_us") / chunk_us).alias("chunk"))
+    near = own.withColumn("before", F.lag("ts_us").over(Window.partitionBy("source_id", "chunk").orderBy("ts_us", "seq")))
+    ends = own.groupBy("source_id", "chunk").agg(F.max("ts_us").alias("last"))
+    carried = ends.select("source_id", "chunk", F.lag("last").over(Window.partitionBy("source_id").orderBy("chunk")).alias("carried"))
+    same = F.col("n.source_id").eqNullSafe(F.col("c.source_id")) & (F.col("n.chunk") == F.col("c.chunk"))
+    both = near.alias("n").join(carried.alias("c"), same).select("n.source_id", "n.ts_us", "n.seq", F.coalesce("n.before", "c.carried").alias("before"))
+    return both.where(F.col("before").isNull() | (F.col("ts_us") - F.col("before") >= gap_us)).select("source_id", F.col("ts_us").alias("heartbeat_us"), "seq")

@@ -123,6 +123,21 @@ def sessions(traces: DataFrame) -> DataFrame:
     )
 
 
+def full_texts(traces: DataFrame, spans: DataFrame) -> DataFrame:
+    """turn_id, user_input and final_answer in full: a preview that was cut is looked up in the call that it is from, any other is whole already.
+
+    ``spans``: id, user_input, assistant_text. A cut preview whose call is no longer there stays as it is.
+    """
+    cut = lambda c: F.coalesce(F.col(c).endswith(MORE) & (F.char_length(c) > PREVIEW), F.lit(False))
+    out = traces.select("turn_id", "user_input_preview", "final_answer_preview", F.when(cut("user_input_preview"), F.col("user_call_id")).alias("_asked"), F.when(cut("final_answer_preview"), F.col("final_call_id")).alias("_said"))
+    wanted = out.select(F.explode(F.filter(F.array("_asked", "_said"), lambda x: x.isNotNull())).alias("id")).distinct()
+    # only calls that are asked for bring their texts
+    texts = spans.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("user_input").alias("user_input"), F.max("assistant_text").alias("assistant_text"))
+    asked, said = texts.select(F.col("id").alias("_asked"), "user_input"), texts.select(F.col("id").alias("_said"), "assistant_text")
+    both = out.join(asked, "_asked", "left").join(said, "_said", "left")
+    return both.select("turn_id", F.coalesce("user_input", "user_input_preview").alias("user_input"), F.coalesce("assistant_text", "final_answer_preview").alias("final_answer"))
+
+
 def under_way(snapshot: DataFrame, start_us: int, end_us: int) -> DataFrame:
     """Turns under way that overlap a range, both ends with it; written turns are asked for by their start alone."""
     return snapshot.where((F.col("end_us") >= start_us) & (F.col("start_us") <= end_us))

@@ -74,6 +74,12 @@ def agent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.activity(traces(spark, sf_dir), "status", turns.auto_bucket(8 * 86400))
 
 
+@query(f"WITH {TURNS_SQL} SELECT concat(source_id, ':', session_id, ':', CAST(turn_no AS VARCHAR)) AS turn_id, u AS user_input, CASE WHEN last_role <> 'assistant' OR last_text = chr(0) THEN NULL ELSE last_text END AS final_answer FROM turns")
+def full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls_ = turns.conversation_calls(bridge.read(spark, sf_dir, "conversations"))
+    return turns.full_texts(turns.assemble(calls_), calls_)
+
+
 SESSIONS_SQL = "sessions AS (SELECT source_id, session_id, min(start_us) AS first_turn_us, max(start_us) AS last_turn_us, count(*) AS turn_count, CAST(sum(call_count) AS BIGINT) AS call_count, CAST(sum(total_input_tokens) AS BIGINT) AS input_tokens, CAST(sum(total_output_tokens) AS BIGINT) AS output_tokens, arg_min(user_input_preview, start_us) AS first_preview FROM traces GROUP BY 1, 2)"
 
 
