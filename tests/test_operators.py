@@ -1,5 +1,6 @@
 """Rules that the registered queries don't reach."""
 
+import json
 import struct
 
 import pytest
@@ -130,6 +131,27 @@ def test_bodies(spark):
     assert one(spark, trajectory.arguments(F.lit('{"a": 1'))) == "{}" and one(spark, trajectory.arguments(F.lit('{"a": 1}'))) == '{"a": 1}'
 
 
+def test_trajectories_rebuild_blocks_and_the_answer(spark):
+    request = {
+        "system": [{"type": "text", "text": "sys"}], "tools": [{"name": "f"}],
+        "messages": [
+            {"role": "user", "content": "go"}, {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "ok"}, {"type": "tool_use", "id": "t1", "name": "f", "input": {"a": 1}}]},
+            {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "42"}]}, {"type": "text", "text": "and?"}]},
+        ],
+    }
+    chat = {"messages": [{"role": "user", "content": "go"}]}
+    answer = {"choices": [{"message": {"role": "assistant", "content": None, "tool_calls": [{"id": "c1", "function": {"name": "g", "arguments": "nonsense"}}]}}]}
+    rows = [("a", "anthropic", json.dumps(request), json.dumps({"content": [{"type": "text", "text": "done"}]})), ("c", "openai-chat", json.dumps(chat), json.dumps(answer)), ("g", "gemini-aistudio", "{}", "{}"), ("n", "anthropic", "{}", None)]
+    got = {r.turn_id: json.loads(r.line) for r in trajectory.export(spark.createDataFrame(rows, "turn_id string, wire_api string, request_body string, response_body string")).collect()}
+    assert set(got) == {"a", "c"}
+    short = lambda m: (m["role"], m.get("content"), m.get("reasoning"), m.get("tool_call_id"), [(c["id"], c["name"], c["arguments"]) for c in m["tool_calls"]])
+    assert [short(m) for m in got["a"]["messages"]] == [
+        ("system", "sys", None, None, []), ("user", "go", None, None, []), ("assistant", "ok", "hm", None, [("t1", "f", '{"a":1}')]),
+        ("tool", "42", None, "t1", []), ("user", "and?", None, None, []), ("assistant", "done", None, None, []),
+    ]
+    assert [short(m) for m in got["c"]["messages"]] == [("user", "go", None, None, []), ("assistant", None, None, None, [("c1", "g", "{}")])] and got["a"]["tools"] == ['{"name":"f"}']
+
+
 def test_metadata_patches(spark):
     traces = spark.createDataFrame([("a", {"x": "1", "y": "2"}), ("b", None), ("c", None)], "turn_id string, metadata map<string,string>")
     patches = spark.createDataFrame([("a", {"y": "3"}), ("b", {"z": "4"}), ("q", {"z": "5"})], "turn_id string, patch map<string,string>")

@@ -108,14 +108,24 @@ def session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", out.alias("session_id"))
 
 
-@query()
-def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bridge.read(spark, sf_dir, "conversations")
     message = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
     bodies = rows.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(message)), lambda x: x["m"]).alias("messages"))).alias("request_body"))
     return trajectory.export(bodies.select(F.col("conv_id").cast("string").alias("turn_id"), F.when(F.col("conv_id") % 3 == 0, "gemini-aistudio").otherwise("openai-chat").alias("wire_api"), "request_body"))
 
 
+@query()
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trajectories(spark, sf_dir)
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS turn_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS position, role, text AS content FROM conversations WHERE conv_id % 3 <> 0")
+def trajectory_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.from_json("line", "struct<messages:array<struct<role:string,content:string>>>")["messages"]
+    return _trajectories(spark, sf_dir).select("turn_id", F.posexplode(parsed).alias("position", "m")).select("turn_id", "position", "m.role", "m.content")
+
+
 @query("""SELECT event_id, event_id % 2 = 1 AND (event_id % 20 > 0 OR event_id % 10 > 0) AS tokens_estimated FROM events""")
 def estimated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
