@@ -227,10 +227,36 @@ def test_line_dedup_equals_its_sql(spark, docs, empty):
     assert got[10][0] == "a b c\nd e f\ng h i\nrest" and got[11][0] == "other" and got[12][0] == ""
 
 
-def test_passages_within_lines_go_and_chance_repeats_stay(spark):
+def _brute_lines(rows):
+    """Kept text, lines and removed lines of each (id, text), from the definition alone."""
+    cut = {d: re.split(r"(?<=\n)|(?<=[.!?] )", t) for d, t in rows if t is not None}
+    seen, gone = set(), {d: set() for d in cut}
+    for d in sorted(cut):
+        for k in range(len(cut[d]) - 2):
+            window = tuple(x.strip(" \n\r\t") for x in cut[d][k : k + 3])
+            if any(window):
+                if window in seen:
+                    gone[d] |= {k, k + 1, k + 2}
+                seen.add(window)
+    out = {d: (None, 0, 0) for d, t in rows}
+    for d, lines in cut.items():
+        text = "".join(x for k, x in enumerate(lines) if k not in gone[d])
+        out[d] = (text.rstrip(" \n\r\t") if len(lines) - 1 in gone[d] else text, len(lines), len(gone[d]))
+    return out
+
+
+def test_line_dedup_equals_brute_force_with_short_sentences(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id is not null").distinct().collect()]
+    rows += [(100, "Alpha one. Beta. Gamma. Unlike ends here"), (101, "Other start. Alpha one. Beta. Gamma. "), (102, "No. No. No. No. No."), (103, "\n\n\n\n"), (104, "a\n \n\nb"), (105, "Last? Yes! No.  Why. ")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute_lines(rows)
+    assert got[100][2] == 0 and got[101] == ("Other start. ", 5, 3)
+
+
+def test_passages_within_lines_go(spark):
     words = [f"w{k}" for k in range(70)]
     passage = "".join(" ".join(words[k : k + 10]).capitalize() + ". " for k in range(0, 70, 10))
-    rows = [(1, f"One starts here. Yes. No. Be. {passage}And goes on."), (2, f"Two is unlike, with {passage}an end in mid-line.\nLast line"), (3, "Yes. No. Be. But else a text of its own that no other document repeats."), (4, passage.strip())]
+    rows = [(1, f"One starts here. Yes. No. Be. {passage}And goes on."), (2, f"Two is unlike, with {passage}an end in mid-line.\nLast line"), (3, "Yes. No. But else a text of its own that no other document repeats."), (4, passage.strip())]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame([(*r, "v", 1) for r in rows], "doc_id long, text string, TH string, n_Lines int")).collect()}
     assert got[1].text == rows[0][1] and got[3].text == rows[2][1] and got[4].text == "" and got[4].TH == "v"
     # what the passage's first line begins in the middle of is another line, so it stays
