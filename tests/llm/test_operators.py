@@ -501,7 +501,7 @@ def test_digests_follow_the_contract(spark):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op3_quality", "op5_near_dedup", "op7_line_dedup", "op8_decontaminate"])
+@pytest.mark.parametrize("name", ["op3_quality", "op5_near_dedup", "op7_line_dedup", "op8_decontaminate", "op11_filter_audit", "op12_vector_codes", "op13_chat_format"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .chat_format import ORACLE_SQL as CHAT_FORMAT
 from .decontaminate import LOWER, SEPARATORS, UPPER, WINDOW
+from .filter_audit import ORACLE_SQL as FILTER_AUDIT
 from .line_dedup import ORACLE_SQL as LINE_DEDUP
+from .vector_codes import ORACLE_SQL as VECTOR_CODES
 
 QUALITY = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -52,4 +55,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIG
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op3_quality": QUALITY, "op5_near_dedup": NEAR_DEDUP, "op7_line_dedup": LINE_DEDUP, "op8_decontaminate": DECONTAMINATE}
+ORACLE_SQL = {"op3_quality": QUALITY, "op5_near_dedup": NEAR_DEDUP, "op7_line_dedup": LINE_DEDUP, "op8_decontaminate": DECONTAMINATE, "op11_filter_audit": FILTER_AUDIT, "op12_vector_codes": VECTOR_CODES, "op13_chat_format": CHAT_FORMAT}
