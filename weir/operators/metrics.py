@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,6 +93,14 @@ def finish_rollup(spans: DataFrame, granularities: dict[str, int] = GRANULARITIE
     return rows.groupBy((F.col("request_us") - F.col("request_us") % F.col("g.size")).alias("window_us"), "source_id", F.col("g.granularity").alias("granularity"), F.col("t.wire_api").alias("wire_api"), F.col("t.model").alias("model"), F.col("t.server_ip").alias("server_ip"), "finish_reason").agg(F.count("*").alias("count"))
 
 
+def finish_rows(spans: DataFrame, granularities: dict[str, int] = GRANULARITIES) -> DataFrame:
+    """Counts by finish reason and all dimensions, as stored: the rolled-up tiers follow from them."""
+    windows = F.explode(F.array(*(F.struct(F.lit(n).alias("granularity"), F.lit(s * 1_000_000).cast("long").alias("size")) for n, s in granularities.items())))
+    rows = spans.where(F.col("finish_reason").isNotNull()).select("request_us", "source_id", "finish_reason", "wire_api", "model", "server_ip", windows.alias("g"))
+    keys = [(F.col("request_us") - F.pmod(F.col("request_us"), F.col("g.size"))).alias("window_us"), "source_id", F.col("g.granularity").alias("granularity"), "wire_api", "model", "server_ip", "finish_reason"]
+    return rows.groupBy(*keys).agg(F.count("*").alias("count")).withColumn("finest", F.lit(True))
+
+
 #: Fields that can be asked for, each with its aggregate over rollup rows.
 def field(name: str) -> Column:
     """A field over rollup rows: sums for counters, sum by count for averages, count-weighted means of the rows' percentiles."""
@@ -111,12 +119,12 @@ def field(name: str) -> Column:
     raise ValueError(f"unknown field: {name}")
 
 
-def timeseries(rows: DataFrame, fields: Sequence[str], granularity: str, start_us: int, end_us: int, tier: Column, group_by: str | None = None) -> DataFrame:
-    """ts (seconds), the group if any, and the fields, for each window in the range."""
+def timeseries(rows: DataFrame, fields: Sequence[str], granularity: str, start_us: int, end_us: int, tier: Column, group_by: str | None = None, aggregate: Callable[[str], Column] = field) -> DataFrame:
+    """ts (seconds), the group if any, and the fields, for each window in the range. ``aggregate``: a field over rollup rows."""
     keys = [(F.col("window_us") / 1_000_000).cast("long").alias("ts")]
     if group_by:
         keys.append(F.col(check_name(group_by, ("wire_api", "model"))))
-    return rows.where(time_range("window_us", start_us, end_us) & (F.col("granularity") == granularity) & tier).groupBy(*keys).agg(*map(field, fields))
+    return rows.where(time_range("window_us", start_us, end_us) & (F.col("granularity") == granularity) & tier).groupBy(*keys).agg(*map(aggregate, fields))
 
 
 def on_grid(series: DataFrame, fields: Sequence[str], start_s: int, end_s: int, step: int, group_by: str | None = None) -> DataFrame:
@@ -133,7 +141,11 @@ def on_grid(series: DataFrame, fields: Sequence[str], start_s: int, end_s: int,
 
 def summary(rows: DataFrame, start_us: int, end_us: int, tier: Column) -> DataFrame:
     """Totals over the finest windows; one row, with zeros, if there are none."""
-    own = rows.where(time_range("window_us", start_us, end_us) & (F.col("granularity") == "10s") & tier)
+    return totals(rows.where(time_range("window_us", start_us, end_us) & (F.col("granularity") == "10s") & tier))
+
+
+def totals(own: DataFrame) -> DataFrame:
+    """Totals over rollup rows; one row, with zeros, if there are none."""
     counts = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS]
     averages = [field(f"{d}_avg") for d in DISTRIBUTIONS]
     return own.agg(*counts, *averages)
@@ -141,9 +153,13 @@ def summary(rows: DataFrame, start_us: int, end_us: int, tier: Column) -> DataFr
 
 def by_model(rows: DataFrame, start_us: int, end_us: int, sort: str = "call_count", limit: int = 20) -> DataFrame:
     """Figures by wire API and model, the largest ``sort`` first; ties by name."""
-    check_name(sort, (*COUNTERS, "ttft_avg", "e2e_avg"))
     own = rows.where(time_range("window_us", start_us, end_us) & (F.col("granularity") == "10s") & (F.col("wire_api") != ANY) & (F.col("model") != ANY) & (F.col("server_ip") == ANY))
-    out = own.groupBy("wire_api", "model").agg(*map(field, ("call_count", "error_count", "input_tokens_sum", "output_tokens_sum", "ttft_avg", "e2e_avg", "e2e_p95")))
+    return model_totals(own, sort, limit)
+
+
+def model_totals(own: DataFrame, sort: str = "call_count", limit: int = 20, aggregate: Callable[[str], Column] = field) -> DataFrame:
+    check_name(sort, (*COUNTERS, "ttft_avg", "e2e_avg"))
+    out = own.groupBy("wire_api", "model").agg(*map(aggregate, ("call_count", "error_count", "input_tokens_sum", "output_tokens_sum", "ttft_avg", "e2e_avg", "e2e_p95")))
     return out.orderBy(F.col(sort).desc_nulls_last(), "wire_api", "model").limit(limit)
 
 
@@ -178,13 +194,6 @@ def active_calls(spans: DataFrame) -> DataFrame:
     return active_samples(spans).groupBy("source_id", (F.col("ts_us") - F.col("ts_us") % 60_000_000).alias("window_us")).agg(F.max("active").alias("active_calls_max"))
 
 
-def active_rollup(spans: DataFrame, granularities: dict[str, int] = GRANULARITIES) -> DataFrame:
-    """The most calls under way at once, by source, granularity and window: one running count, whose samples all granularities share."""
-    windows = F.explode(F.array(*(F.struct(F.lit(n).alias("granularity"), F.lit(s * 1_000_000).cast("long").alias("size")) for n, s in granularities.items())))
-    samples = active_samples(spans).select("source_id", "ts_us", "active", windows.alias("g"))
-    return samples.groupBy("source_id", F.col("g.granularity").alias("granularity"), (F.col("ts_us") - F.col("ts_us") % F.col("g.size")).alias("window_us")).agg(F.max("active").alias("active_calls_max"))
-
-
 def rates(rows: DataFrame, seconds: int) -> DataFrame:
     """Rates that follow from counters: calls and tokens a second, shares of errors, of too many requests and of tokens read from a cache."""
 

@@ -55,6 +55,11 @@ def tier(wire_apis: Sequence[str] | None = None, models: Sequence[str] | None =
     return every(out)
 
 
+def dimensions(wire_apis: Sequence[str] | None = None, models: Sequence[str] | None = None, server_ips: Sequence[str] | None = None) -> Column:
+    """The rows of all dimensions that a query asks for."""
+    return every([one_of("wire_api", wire_apis), one_of("model", models), one_of("server_ip", server_ips)])
+
+
 def tier_name() -> Column:
     """The tier of a rollup row, as a column to be written with it."""
     w, m, s = (F.col(c) != ANY for c in ("wire_api", "model", "server_ip"))

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import listing, metrics, predicates, services, turns
+from .operators import gauge, listing, metrics, predicates, services, sketches, turns
 
 #: Days that each table and granularity is kept; 0 keeps all.
 RETENTION_DAYS = {"spans": 7, "traces": 30, "http_exchanges": 7, "10s": 1, "1m": 7, "5m": 30, "1h": 365}
@@ -91,6 +91,10 @@ class Store:
         self._put(table, rows.withColumn("day", F.floor(F.col(TABLES[table]) / DAY_US)).withColumn("batch", F.lit(number).cast("long")))
 
     def read(self, table: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
+        """Rows of a table; rollups in all tiers, which are made from the stored rows of all dimensions."""
+        return sketches.tiers(self.stored(table, start_us, end_us))
+
+    def stored(self, table: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
         # folders are listed once, not for each question
         rows = self._tables.get(table)
         if rows is None:
@@ -106,16 +110,52 @@ class Store:
 
     # writes
 
-    def ingest(self, spans: DataFrame, exact: bool = False) -> None:
+    def ingest(self, spans: DataFrame, batch: int | None = None) -> None:
         """Spans with their rollups."""
-        self.write("spans", spans)
-        self.ingest_metrics(spans, exact)
+        number = time.time_ns() // 1000 if batch is None else batch
+        self.write("spans", spans, number)
+        self.ingest_metrics(spans, number)
 
-    def ingest_metrics(self, spans: DataFrame, exact: bool = False) -> None:
-        """The rollups of some spans; rows of windows that are already there add to them."""
-        self.write("llm_metrics", metrics.rollup(spans, exact=exact))
-        self.write("llm_finish_metrics", metrics.finish_rollup(spans))
-        self.write("llm_active", metrics.active_rollup(spans))
+    def ingest_metrics(self, spans: DataFrame, batch: int | None = None) -> None:
+        """The rollups of some spans; rows of windows that are already there add to them, and calls under way go on from the batch before."""
+        number = time.time_ns() // 1000 if batch is None else batch
+        self.ingest_rollups(sketches.finest(spans), metrics.finish_rows(spans), number)
+        waiting, own = self._state("pending", number), gauge.steps(spans)
+        now, later, clocks = gauge.due(own if waiting is None else own.unionByName(waiting), self._state("clocks", number))
+        self._keep("pending", later, number)
+        self._keep("clocks", clocks, number)
+        self.ingest_active(now, number)
+
+    def ingest_rollups(self, finest: DataFrame, finish: DataFrame, batch: int) -> None:
+        """Rollup rows of the finest windows, and those of longer ones from them."""
+        self.write("llm_metrics", finest, batch)
+        # the finest rows come from the files just written, so their spans are read once
+        rows = self.spark.read.schema(finest.withColumns({"day": F.lit(0).cast("long"), "batch": F.lit(0).cast("long")}).schema).parquet(self.path("llm_metrics"))
+        own = rows.where((F.col("batch") == batch) & (F.col("granularity") == sketches.FINEST)).drop("day", "batch")
+        self.write("llm_metrics", sketches.coarser(own), batch)
+        self.write("llm_finish_metrics", finish, batch)
+
+    def ingest_active(self, steps: DataFrame, batch: int) -> None:
+        """Calls under way at the starts among ``steps``, counted on from the batch before."""
+        samples, after = gauge.run(steps, self._state("active", batch))
+        self.write("llm_active", gauge.rollup(samples), batch)
+        self._keep("active", after, batch)
+
+    # what a batch leaves for the next one; a batch that is done again starts from the same state
+
+    def _states(self, name: str, batch: int) -> list[tuple[int, str]]:
+        fs, at = self._files(f"{self.root}/_state/{name}/{'single' if batch >= SINGLE else 'stream'}/*")
+        return sorted((int(s.getPath().getName()), s.getPath().toString()) for s in fs.globStatus(at) or ())
+
+    def _state(self, name: str, batch: int) -> DataFrame | None:
+        before = [path for number, path in self._states(name, batch) if number < batch]
+        return self.spark.read.parquet(before[-1]) if before else None
+
+    def _keep(self, name: str, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/_state/{name}/{'single' if batch >= SINGLE else 'stream'}/{batch}")
+        # the one before is needed if the batch is done again
+        for _, path in [x for x in self._states(name, batch) if x[0] < batch][:-1]:
+            self._remove(path)
 
     def backfill_metrics(self) -> bool:
         """Makes the rollups from the spans if there are none; tells whether it did."""
@@ -140,7 +180,7 @@ class Store:
             if len(folders) < least:
                 continue
             last = max(b if b >= 0 else -1 - b for _, b in folders)
-            rows = self.read(table).where((F.col("day") == day) & F.col("batch").isin([b for _, b in folders]))
+            rows = self.stored(table).where((F.col("day") == day) & F.col("batch").isin([b for _, b in folders]))
             rows = rows if gran is None else rows.where(F.col("granularity") == gran)
             self._put(table, rows.withColumn("batch", F.lit(-1 - last).cast("long")))
             for path, batch in folders:
@@ -201,22 +241,23 @@ class Store:
 
     def summary(self, start_s: int, end_s: int, **dims: Sequence[str]) -> DataFrame:
         start, end = predicates.check_range(start_s, end_s)
-        return metrics.summary(self.read("llm_metrics", start, end), start, end, predicates.tier(**dims))
+        return metrics.totals(self.stored("llm_metrics", start, end).where(sketches.cover(start, end) & predicates.dimensions(**dims)))
 
     def timeseries(self, fields: Sequence[str], granularity: str, start_s: int, end_s: int, group_by: str | None = None, grid: bool = False, **dims: Sequence[str]) -> DataFrame:
         start, end = predicates.check_range(start_s, end_s)
         step = predicates.check_buckets(start_s, end_s, granularity)
         plain = [f for f in fields if f != "active_calls_max"]
-        series = metrics.timeseries(self.read("llm_metrics", start, end), plain or ["call_count"], granularity, start, end, predicates.tier(**dims, group_by=group_by), group_by)
+        series = metrics.timeseries(self.stored("llm_metrics", start, end), plain or ["call_count"], granularity, start, end, predicates.dimensions(**dims), group_by, sketches.field)
         if len(plain) < len(fields):
-            # calls under way are counted by source alone, so they are the same for all groups and filters
-            active = metrics.timeseries(self.read("llm_active", start, end), ["active_calls_max"], granularity, start, end, F.lit(True))
-            series = series.join(active, "ts", "left").select("ts", *([group_by] if group_by else []), *fields)
+            # a maximum does not add up, so each tier has its own
+            active = metrics.timeseries(self.read("llm_active", start, end), ["active_calls_max"], granularity, start, end, predicates.tier(**dims, group_by=group_by), group_by)
+            keys = ["ts", *([group_by] if group_by else [])]
+            series = series.join(active, keys, "left").select(*keys, *fields)
         return metrics.on_grid(series, fields, start_s, end_s, step, group_by) if grid else series
 
     def models(self, start_s: int, end_s: int, sort: str = "call_count", limit: int = 20) -> DataFrame:
         start, end = predicates.check_range(start_s, end_s)
-        return metrics.by_model(self.read("llm_metrics", start, end), start, end, sort, limit)
+        return metrics.model_totals(self.stored("llm_metrics", start, end).where(sketches.cover(start, end)), sort, limit, sketches.field)
 
     def finish_reasons(self, granularity: str, start_s: int, end_s: int) -> DataFrame:
         return metrics.finish_series(self.read("llm_finish_metrics", *predicates.check_range(start_s, end_s)), granularity)

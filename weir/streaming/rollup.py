@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import metrics
-from ..store import Store
+from ..store import ROLLED, Store
 
 
 def start(spans: DataFrame, store: Store, checkpoint: str, once: bool = False, every: str = "1 second", compact_every: int = 100) -> StreamingQuery:
-    """Writes spans, rollups and finish reasons for each micro-batch. A batch that is done again after a failure replaces its own rows.
+    """Writes spans, rollups, finish reasons and calls under way for each micro-batch. A batch that is done again after a failure replaces its own rows.
 
     After each ``compact_every`` batches the days' folders are put together, so a day never has many more than that.
     """
@@ -22,13 +21,11 @@ def start(spans: DataFrame, store: Store, checkpoint: str, once: bool = False, e
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            store.write("spans", batch, number)
-            store.write("llm_metrics", metrics.rollup(batch, exact=False), number)
-            store.write("llm_finish_metrics", metrics.finish_rollup(batch), number)
+            store.ingest(batch, number)
         finally:
             batch.unpersist()
         if number % compact_every == compact_every - 1:
-            for table in ("spans", "llm_metrics", "llm_finish_metrics"):
+            for table in ("spans", *ROLLED):
                 store.compact(table)
 
     writer = spans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
