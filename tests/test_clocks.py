@@ -110,11 +110,11 @@ def test_one_ingest_and_ten_count_the_same_calls_under_way(spark, tmp_path):
         store, size = Store(spark, str(tmp_path / name)), len(rows) // parts
         for k in range(parts):
             own = spans.where(F.col("id").isin([r[0] for r in rows[k * size : (k + 1) * size]]))
-            waiting = store._state("pending", k + 1)
+            waiting = store.state("pending", k + 1)
             steps = gauge.steps(own) if waiting is None else gauge.steps(own).unionByName(waiting)
-            now, later, clocks_ = gauge.due(steps, store._state("clocks", k + 1))
-            store._keep("pending", later, k + 1)
-            store._keep("clocks", clocks_, k + 1)
+            now, later, clocks_ = gauge.due(steps, store.state("clocks", k + 1))
+            store.keep("pending", later, k + 1)
+            store.keep("clocks", clocks_, k + 1)
             store.ingest_active(now, k + 1)
             if k == 4:
                 store.ingest_active(now, k + 1)  # done again

@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from tests.test_clocks import _files
 from weir.operators import exchanges, metrics
 from weir.sources import bridge
 from weir.store import Store
@@ -100,3 +101,59 @@ def test_retention_deletes_old_days_and_keeps_young_rows(spark, tmp_path):
     store.refresh()
     assert {r.turn_id for r in store.read("traces").collect()} == {"b", "c"}
     assert {(r.granularity, r.window_us // day) for r in store.read("llm_metrics").collect()} == {("1h", 38), ("10s", 40)}
+
+
+AGENT = "source_id string, session_id string, id string, request_us long, end_us long, is_terminal boolean, is_user_start boolean, is_auxiliary boolean, model string, subagent string, tool_surface string, input_tokens long, output_tokens long, user_input string, assistant_text string, finish_reason string, process string"
+
+
+def _agent(session, name, at, terminal=False, start=False, source="s", process=None, aux=False):
+    return (source, session, name, at, at + 10, terminal, start, aux, "m", None, None, 1, 2, name if start else None, name, None, process)
+
+
+def test_turns_by_source_clock_and_those_under_way(spark, tmp_path):
+    from weir.streaming import tracker
+
+    S = 1_000_000
+    batches = [
+        [_agent("a", "a1", 1 * S, start=True), _agent("a", "a2", 2 * S, terminal=True), _agent("b", "b1", 10**6 * S, start=True, source="far")],
+        # c is a late call of the turn that waits, a3 starts the next one; the other source, days ahead, moves no clock but its own
+        [_agent("a", "c", int(1.5 * S)), _agent("a", "a3", int(2.5 * S), start=True), _agent("b", "b2", 10**6 * S + 5, terminal=True, source="far")],
+        [_agent("a", "a4", 4 * S), _agent("a", "aux", 4 * S, terminal=True, aux=True), _agent("p", "p1", 4 * S, process="42"), _agent("q", "q1", 4 * S)],
+        [_agent("a", "old", 1 * S)],  # from before what went out
+        [(("s", None, None, 10**4 * S, 10**4 * S) + (False,) * 3 + (None,) * 9)],  # a heartbeat, idle for all
+        [_agent("a", "a5", 10**4 * S + 7, start=True)],
+    ]
+    store, ids = Store(spark, str(tmp_path)), []
+    for k, rows in enumerate(batches):
+        tracker.step(spark.createDataFrame(rows, AGENT), store, k)
+        if k == 1:
+            tracker.step(spark.createDataFrame(rows, AGENT), store, k)  # done again
+        ids.append({(r.turn_id, tuple(r.span_ids), r.status) for r in tracker.snapshot(store).collect()})
+    assert ids[0] == {("s:a:0", ("a1", "a2"), "in_progress"), ("far:b:0", ("b1",), "in_progress")}
+    assert ids[1] == {("s:a:0", ("a1", "c", "a2"), "in_progress"), ("far:b:0", ("b1", "b2"), "in_progress")}
+    # p goes without a user's start, by its process; q does not
+    assert ids[2] == ids[3] == {("far:b:0", ("b1", "b2"), "in_progress"), ("s:a:1", ("a3", "a4"), "in_progress"), ("s:p:0", ("p1",), "in_progress")}
+    assert ids[4] == {("far:b:0", ("b1", "b2"), "in_progress")} and ids[5] == ids[4] | {(f"s:a:{8 * tracker.EPOCH}", ("a5",), "in_progress")}  # forgotten, so no number is used twice
+    store.refresh()
+    assert {(r.turn_id, tuple(r.span_ids), r.status) for r in store.read("traces").collect()} == {("s:a:0", ("a1", "c", "a2"), "complete"), ("s:a:1", ("a3", "a4"), "incomplete"), ("s:p:0", ("p1",), "incomplete")}
+    page = store.live_traces(0, 2 * 10**6).collect()
+    assert [r.turn_id for r in page] == ["far:b:0", f"s:a:{8 * tracker.EPOCH}", "s:p:0", "s:a:1", "s:a:0"] and [r.in_progress for r in page] == [True] * 2 + [False] * 3
+
+
+def test_written_turns_and_those_under_way_are_the_batchs(spark, tmp_path):
+    from weir.operators import turns
+    from weir.streaming import tracker
+
+    rows = bridge.read(spark, SF_DIR, "conversations")
+    calls = turns.conversation_calls(rows).withColumn("process", F.lit(None).cast("string")).where("cast(session_id as int) < 12")
+    cut = "cast(split(id, '-')[1] as int)"
+    beats = calls.limit(2).select(*(F.lit(10**12).cast("long").alias(c) if c == "end_us" else F.concat(F.lit("src-"), (F.monotonically_increasing_id() % 2).cast("string")).alias(c) if c == "source_id" else F.lit(None).cast(t).alias(c) for c, t in calls.dtypes))
+    frames = [calls.where(f"{cut} < 2"), calls.where(f"{cut} = 2"), calls.where(f"{cut} > 2"), beats]
+    store = Store(spark, str(tmp_path / "store"))
+    tracker.start(_files(spark, frames, str(tmp_path / "in")), store, str(tmp_path / "check"), once=True, idle_us=10**15).awaitTermination()
+    store.refresh()
+    columns = ["turn_id", "start_us", "end_us", "call_count", "span_ids", "models_used", "total_input_tokens", "final_answer_preview"]
+    written, going = store.read("traces").select(*columns), tracker.snapshot(store).select(*columns)
+    want = turns.assemble(calls)
+    assert sorted(map(str, written.unionByName(going).collect())) == sorted(map(str, want.select(*columns).collect())) and written.count() > 0
+    assert {r.status for r in store.read("traces").select("status").distinct().collect()} == {"complete"}

@@ -20,12 +20,25 @@ def assemble(calls: DataFrame) -> DataFrame:
 
     ``calls``: source_id, session_id, id, request_us, end_us, is_terminal, is_user_start, is_auxiliary, model, subagent, tool_surface,
     input_tokens, output_tokens, user_input, assistant_text, finish_reason. A turn is the calls up to and with a terminal one; its number is how
-    many terminal calls the session has with a strictly earlier request. Turns without a user start are dropped, auxiliary calls belong to none; the last turn
+    many terminal calls the session has with a strictly earlier request. Turns without a user start are dropped, unless a main agent's call in them has a
+    ``process`` (if there is such a column), which tells that the opening call was missed; auxiliary calls belong to none; the last turn
     without a terminal call is incomplete.
     """
+    return build(numbered(calls.where(~F.col("is_auxiliary"))))
+
+
+def numbered(calls: DataFrame) -> DataFrame:
+    """Calls with turn_no, counted in each session."""
     earlier = Window.partitionBy("source_id", "session_id").orderBy("request_us").rangeBetween(Window.unboundedPreceding, -1)
-    own = calls.where(~F.col("is_auxiliary")).withColumn("turn_no", F.coalesce(F.sum(F.col("is_terminal").cast("int")).over(earlier), F.lit(0)))
-    at = F.struct("request_us", "id")
+    return calls.withColumn("turn_no", F.coalesce(F.sum(F.col("is_terminal").cast("int")).over(earlier), F.lit(0)))
+
+
+def build(calls: DataFrame, status: str | None = None) -> DataFrame:
+    """Traces from calls with their turn_no; ``status`` stands for all, else it is complete with a terminal call and incomplete without."""
+    own, at = calls, F.struct("request_us", "id")
+    started = F.max("is_user_start")
+    if "process" in calls.columns:
+        started = started | F.max(F.col("process").isNotNull() & F.col("subagent").isNull())
     # what only calls read from bodies have
     rank = F.max(F.when(F.col("agent_topology") == "orchestrator", 2).when(F.col("agent_topology") == "sub_agent", 1).when(F.col("agent_topology") == "single_agent", 0)) if "agent_topology" in calls.columns else None
     extra = {n: F.min_by(n, at).alias(n) for n in ("wire_api", "agent_kind") if n in calls.columns}
@@ -41,7 +54,7 @@ def assemble(calls: DataFrame) -> DataFrame:
         F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("long").alias("total_input_tokens"),
         F.coalesce(F.sum("output_tokens"), F.lit(0)).cast("long").alias("total_output_tokens"),
         F.max("is_terminal").alias("_done"),
-        F.max("is_user_start").alias("_started"),
+        started.alias("_started"),
         F.min_by(F.when(F.col("is_user_start"), F.struct("id", "user_input")), F.when(F.col("is_user_start"), at)).alias("_user"),
         F.max_by(F.struct("id", "assistant_text", "finish_reason"), at).alias("_final"),
         *(f for name, f in extra.items()),
@@ -54,7 +67,7 @@ def assemble(calls: DataFrame) -> DataFrame:
         ((F.col("end_us") - F.col("start_us")) / 1000).cast("long").alias("duration_ms"),
         "call_count", names.alias("models_used"), subagents.alias("subagents_used"), F.transform("_calls", lambda c: c["id"]).alias("span_ids"), "tool_surfaces",
         "total_input_tokens", "total_output_tokens",
-        F.when(F.col("_done"), "complete").otherwise("incomplete").alias("status"),
+        (F.lit(status) if status else F.when(F.col("_done"), "complete").otherwise("incomplete")).alias("status"),
         F.col("_final.finish_reason").alias("final_finish_reason"),
         preview(F.col("_user.user_input")).alias("user_input_preview"), F.col("_user.id").alias("user_call_id"),
         preview(F.col("_final.assistant_text")).alias("final_answer_preview"), F.col("_final.id").alias("final_call_id"), *extra,

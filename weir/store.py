@@ -120,10 +120,10 @@ class Store:
         """The rollups of some spans; rows of windows that are already there add to them, and calls under way go on from the batch before."""
         number = time.time_ns() // 1000 if batch is None else batch
         self.ingest_rollups(sketches.finest(spans), metrics.finish_rows(spans), number)
-        waiting, own = self._state("pending", number), gauge.steps(spans)
-        now, later, clocks = gauge.due(own if waiting is None else own.unionByName(waiting), self._state("clocks", number))
-        self._keep("pending", later, number)
-        self._keep("clocks", clocks, number)
+        waiting, own = self.state("pending", number), gauge.steps(spans)
+        now, later, clocks = gauge.due(own if waiting is None else own.unionByName(waiting), self.state("clocks", number))
+        self.keep("pending", later, number)
+        self.keep("clocks", clocks, number)
         self.ingest_active(now, number)
 
     def ingest_rollups(self, finest: DataFrame, finish: DataFrame, batch: int) -> None:
@@ -137,9 +137,9 @@ class Store:
 
     def ingest_active(self, steps: DataFrame, batch: int) -> None:
         """Calls under way at the starts among ``steps``, counted on from the batch before."""
-        samples, after = gauge.run(steps, self._state("active", batch))
+        samples, after = gauge.run(steps, self.state("active", batch))
         self.write("llm_active", gauge.rollup(samples), batch)
-        self._keep("active", after, batch)
+        self.keep("active", after, batch)
 
     # what a batch leaves for the next one; a batch that is done again starts from the same state
 
@@ -147,12 +147,16 @@ class Store:
         fs, at = self._files(f"{self.root}/_state/{name}/{'single' if batch >= SINGLE else 'stream'}/*")
         return sorted((int(s.getPath().getName()), s.getPath().toString()) for s in fs.globStatus(at) or ())
 
-    def _state(self, name: str, batch: int) -> DataFrame | None:
-        before = [path for number, path in self._states(name, batch) if number < batch]
-        return self.spark.read.parquet(before[-1]) if before else None
+    def state(self, name: str, batch: int | None = None, before: bool = True) -> DataFrame | None:
+        """What the last batch before this one left; with ``before`` off, what the last one of a stream left."""
+        found = [path for number, path in self._states(name, batch or 0) if not before or number < (batch or 0)]
+        return self.spark.read.parquet(found[-1]) if found else None
 
-    def _keep(self, name: str, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/_state/{name}/{'single' if batch >= SINGLE else 'stream'}/{batch}")
+    def state_path(self, name: str, batch: int) -> str:
+        return f"{self.root}/_state/{name}/{'single' if batch >= SINGLE else 'stream'}/{batch}"
+
+    def keep(self, name: str, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(self.state_path(name, batch))
         # the one before is needed if the batch is done again
         for _, path in [x for x in self._states(name, batch) if x[0] < batch][:-1]:
             self._remove(path)
@@ -235,6 +239,18 @@ class Store:
         rows = self.read("traces", *predicates.check_range(start_s, end_s))
         return listing.page(rows, where, sort, ("start_us", "end_us", "duration_ms", "call_count"), "turn_id", descending, page, min(size, 200))
 
+    def live_traces(self, start_s: int, end_s: int, page: int = 1, size: int = 50) -> DataFrame:
+        """A page of turns with those under way (``streaming.tracker``) before those written."""
+        start, end = predicates.check_range(start_s, end_s)
+        from .streaming import tracker  # which writes by this store
+
+        snapshot, rows = tracker.snapshot(self), self.read("traces", start, end).drop("day", "batch") if self.exists("traces") else None
+        if snapshot is None and rows is None:
+            raise ValueError("no turns are stored or under way")
+        going = None if snapshot is None else turns.under_way(snapshot, start, end)
+        both = turns.union_in_progress(going.limit(0) if rows is None else rows, rows.limit(0) if going is None else going)
+        return both.orderBy(F.col("in_progress").desc(), F.col("start_us").desc(), "turn_id").offset((page - 1) * min(size, 200)).limit(min(size, 200))
+
     def trace_spans(self, turn_id: str, bodies: bool = False) -> DataFrame:
         ids = self.read("traces").where(F.col("turn_id") == turn_id).select(F.col("turn_id").alias("group"), F.explode("span_ids").alias("id"))
         return listing.fetch(self.read("spans"), ids, [c for c in ("request_body", "response_body") if c in self.read("spans").columns], bodies)
