@@ -29,10 +29,30 @@ def groups(turns: DataFrame, content: Sequence[str]) -> DataFrame:
     nested = (at("start_us") <= F.col("start_us")) & (at("end_us") >= F.col("end_us"))
     role = F.when(F.col("turn_id") == at("turn_id"), "lead").when(F.col("view") == at("view"), None).when(mirror, "mirror_secondary").when(nested, "proxy_out")
     told = led.withColumn("_role", role).where(F.col("_role").isNotNull())
-    sized = told.withColumns({"size": F.count("*").over(inside), "_hop": F.max(F.col("_role") == "proxy_out").over(inside), "_all": F.collect_set("turn_id").over(inside)})
+    # the members of a group are put together once, and told to each of them by its leader's id
+    members = told.select("turn_id", at("turn_id").alias("pair_id"), "_role")
+    of = members.groupBy("pair_id").agg(F.count("*").alias("size"), F.max(F.col("_role") == "proxy_out").alias("_hop"), F.sort_array(F.collect_set("turn_id")).alias("_all")).where("size > 1")
     role = F.when(F.col("_role") != "lead", F.col("_role")).when(F.col("_hop"), "proxy_in").otherwise("mirror_primary")
-    peers = F.array_sort(F.array_remove("_all", F.col("turn_id")))
-    return sized.where("size > 1").select("turn_id", at("turn_id").alias("pair_id"), role.alias("role"), F.col("size").cast("long").alias("size"), peers.alias("peers"))
+    return members.join(of, "pair_id").select("turn_id", "pair_id", role.alias("role"), "size", F.array_remove("_all", F.col("turn_id")).alias("peers"))
+
+
+#: What must be equal in all legs of a call.
+CONTENT = ("session_id", "agent_kind", "call_count", "total_input_tokens", "total_output_tokens")
+
+
+def patches(traces: DataFrame, from_us: int) -> DataFrame:
+    """turn_id, start_us and patch (map): what ``metadata`` must say under `proxy` where it does not say so yet, for turns that start at or after ``from_us``.
+
+    ``traces``: also earlier ones, from which groups may reach into the range, with client_ip, server_ip and metadata (map of JSON texts). A turn
+    that belongs to no group any more has its entry taken away (null).
+    """
+    view = F.concat_ws("->", "client_ip", "server_ip")
+    content = [c for c in CONTENT if c in traces.columns]
+    told = groups(traces.select("turn_id", "start_us", "end_us", view.alias("view"), *content), content)
+    said = F.to_json(F.struct("role", "pair_id", F.col("peers").alias("peer_turn_ids"), F.get("peers", F.lit(0)).alias("peer_turn_id")))
+    own = traces.where(F.col("start_us") >= from_us).select("turn_id", "start_us", F.try_element_at("metadata", F.lit("proxy")).alias("_now"))
+    both = own.join(told.select("turn_id", said.alias("_new")), "turn_id", "left").where(~F.col("_now").eqNullSafe(F.col("_new")))
+    return both.select("turn_id", "start_us", F.create_map(F.lit("proxy"), F.col("_new")).alias("patch"))
 
 
 def header_diff(legs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def build(calls: DataFrame, status: str | None = None) -> DataFrame:
         started = started | F.max(F.col("process").isNotNull() & F.col("subagent").isNull())
     # what only calls read from bodies have
     rank = F.max(F.when(F.col("agent_topology") == "orchestrator", 2).when(F.col("agent_topology") == "sub_agent", 1).when(F.col("agent_topology") == "single_agent", 0)) if "agent_topology" in calls.columns else None
-    extra = {n: F.min_by(n, at).alias(n) for n in ("wire_api", "agent_kind") if n in calls.columns}
+    extra = {n: F.min_by(n, at).alias(n) for n in ("wire_api", "agent_kind", "client_ip", "server_ip") if n in calls.columns}
     extra |= {f"total_{n}": F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(f"total_{n}") for n in ("cache_read_input_tokens", "cache_creation_input_tokens") if n in calls.columns}
     extra |= {"agent_topology": F.get(F.array(F.lit("single_agent"), F.lit("sub_agent"), F.lit("orchestrator")), rank).alias("agent_topology")} if rank is not None else {}
     ordered = F.array_sort(F.collect_list(F.struct("request_us", "id", "model", "subagent")))

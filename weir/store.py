@@ -14,17 +14,19 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import gauge, listing, metrics, predicates, services, sketches, turns
+from .operators import gauge, listing, metrics, predicates, proxy, services, sketches, turns
 
 #: Days that each table and granularity is kept; 0 keeps all.
-RETENTION_DAYS = {"spans": 7, "traces": 30, "http_exchanges": 7, "10s": 1, "1m": 7, "5m": 30, "1h": 365}
+RETENTION_DAYS = {"spans": 7, "traces": 30, "trace_patches": 30, "http_exchanges": 7, "10s": 1, "1m": 7, "5m": 30, "1h": 365}
 DAY_US = 86_400_000_000
 #: The time column of each table, by whose day it is partitioned.
-TABLES = {"spans": "request_us", "traces": "start_us", "http_exchanges": "request_us", "llm_metrics": "window_us", "llm_finish_metrics": "window_us", "llm_active": "window_us"}
+TABLES = {"spans": "request_us", "traces": "start_us", "trace_patches": "start_us", "http_exchanges": "request_us", "llm_metrics": "window_us", "llm_finish_metrics": "window_us", "llm_active": "window_us"}
 #: Times by which rows grow old, where it is another column.
 AGES = {"traces": "end_us"}
 #: Tables with a granularity.
 ROLLED = ("llm_metrics", "llm_finish_metrics", "llm_active")
+#: How far before a sweep's range groups are looked for that reach into it.
+MARGIN_US = 60_000_000
 #: Batches from this number on are single writes, numbered by their time; those below are a stream's. Compacted ones are negative: -1 - n has all up to n of its kind.
 SINGLE = 10**12
 
@@ -91,8 +93,13 @@ class Store:
         self._put(table, rows.withColumn("day", F.floor(F.col(TABLES[table]) / DAY_US)).withColumn("batch", F.lit(number).cast("long")))
 
     def read(self, table: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
-        """Rows of a table; rollups in all tiers, which are made from the stored rows of all dimensions."""
-        return sketches.tiers(self.stored(table, start_us, end_us))
+        """Rows of a table; rollups in all tiers, which are made from the stored rows of all dimensions, and traces with what was patched later."""
+        rows = sketches.tiers(self.stored(table, start_us, end_us))
+        if table != "traces" or not self.exists("trace_patches"):
+            return rows
+        if "metadata" not in rows.columns:
+            rows = rows.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+        return merged_metadata(rows, self.stored("trace_patches", start_us, end_us).select("turn_id", "patch", F.col("batch").alias("seq")))
 
     def stored(self, table: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
         # folders are listed once, not for each question
@@ -168,6 +175,24 @@ class Store:
         self.ingest_metrics(self.read("spans").drop("day", "batch"))
         return True
 
+    def sweep_proxies(self, now_us: int, lookback_us: int = 1_800_000_000, batch: int | None = None) -> int:
+        """Tells the turns of the last while that are one call seen more than once, by patches of their metadata; how many it patched.
+
+        All turns of that while are grouped anew, so a leg that comes late joins a group that is there; only what changes is written, so a
+        sweep done again writes nothing. Groups that began before are left as they are.
+        """
+        since = now_us - lookback_us
+        rows = self.read("traces", since - MARGIN_US, now_us + 1)
+        if "metadata" not in rows.columns:
+            rows = rows.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+        number = time.time_ns() // 1000 if batch is None else batch
+        self.keep("sweep", proxy.patches(rows, since), number)
+        changed = self.spark.read.parquet(self.state_path("sweep", number))
+        n = changed.count()
+        if n:
+            self.write("trace_patches", changed, number)
+        return n
+
     # upkeep
 
     def compact(self, table: str, before_day: int | None = None, least: int = 2) -> int:
@@ -296,9 +321,9 @@ def retained(rows: DataFrame, time: str, now_us: int, days: int) -> DataFrame:
 
 
 def merged_metadata(traces: DataFrame, patches: DataFrame) -> DataFrame:
-    """Traces with the top-level keys of ``patches`` (turn_id, patch: map) put over their ``metadata`` (map); patches of unknown turns do nothing."""
+    """Traces with the top-level keys of ``patches`` (turn_id, patch: map) put over their ``metadata`` (map), null taking a key away; patches of unknown turns do nothing."""
     latest = patches.groupBy("turn_id").agg(F.max_by("patch", "seq").alias("patch")) if "seq" in patches.columns else patches
     old = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     kept = F.map_filter(old, lambda k, v: ~F.coalesce(F.map_contains_key("patch", k), F.lit(False)))
-    new = F.when(F.col("patch").isNull(), F.col("metadata")).otherwise(F.map_concat(kept, F.coalesce("patch", F.create_map().cast("map<string,string>"))))
+    new = F.when(F.col("patch").isNull(), F.col("metadata")).otherwise(F.map_filter(F.map_concat(kept, F.coalesce("patch", F.create_map().cast("map<string,string>"))), lambda _, v: v.isNotNull()))
     return traces.join(latest, "turn_id", "left").withColumn("metadata", new).drop("patch")
