@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import added, column, slices, texts_of, with_columns
+from .common import SLICE_BYTES, added, column, slices, texts_of, with_columns
 
 #: Fixed value: the published pattern that splits text into words before the merges of this family of vocabularies.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -271,12 +271,12 @@ def load(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
-def _mapped(df: DataFrame, fields: list[tuple[str, T.DataType]], drop: list[str], make: Callable[[pa.RecordBatch], dict[str, pa.Array]], rows: int) -> DataFrame:
+def _mapped(df: DataFrame, fields: list[tuple[str, T.DataType]], drop: list[str], make: Callable[[pa.RecordBatch], dict[str, pa.Array]], rows: int, size: int = SLICE_BYTES) -> DataFrame:
     schema = added(df.schema, *fields, drop=drop)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, rows):
+        for b in slices(batches, rows, size):
             yield with_columns(b, arrow, make(b))
 
     return df.mapInArrow(run, schema)
@@ -304,11 +304,14 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     return _mapped(df, [(text, T.StringType())], [], lambda b: {text: pa.array([load(tokenizer).decode(x or b"") for x in column(b, ids).to_pylist()], pa.string())}, ROWS)
 
 
-def round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop_text: bool = False) -> DataFrame:
-    """``encode`` and ``decode`` in one pass: the tokens of each distinct word are decoded along with its encoding."""
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop_text: bool = False, rows: int = ROWS, size: int = SLICE_BYTES) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: the tokens of each distinct word are decoded along with its encoding.
+
+    ``rows`` and ``size`` (bytes) bound the texts taken at a time: more share more, and take more memory.
+    """
 
     def make(b: pa.RecordBatch) -> dict[str, pa.Array]:
         packed, raw = load(tokenizer).round_trip(texts_of(column(b, text)))
         return {ids: pa.array(packed, pa.binary()), decoded: _strings(raw)}
 
-    return _mapped(df, [(ids, T.BinaryType()), (decoded, T.StringType())], [text] if drop_text else [], make, ROWS)
+    return _mapped(df, [(ids, T.BinaryType()), (decoded, T.StringType())], [text] if drop_text else [], make, rows, size)

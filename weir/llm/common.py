@@ -61,10 +61,10 @@ def texts_of(column: pa.Array) -> list[str]:
 SLICE_BYTES = 6 << 20
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches by rows and bytes, so that what a task holds besides its input stays small."""
     for b in batches:
-        step = max(1, min(rows, int(SLICE_BYTES * b.num_rows / max(b.nbytes, 1)) if b.num_rows else rows))
+        step = max(1, min(rows, int(size * b.num_rows / max(b.nbytes, 1)) if b.num_rows else rows))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
         del b

@@ -31,7 +31,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.round_trip(docs, BYTE_BPE, drop_text=True)
+    # alone in its worker, so it takes more texts at a time than the pipeline's last stage
+    both = bpe.round_trip(docs, BYTE_BPE, drop_text=True, rows=4096, size=16 << 20)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
