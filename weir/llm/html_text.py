@@ -9,13 +9,20 @@ a host are merged by path (tags, class and id names, and what markup says of the
 
 both with the logarithm to the base m, so from 0 to 1; both are 1 where fewer than ``min_pages`` pages show a node:
 
-    importance = (1 - GAMMA) * presentation + GAMMA * content
+    importance = (1 - g) * presentation + g * content
 
-Every block but scripts and styles goes into the tree. A branch whose importance times its ``PRIOR`` is below ``BRANCH`` goes as a
-whole; of what is left, a single text goes if its own content importance is below ``TEXT``. Markup is the prior: 0 for what the contract names
-by element (menus, headers, footers, sidebars, forms and the like), or inside an article by a plain name of adverts or comments; low for
-wrappers outside articles with names of frames, so that these need no other pages to go; and in an article or main element less
-importance is needed. A class name or a form around an article does not put it out; one within another article is judged by its own names.
+with g = ``GAMMA``, and ``NAMED`` for a box that markup gives a name of frames (adverts, comments, sign-up and the like): such a box must differ from
+page to page in its structure, too, as what a template repeats has fresh texts but one form.
+
+Every block but scripts and styles goes into the tree. What the contract names by element (menus, headers, footers, sidebars, forms within articles and the like) goes, and so
+do plain names of adverts and lists of comments inside an article. Of the rest, a branch goes as a whole if its importance is below ``BRANCH``; of what is left, a
+single text goes if its own content importance is below ``TEXT``. A name is a weight, not a verdict:
+
+* outside articles, a named box on a site of few pages has the importance ``PRIOR``, which is too little; on a site of more it has what the tree says;
+* either is beaten by the square of the share of a page's text that the box holds, on pages without article or main element: a form or a
+  "side-by-side" around nearly everything is the page;
+* inside an article a named box stays on a site of few pages, and is for the tree on others;
+* an article or main element inside a named box is judged by itself.
 
 Pages of a host with the same longest text count as one, so copies don't make their text look like a frame.
 Statistics are grouped and joined by Spark; a page's own blocks are all a task holds.
@@ -47,10 +54,12 @@ from .common import added, apart, column, slices, texts_of, with_columns, writte
 GAMMA = 0.9
 #: So many texts that go, with 9 bytes each, are sent to all tasks at most.
 MAX_SENT = 500_000
-#: What markup says of an element.
-OUT, APART_BY_NAME, OPEN, ARTICLE_TEXT = range(4)
-#: By these: the factor of importance, and the least importance of a branch and of a single text.
-PRIOR, BRANCH, TEXT = (0.0, 0.45, 1.0, 1.0), (0.6, 0.6, 0.6, 0.1), (0.3, 0.3, 0.3, 0.1)
+#: The same for boxes with names of frames; and their importance where no other pages tell.
+NAMED, PRIOR = 0.5, 0.45
+#: What markup says of an element; what is inside a named box, and not named itself, goes with it and is judged as open.
+OUT, APART_BY_NAME, BOX, OPEN, ARTICLE_TEXT, WITHIN_NAMED = range(6)
+#: By these: the least importance of a branch and of a single text.
+BRANCH, TEXT = (0.6, 0.6, 0.6, 0.6, 0.1, 0.6), (0.3, 0.3, 0.3, 0.3, 0.1, 0.3)
 #: Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
@@ -60,11 +69,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 APART = frozenset("nav header footer aside form script style noscript template iframe button select option datalist dialog menu head title textarea object audio video canvas svg math input".split())
 ARTICLE = frozenset(("article", "main"))
 #: Names that mark adverts and reader comments inside an article, as whole names only.
-NAMES_WITHIN = frozenset("ad ads advert adverts advertisement adsbygoogle ad-slot sponsored comment comments comment-list comments-area comment-form respond disqus_thread".split())
+NAMES_WITHIN = frozenset("ad ads advert adverts advertisement adsbygoogle ad-slot sponsored comments comment-list comments-area comment-form respond disqus_thread".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark frames of a page.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|submenu|sidebar|side|rail|footer|header|masthead|breadcrumbs?|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|respond|disqus|widgets?|toolbar|pagination|pager|search|form|skip|copyright)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|submenu|sidebar|side|rail|footer|header|masthead|breadcrumbs?|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|responses?|respond|latest|trending|popular|disqus|widgets?|toolbar|pagination|pager|search|form|skip|copyright)(?=$|[\s_-])",
     re.I,
 )
 _HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
@@ -82,47 +91,48 @@ DEEPEST = 200
 class _Open:
     """An open element, and the node of the tree that it is."""
 
-    __slots__ = ("tag", "path", "state", "children", "shown")
+    __slots__ = ("tag", "path", "state", "named", "children", "shown")
 
-    def __init__(self, tag: str, path: str, state: str) -> None:
-        self.tag, self.path, self.state, self.children, self.shown = tag, path, state, [], False
+    def __init__(self, tag: str, path: str, state: str, named: bool = False) -> None:
+        self.tag, self.path, self.state, self.named, self.children, self.shown = tag, path, state, named, [], False
 
 
-_STATES = {"out": OUT, "apart": APART_BY_NAME, "open": OPEN, "main": ARTICLE_TEXT, "in": ARTICLE_TEXT}
+_STATES = {"out": OUT, "apart": APART_BY_NAME, "box": BOX, "open": OPEN, "main": ARTICLE_TEXT, "in": ARTICLE_TEXT}
 
 
-def _state(tag: str, raw: str, above: str) -> tuple[str, str]:
-    """How the text of an element is settled, and its name in the path.
+def _state(tag: str, raw: str, above: str) -> tuple[str, str, bool]:
+    """How the text of an element is settled, its name in the path, and whether it is named itself.
 
-    'out'; 'apart' (by a class name or form only, which an article or main element within is not bound by); 'in' an article; 'main'; or 'open'.
+    'out'; 'apart' (by a class name or form, here or above); 'box' (the same inside an article, here only); 'in' an article; 'main'; or 'open'.
     """
+    above = "in" if above == "box" else above
     names: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(raw):
         names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     label = f"{names.get('class', '')} {names.get('id', '')}".strip()
     name = f"{tag}.{' '.join(sorted(label.split()))}" if label else tag
     if above == "out":
-        return "out", name
+        return "out", name, False
     if tag == "body" or tag == "html":
-        return above, name
+        return above, name, False
     role = names.get("role", "").lower()
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower() or role in ROLES:
-        return "out", name
+        return "out", name, False
     inside = above in ("in", "main")
-    if above == "in":
-        framed = not NAMES_WITHIN.isdisjoint(label.lower().split())
-    else:
-        own = _ABOUT.sub(" ", label)
-        framed = NAMES.search(_HEADER.sub(" ", own) if inside else own) is not None
+    words = label.lower().split()
+    own = _ABOUT.sub(" ", label)
+    framed = NAMES.search(_HEADER.sub(" ", own) if inside else own) is not None
+    # one comment is an item of a list of them
+    plain = above == "in" and (not NAMES_WITHIN.isdisjoint(words) or tag in ("article", "li") and "comment" in words)
     if tag in ARTICLE or role in ("main", "article"):
-        if framed and above != "open":
-            return "out", name
-        return ("in" if above == "in" or tag == "article" or role == "article" else "main"), name
-    if tag in APART and tag != "form" and not (tag == "header" and inside):
-        return "out", name
+        if plain or framed and above in ("apart", "main"):
+            return "out", name, False
+        return ("in" if above == "in" or tag == "article" or role == "article" else "main"), name, False
+    if tag in APART and tag != "form" and not (tag == "header" and inside) or plain or tag == "form" and above == "in":
+        return "out", name, False
     if framed or tag == "form":
-        return ("out" if above == "in" else "apart"), name
-    return above, name
+        return ("box" if above == "in" else "apart"), name, True
+    return above, name, False
 
 
 @dataclass
@@ -136,11 +146,12 @@ class Block:
 
 @dataclass
 class Node:
-    """The paths of the nodes above, and the sequences of children that a page shows."""
+    """The paths of the nodes above, the sequences of children that a page shows, and the share of its text that the branch holds (0 with an article)."""
 
     above: list[str]
     styles: list[str]
     state: int
+    share: float = 0.0
 
 
 def tree_of(source: str) -> tuple[list[Block], dict[str, Node]]:
@@ -231,7 +242,7 @@ def tree_of(source: str) -> tuple[list[Block], dict[str, Node]]:
                 stack.pop()
         if stack[-1].children[-1:] != [tag]:
             stack[-1].children.append(tag)
-        state, name = _state(tag, raw, state_here())
+        state, name, named = _state(tag, raw, state_here())
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
             at = end.end() if end else size
@@ -240,16 +251,22 @@ def tree_of(source: str) -> tuple[list[Block], dict[str, Node]]:
             continue
         if len(stack) < DEEPEST:
             # the state is part of the path, so a node has one
-            stack.append(_Open(tag, f"{stack[-1].path}>{name}" + ("" if state == stack[-1].state else f"!{state}"), state))
+            stack.append(_Open(tag, f"{stack[-1].path}>{name}" + ("" if state == stack[-1].state else f"!{state}"), state, named))
         else:
             deep.append((tag, state))
             held[tag] += 1
     flush()
     nodes: dict[str, Node] = {}
     for e, above in shown:
-        node = nodes.setdefault(e.path, Node(above, [], _STATES[e.state]))
+        node = nodes.setdefault(e.path, Node(above, [], WITHIN_NAMED if e.state == "apart" and not e.named else _STATES[e.state]))
         if (style := ",".join(e.children)) not in node.styles[-8:]:
             node.styles.append(style)
+    told = [(b.path, len(b.text)) for b in blocks if b.state > OUT]
+    if told and not any(b.state in (BOX, ARTICLE_TEXT) for b in blocks):
+        total = sum(n for _, n in told)
+        for path, n in told:
+            for p in (*nodes[path].above, path):
+                nodes[p].share += n / total
     return blocks, nodes
 
 
@@ -258,12 +275,12 @@ def host_of(url: Column) -> Column:
 
 
 def _parsed(df: DataFrame, source: str) -> DataFrame:
-    """``df`` without the source, with ``page`` (fingerprint), ``copy`` (of the longest text), ``blocks`` (node, h, text, state) and ``nodes`` (node, above, style, state).
+    """``df`` without the source, with ``page`` (fingerprint), ``copy`` (of the longest text), ``blocks`` (node, h, text, state) and ``nodes`` (node, above, style, state, share).
 
     Texts that markup puts out have no ``text``, as only their fingerprints are needed.
     """
     block = T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.LongType()), T.StructField("text", T.StringType()), T.StructField("state", T.IntegerType())])
-    node = T.StructType([T.StructField("node", T.LongType()), T.StructField("above", T.ArrayType(T.LongType())), T.StructField("style", T.LongType()), T.StructField("state", T.IntegerType())])
+    node = T.StructType([T.StructField("node", T.LongType()), T.StructField("above", T.ArrayType(T.LongType())), T.StructField("style", T.LongType()), T.StructField("state", T.IntegerType()), T.StructField("share", T.DoubleType())])
     schema = added(df.schema, ("page", T.LongType()), ("copy", T.LongType()), ("blocks", T.ArrayType(block)), ("nodes", T.ArrayType(node)), drop=[source])
     arrow = to_arrow_schema(schema)
 
@@ -279,8 +296,8 @@ def _parsed(df: DataFrame, source: str) -> DataFrame:
                 of = {p: number(p) for p in nodes}
                 likely = [x.text for x in blocks if x.state] or [x.text for x in blocks] or [""]
                 copies.append(number(max(likely, key=len)))
-                all_blocks.append([{"node": of[x.path], "h": number(x.text), "text": x.text if x.state > APART_BY_NAME else None, "state": x.state} for x in blocks])
-                all_nodes.append([{"node": of[p], "above": [of[a] for a in n.above], "style": number("|".join(n.styles)), "state": n.state} for p, n in nodes.items()])
+                all_blocks.append([{"node": of[x.path], "h": number(x.text), "text": x.text if x.state > OUT else None, "state": x.state} for x in blocks])
+                all_nodes.append([{"node": of[p], "above": [of[a] for a in n.above], "style": number("|".join(n.styles)), "state": n.state, "share": n.share} for p, n in nodes.items()])
             new = {"page": pa.array([number(s) for s in sources], pa.int64()), "copy": pa.array(copies, pa.int64())}
             yield with_columns(b, arrow, new | {"blocks": pa.array(all_blocks, arrow.field("blocks").type), "nodes": pa.array(all_nodes, arrow.field("nodes").type)})
 
@@ -290,7 +307,7 @@ def _parsed(df: DataFrame, source: str) -> DataFrame:
 def importance(pages: DataFrame, min_pages: int) -> tuple[DataFrame, DataFrame]:
     """The site trees, from ``host``, ``copy``, ``blocks`` and ``nodes``.
 
-    site (fingerprint of host and node), m (distinct pages), state, above (sites), presentation, content and importance of each
+    site (fingerprint of host and node), m (distinct pages), state, above (sites), presentation, content, share and importance of each
     node; and site, h, state, k (distinct pages) and content (importance) of each text at its node.
     """
     log_m = F.log(F.greatest("m", F.lit(2)))
@@ -299,11 +316,11 @@ def importance(pages: DataFrame, min_pages: int) -> tuple[DataFrame, DataFrame]:
         return F.xxhash64("host", node)
 
     # one row for each node and distinct page, then for each style of a node
-    nodes = F.transform("nodes", lambda x: F.struct(site(x["node"]).alias("site"), x["style"].alias("style"), x["state"].alias("state"), F.transform(x["above"], site).alias("above")))
-    styles = pages.select("copy", F.explode(nodes).alias("x")).groupBy("x.site", "copy").agg(F.min("x.style").alias("style"), F.first("x.state").alias("state"), F.first("x.above").alias("above"))
-    styles = styles.groupBy("site", "style").agg(F.count("*").alias("n"), F.first("state").alias("state"), F.first("above").alias("above"))
-    tree = styles.groupBy("site").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.first("state").alias("state"), F.first("above").alias("above"))
-    tree = tree.select("site", "m", "state", "above", F.when(F.col("m") >= min_pages, (F.log("m") - F.col("s") / F.col("m")) / log_m).otherwise(1.0).alias("presentation"))
+    nodes = F.transform("nodes", lambda x: F.struct(site(x["node"]).alias("site"), x["style"].alias("style"), x["state"].alias("state"), F.transform(x["above"], site).alias("above"), x["share"].alias("share")))
+    styles = pages.select("copy", F.explode(nodes).alias("x")).groupBy("x.site", "copy").agg(F.min("x.style").alias("style"), F.min("x.state").alias("state"), F.first("x.above").alias("above"), F.max("x.share").alias("share"))
+    styles = styles.groupBy("site", "style").agg(F.count("*").alias("n"), F.min("state").alias("state"), F.first("above").alias("above"), F.sum("share").alias("share"))
+    tree = styles.groupBy("site").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.min("state").alias("state"), F.first("above").alias("above"), F.sum("share").alias("share"))
+    tree = tree.select("site", "m", "state", "above", (F.col("share") / F.col("m")).alias("share"), F.when(F.col("m") >= min_pages, (F.log("m") - F.col("s") / F.col("m")) / log_m).otherwise(1.0).alias("presentation"))
     tree = written(tree, "tree")
     texts = F.array_distinct(F.transform("blocks", lambda x: F.struct(site(x["node"]).alias("site"), x["h"].alias("h"), x["state"].alias("state"))))
     texts = pages.select("copy", F.explode(texts).alias("x")).select("x.*", "copy").distinct().groupBy("site", "h", "state").agg(F.count("*").alias("k"))
@@ -314,7 +331,9 @@ def importance(pages: DataFrame, min_pages: int) -> tuple[DataFrame, DataFrame]:
     sums = texts.groupBy("site").agg(F.count("*").alias("l"), F.sum("content").alias("c")).join(tree, "site")
     branch = sums.select(F.explode(F.array_append("above", F.col("site"))).alias("site"), "l", "c").groupBy("site").agg((F.sum("c") / F.sum("l")).alias("content"))
     tree = tree.join(branch, "site").withColumn("content", F.when(F.col("m") >= min_pages, F.col("content")).otherwise(1.0))
-    return written(tree.withColumn("importance", (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content")), "nodes"), texts
+    g = F.when(F.col("state").isin(APART_BY_NAME, BOX), NAMED).otherwise(GAMMA)
+    told = F.when(F.col("m") < min_pages, F.when(F.col("state") == APART_BY_NAME, PRIOR).otherwise(1.0)).otherwise((1 - g) * F.col("presentation") + g * F.col("content"))
+    return written(tree.withColumn("importance", F.when(F.col("state") == APART_BY_NAME, F.greatest(told, F.round(F.col("share") * F.col("share"), 9))).otherwise(told)).withColumn("known", F.col("m") >= min_pages), "nodes"), texts
 
 
 def _by_state(values: tuple[float, ...], state: str) -> Column:
@@ -322,15 +341,13 @@ def _by_state(values: tuple[float, ...], state: str) -> Column:
 
 
 def put_out(tree: DataFrame, texts: DataFrame) -> DataFrame:
-    """site, h, state and by_tree (the tree would have done so without the prior) of the texts that go, but for those that markup alone puts out."""
-    score = F.col("importance") * _by_state(PRIOR, "state")
-    low = tree.where((score < _by_state(BRANCH, "state")) & (F.col("state") > OUT)).select(F.col("site").alias("low"), (F.col("importance") < _by_state(BRANCH, "state")).alias("by_tree"))
-    # a node goes with the branch that it is in
-    reach = tree.select("site", F.explode(F.array_append("above", F.col("site"))).alias("low"))
-    gone = written(reach.join(low, "low").groupBy("site").agg(F.max("by_tree").alias("branch")), "gone")
-    marked = texts.where(F.col("state") > OUT).join(gone, "site", "left").withColumn("low", F.col("content") * _by_state(PRIOR, "state") < _by_state(TEXT, "state"))
-    by_tree = F.coalesce("branch", F.lit(False)) | (F.col("content") < _by_state(TEXT, "state"))
-    return written(marked.where(F.col("branch").isNotNull() | F.col("low") | (F.col("state") == APART_BY_NAME)).select("site", "h", "state", by_tree.alias("by_tree")), "lost")
+    """site, h, state and by_tree (on the word of the site's pages, not of names alone) of the texts that go, but for those that markup alone puts out."""
+    low = tree.where((F.col("importance") < _by_state(BRANCH, "state")) & (F.col("state") > OUT)).select(F.col("site").alias("low"), F.col("known").alias("by_tree"), (F.col("state") == APART_BY_NAME).alias("by_name"))
+    # a node goes with the branch that it is in, but an article is not bound by the name of what is around it
+    reach = tree.select("site", F.col("state").isin(BOX, ARTICLE_TEXT).alias("free"), F.explode(F.array_append("above", F.col("site"))).alias("low"))
+    gone = written(reach.join(low, "low").where(~(F.col("free") & F.col("by_name"))).groupBy("site").agg(F.max("by_tree").alias("branch")), "gone")
+    marked = texts.where(F.col("state") > OUT).join(gone, "site", "left").withColumn("low", F.col("content") < _by_state(TEXT, "state"))
+    return written(marked.where(F.col("branch").isNotNull() | F.col("low")).select("site", "h", "state", (F.coalesce("branch", F.lit(False)) | F.col("low")).alias("by_tree")), "lost")
 
 
 def _finished(pages: DataFrame, rest: list[str], gone: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
@@ -358,7 +375,7 @@ def _finished(pages: DataFrame, rest: list[str], gone: tuple[np.ndarray, np.ndar
                     for places, n in zip(column(b, name).to_pylist(), sizes):
                         mask[start + np.array(places or [], dtype=np.int64)] = True
                         start += n
-            out = lost | (states <= APART_BY_NAME)
+            out = lost | (states == OUT)
             tree &= states > OUT
             joined, by_markup, by_tree, start = [], [], [], 0
             for n in sizes.tolist():
