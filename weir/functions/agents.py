@@ -137,7 +137,7 @@ def primitives(agent: Column, headers: Column, body: Column) -> Column:
     prompts = F.lower(F.concat_ws("\n", F.when(agent.isin("claude-cli", "generic"), plain).when(agent == "openclaw", F.coalesce(F.nullif(joined, F.lit("")), plain)), F.when(agent.isin("opencode", "hermes", "generic"), F.array_join(said, "\n")), F.when(agent == "codex-cli", F.array_join(told, "\n"))))
     some = lambda marks: F.coalesce(F.array_max(F.array(*(prompts.contains(m) for m in marks))), F.lit(False))
     return F.struct(
-        F.size(called).alias("tool_call_count"), names.alias("tool_names"), some(LOOP_MARKS).alias("loop"), (some(MCP_MARKS) & ~agent.isin("opencode", "hermes")).alias("mcp"),
+        F.size(called).alias("tool_call_count"), names.alias("tool_names"), some(LOOP_MARKS).alias("loop"), (some(MCP_MARKS) & (agent != "hermes")).alias("mcp"),
         ((agent == "claude-cli") & F.array_contains(by_use, "Task")).alias("dispatches"),
     )
 

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import agents, messages, wire
+from ..functions import agents, folds, messages, wire
 
 _FIELDS = ("id", "model", "finish_reason", "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "total_tokens", "text")
 
 
-def _answered(api: Column, body: Column, is_sse: Column) -> Column:
-    """What a response says: fields of a whole body, or those of its events put together."""
-    events = wire.sse_events(body)
+def _answered(api: Column, body: Column, stream: Column) -> Column:
+    """What a response says: fields of a whole body, or those of its events (``stream``) put together."""
+    events = wire.sse_events(stream)
     whole = wire.response_fields(api, body)
 
+    cache = folds.cache_tokens(api, events)
+
     def folded(fold: Column) -> Column:
-        own = {"id": fold["id"], "model": fold["model"], "finish_reason": fold["finish_reason"], "input_tokens": fold["input_tokens"], "output_tokens": fold["output_tokens"], "text": F.nullif(fold["content"], F.lit(""))}
+        own = {"cache_read_input_tokens": cache["read"], "cache_creation_input_tokens": cache["created"], "id": fold["id"], "model": fold["model"], "finish_reason": fold["finish_reason"], "input_tokens": fold["input_tokens"], "output_tokens": fold["output_tokens"], "text": F.nullif(fold["content"], F.lit(""))}
         return F.struct(*(own.get(n, F.lit(None).cast("string" if n == "text" else "long")).alias(n) for n in _FIELDS))
 
     plain = F.struct(*((messages.answer_text(api, body) if n == "text" else whole[n]).alias(n) for n in _FIELDS))
     streamed = F.when(api == "anthropic", folded(wire.fold_anthropic(events))).when(api == "openai-chat", folded(wire.fold_chat(events))).when(api == "openai-responses", folded(wire.fold_responses(events))).otherwise(folded(wire.fold_gemini(events)))
-    return F.when(is_sse, streamed).otherwise(plain)
+    return F.when(stream.isNotNull(), streamed).otherwise(plain)
 
 
 def once(value: Column) -> Column:
@@ -51,20 +53,23 @@ def to_spans(exchanges: DataFrame) -> DataFrame:
     """A span for each exchange that is a call of a model.
 
     ``exchanges``: source_id, client_ip, client_port, server_ip, server_port, method, uri, request_headers, request_body, status_code,
-    response_headers, response_body (the stream of events if ``is_sse``), request_us, response_us (first byte), complete_us. The response's model
+    response_headers, response_body (the stream of events if ``is_sse``, which becomes the answer that it adds up to), request_us, response_us (first byte), complete_us. The response's model
     counts before the request's; a total is the sum of its parts if it is not named; times that do not grow give no latency; bodies are
     capped; ids follow from the connection, time and path, so that a job done again makes the same ones. Columns of attribution, and what turns need
     (is_terminal, is_user_start, user_input, assistant_text), are read from the whole bodies.
     """
     own = exchanges.withColumn("wire_api", once(wire.detect(*map(F.col, ("method", "uri", "request_headers", "request_body"))))).where("wire_api is not null")
+    # what is read from whole bodies is read from streams put together, too
+    own = own.withColumn("_stream", F.when(F.col("is_sse"), F.col("response_body")))
+    own = own.withColumn("response_body", F.coalesce(folds.body(F.col("wire_api"), F.col("_stream")), F.col("response_body")))
     api, body, answer = F.col("wire_api"), F.col("request_body"), F.col("response_body")
-    own = own.withColumns({"_q": wire.request_fields(api, F.col("uri"), body), "_r": once(_answered(api, answer, F.col("is_sse")))})
+    own = own.withColumns({"_q": wire.request_fields(api, F.col("uri"), body), "_r": once(_answered(api, answer, F.col("_stream")))})
     own = attributed(own)
     kind = F.col("agent_kind")
     estimated = wire.estimated(api, F.col("status_code"), body, F.coalesce("_r.text", answer), F.col("_r.input_tokens"), F.col("_r.output_tokens"))
     own = own.withColumn("_t", once(estimated))
     cut_q, cut_r = wire.capped(body), wire.capped(answer)
-    ends = F.when(F.col("is_sse"), wire.is_turn_terminal(api, F.col("_r.finish_reason"))).otherwise(wire.is_turn_terminal(api, F.col("_r.finish_reason"), answer))
+    ends = wire.is_turn_terminal(api, F.col("_r.finish_reason"), answer)
     return own.select(
         F.sha2(F.concat_ws("|", "source_id", "client_ip", "client_port", "server_ip", "server_port", "request_us", "uri"), 256).alias("id"),
         "source_id", "client_ip", "client_port", "server_ip", "server_port", "request_us", "response_us", "complete_us", "wire_api",

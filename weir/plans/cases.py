@@ -112,6 +112,7 @@ AGENTS: list[tuple[str, dict, object, tuple[str | None, str | None, int, str, st
     (R, _CODEX | {"X-OpenAI-Subagent": "review"}, {"input": [{"type": "message", "role": "user", "content": "go"}]}, ("codex-cli", "cs", 0, "", None, "sub_agent", False)),
     (R, {"Originator": "codex_cli_rs"}, {"input": [{"type": "message", "role": "user", "content": "go"}]}, (None, None, 0, "", None, None, False)),
     (C, {"User-Agent": "opencode/0.1", "X-Session-Affinity": "o1"}, _called("read", tools=("read", "bash")), ("opencode", "o1", 1, "read,bash", "mixed", "single_agent", False)),
+    (C, {"User-Agent": "opencode/0.1", "X-Session-Affinity": "o2"}, _called("read", tools=("read",), system="It has an MCP server."), ("opencode", "o2", 1, "read", "mixed", "single_agent", False)),
     (C, {"User-Agent": "opencode/0.1"}, _called("read", tools=("read",)), ("generic", "call_0", 1, "read", "function_call", "single_agent", False)),
     (C, {}, _called("subagents", tools=("sessions_list", "subagents")), ("openclaw", "call_0", 1, "sessions_list,subagents", "function_call", "single_agent", False)),
     (C, {}, _called("cronjob", tools=("cronjob", "skill_view"), system="You are an agent with an mcp server"), ("hermes", "call_0", 1, "cronjob,skill_view", "function_call", "single_agent", False)),
