@@ -1,8 +1,12 @@
 """The stored tables and the questions that are asked of them, each answered with a DataFrame.
 
 Tables are Parquet, written by column name, in folders by day, then granularity (of rollups), then batch: a time range lists and reads the days it
-covers, and a coarse question never opens the fine windows. A batch done again replaces its own rows. As a stream makes a folder for each
-micro-batch, ``compact`` puts those of a day together; a crash on the way leaves both, and readers then take the compacted rows alone.
+covers, and a coarse question never opens the fine windows. A batch done again replaces its own rows.
+
+A stream makes a folder for each micro-batch. ``tidy`` puts ``FAN`` folders of one level together to one of the next, so a row is written again once a
+level, a logarithm of the number of batches, and a day has few folders. A folder of a level stands for all lower ones with numbers up to its own, from the moment that its
+mark is there, which is written last: readers see the old folders or the new one, never both or a part. The old ones are deleted later, when no reader has them
+open any more. ``compact`` puts all of a day together at once.
 """
 
 from __future__ import annotations
@@ -27,8 +31,16 @@ AGES = {"traces": "end_us"}
 ROLLED = ("llm_metrics", "llm_finish_metrics", "llm_active")
 #: How far before a sweep's range groups are looked for that reach into it.
 MARGIN_US = 60_000_000
-#: Batches from this number on are single writes, numbered by their time; those below are a stream's. Compacted ones are negative: -1 - n has all up to n of its kind.
+#: Batches from this number on are single writes, numbered by their time; those below are a stream's. Folders put together are negative: -1 - (LEVELS * n + level) has all of lower levels up to n of its kind.
 SINGLE = 10**12
+LEVELS, FAN = 16, 8
+#: Seconds that a folder stays after another has taken its place.
+GRACE_S = 600
+
+
+def level_of(batch: int) -> tuple[int, int]:
+    """The level of a folder, and the last batch that it has."""
+    return (0, batch) if batch >= 0 else ((-1 - batch) % LEVELS, (-1 - batch) // LEVELS)
 
 
 class Store:
@@ -63,18 +75,32 @@ class Store:
             if m := re.search(r"/day=(-?\d+)(?:/granularity=([^/]+))?/batch=(-?\d+)$", path):
                 yield path, int(m[1]), m[2], int(m[3])
 
-    def _dead(self, table: str) -> list[tuple[str, int, str | None, int]]:
-        """Folders whose rows a compacted one has, too."""
-        folders = list(self._folders(table))
-        covers: dict[tuple, int] = {}
-        for _, day, gran, batch in folders:
-            if batch < 0:
-                key = (day, gran, -1 - batch >= SINGLE)
-                covers[key] = max(covers.get(key, -1), -1 - batch)
-        def has(batch: int) -> int:
-            return batch if batch >= 0 else -1 - batch
+    def _mark(self, table: str, day: int, gran: str | None, batch: int) -> str:
+        return f"{self.root}/_manifest/{table}/{day}_{gran or 'all'}_{batch}"
 
-        return [f for f in folders if has(f[3]) <= (most := covers.get((f[1], f[2], has(f[3]) >= SINGLE), -1)) and f[3] != -1 - most]
+    def _marks(self, table: str) -> dict[tuple[int, str | None, int], float]:
+        """The folders put together that readers may take, and when they were done (seconds)."""
+        fs, at = self._files(f"{self.root}/_manifest/{table}/*")
+        out = {}
+        for status in fs.globStatus(at) or ():
+            day, gran, batch = status.getPath().getName().rsplit("_", 2)
+            out[int(day), None if gran == "all" else gran, int(batch)] = status.getModificationTime() / 1000
+        return out
+
+    def _dead(self, table: str) -> list[tuple[str, int, str | None, int, float | None]]:
+        """Folders whose rows a folder of a higher level has, and since when; also those that were never finished (None)."""
+        marks, out = self._marks(table), []
+        covers: dict[tuple, list[tuple[int, int, float]]] = {}
+        for (day, gran, batch), since in marks.items():
+            level, last = level_of(batch)
+            covers.setdefault((day, gran, last >= SINGLE), []).append((level, last, since))
+        for path, day, gran, batch in self._folders(table):
+            level, last = level_of(batch)
+            if batch < 0 and (day, gran, batch) not in marks:
+                out.append((path, day, gran, batch, None))
+            elif by := [since for up, most, since in covers.get((day, gran, last >= SINGLE), ()) if up > level and most >= last]:
+                out.append((path, day, gran, batch, min(by)))
+        return out
 
     def _remove(self, path: str) -> None:
         fs, at = self._files(path)
@@ -99,15 +125,17 @@ class Store:
             return rows
         if "metadata" not in rows.columns:
             rows = rows.withColumn("metadata", F.lit(None).cast("map<string,string>"))
-        return merged_metadata(rows, self.stored("trace_patches", start_us, end_us).select("turn_id", "patch", F.col("batch").alias("seq")))
+        return merged_metadata(rows, self.stored("trace_patches", start_us, end_us).select("turn_id", "patch", "seq"))
 
     def stored(self, table: str, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
         # folders are listed once, not for each question
         rows = self._tables.get(table)
         if rows is None:
             rows = self.spark.read.parquet(self.path(table))
-            for _, day, gran, batch in self._dead(table):
-                rows = rows.where(~((F.col("day") == day) & (F.col("batch") == batch) & (F.lit(True) if gran is None else F.col("granularity") == gran)))
+            if dead := self._dead(table):
+                # one condition on the folders' names, however many there are
+                names = F.concat_ws("/", "day", *(["granularity"] if table in ROLLED else []), "batch")
+                rows = rows.where(~names.isin([f"{day}/{gran}/{batch}" if gran else f"{day}/{batch}" for _, day, gran, batch, _ in dead]))
             self._tables[table] = rows
         if start_us is not None:
             rows = rows.where(F.col("day") >= start_us // DAY_US)
@@ -190,34 +218,71 @@ class Store:
         changed = self.spark.read.parquet(self.state_path("sweep", number))
         n = changed.count()
         if n:
-            self.write("trace_patches", changed, number)
+            self.write("trace_patches", changed.withColumn("seq", F.lit(number).cast("long")), number)
         return n
 
     # upkeep
 
+    def _live(self, table: str, days: set[int] | None = None) -> dict[tuple, list[tuple[str, int]]]:
+        """Path and batch of the folders that readers take, by day, granularity and kind."""
+        dead, out = {f[0] for f in self._dead(table)}, {}
+        for path, day, gran, batch in self._folders(table):
+            if path not in dead and (days is None or day in days):
+                out.setdefault((day, gran, level_of(batch)[1] >= SINGLE), []).append((path, batch))
+        return out
+
+    def _join(self, table: str, day: int, gran: str | None, batches: list[int], level: int) -> None:
+        """Writes the rows of some folders as one of ``level``, then its mark."""
+        code = -1 - (LEVELS * max(level_of(b)[1] for b in batches) + min(level, LEVELS - 1))
+        rows = self.stored(table).where((F.col("day") == day) & F.col("batch").isin(batches))
+        rows = rows if gran is None else rows.where(F.col("granularity") == gran)
+        self._put(table, rows.withColumn("batch", F.lit(code).cast("long")))
+        fs, at = self._files(self._mark(table, day, gran, code))
+        fs.create(at, True).close()
+        self._tables.pop(table, None)
+
+    def _sweep(self, table: str, grace_s: float, days: set[int] | None = None) -> int:
+        """Deletes folders that others have stood for long enough."""
+        gone, now = 0, time.time()
+        for path, day, gran, batch, since in self._dead(table):
+            if since is not None and now - since >= grace_s and (days is None or day in days):
+                self._remove(path)
+                gone += 1
+                if batch < 0:
+                    self._remove(self._mark(table, day, gran, batch))
+        self._tables.pop(table, None)
+        return gone
+
+    def tidy(self, table: str, days: set[int] | None = None, fan: int = FAN, grace_s: float = GRACE_S) -> int:
+        """Puts each ``fan`` folders of a level together, of some days or all; the number of folders that were written. One writer at a time."""
+        made = 0
+        for (day, gran, _), folders in self._live(table, days).items():
+            levels: dict[int, list[int]] = {}
+            for _, batch in folders:
+                levels.setdefault(level_of(batch)[0], []).append(batch)
+            for level in range(LEVELS - 2):
+                own = levels.get(level, [])
+                if len(own) >= fan:
+                    last = max(level_of(b)[1] for b in own)
+                    # lower ones up to the last are stood for, too, so they come along
+                    own = own + [b for low in range(level) for b in levels.get(low, []) if level_of(b)[1] <= last]
+                    self._join(table, day, gran, own, level + 1)
+                    made += 1
+                    levels = {k: [b for b in v if b not in own] for k, v in levels.items()}
+                    levels.setdefault(level + 1, []).append(-1 - (LEVELS * last + level + 1))
+        self._sweep(table, grace_s, days)
+        return made
+
     def compact(self, table: str, before_day: int | None = None, least: int = 2) -> int:
         """Puts the folders of each day (before a day, if named) together where there are ``least`` or more of a kind; the number of folders that went.
 
         One writer at a time: a batch that a stream does again later, with a number that is already compacted, adds nothing.
         """
-        many: dict[tuple, list[tuple[str, int]]] = {}
-        for path, day, gran, batch in self._folders(table):
-            if before_day is None or day < before_day:
-                many.setdefault((day, gran, (batch if batch >= 0 else -1 - batch) >= SINGLE), []).append((path, batch))
-        gone = 0
-        for (day, gran, _), folders in many.items():
-            if len(folders) < least:
-                continue
-            last = max(b if b >= 0 else -1 - b for _, b in folders)
-            rows = self.stored(table).where((F.col("day") == day) & F.col("batch").isin([b for _, b in folders]))
-            rows = rows if gran is None else rows.where(F.col("granularity") == gran)
-            self._put(table, rows.withColumn("batch", F.lit(-1 - last).cast("long")))
-            for path, batch in folders:
-                if batch != -1 - last:
-                    self._remove(path)
-                    gone += 1
-            self._tables.pop(table, None)
-        return gone
+        for (day, gran, _), folders in self._live(table).items():
+            if len(folders) >= least and (before_day is None or day < before_day):
+                batches = [b for _, b in folders]
+                self._join(table, day, gran, batches, 1 + max(level_of(b)[0] for b in batches))
+        return self._sweep(table, 0)
 
     def expire(self, now_us: int, days: dict[str, int] = RETENTION_DAYS) -> dict[str, int]:
         """Deletes what is older than its table, or granularity, is kept, and tells how many folders went from each table.
@@ -235,12 +300,13 @@ class Store:
                 if not keep or (day + 1) * DAY_US > limit:
                     continue
                 if table in AGES:
-                    own = self.read(table).where((F.col("day") == day) & (F.col("batch") == batch))
+                    own = self.stored(table).where((F.col("day") == day) & (F.col("batch") == batch))
                     young = own.where(F.col(AGES[table]) >= limit)
                     if young.limit(1).count():
                         self._put(table, self._aside(table, young))
                         continue
                 self._remove(path)
+                self._remove(self._mark(table, day, gran, batch))
                 gone[table] = gone.get(table, 0) + 1
             self._tables.pop(table, None)
         return gone

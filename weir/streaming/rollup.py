@@ -7,26 +7,27 @@ up, so a window that is opened again just has one more row. Two clocks that diff
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..store import ROLLED, Store
+from ..store import DAY_US, ROLLED, Store
 
 
-def start(spans: DataFrame, store: Store, checkpoint: str, once: bool = False, every: str = "1 second", compact_every: int = 100) -> StreamingQuery:
+def start(spans: DataFrame, store: Store, checkpoint: str, once: bool = False, every: str = "1 second") -> StreamingQuery:
     """Writes spans, rollups, finish reasons and calls under way for each micro-batch. A batch that is done again after a failure replaces its own rows.
 
-    After each ``compact_every`` batches the days' folders are put together, so a day never has many more than that.
+    After each batch the folders of its days are tidied, so a day never has many, and a row is seldom written again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             store.ingest(batch, number)
+            days = {r[0] for r in batch.select(F.floor(F.col("request_us") / DAY_US)).distinct().collect()}
         finally:
             batch.unpersist()
-        if number % compact_every == compact_every - 1:
-            for table in ("spans", *ROLLED):
-                store.compact(table)
+        for table in ("spans", *ROLLED):
+            store.tidy(table, days)
 
     writer = spans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
