@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import calls, listing, predicates, proxy, turns
-from ..sources import bridge
+from ..sources import bridge, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -203,11 +203,11 @@ def conversation_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.when(claude, F.concat(F.lit('{"role":"user","content":['), F.get_json_object(content, "$.b"), F.lit("]}"))).otherwise(F.when(ask.isNotNull(), F.to_json(F.struct(F.lit("user").alias("role"), ask.alias("content")))).otherwise('{"role":"tool","content":"42"}'))
     request = F.concat(F.lit('{"model":"ask","stream":'), (conv % 4 == 0).cast("string"), F.lit(',"tools":[{"name":"Agent","function":{"name":"x"}}],"messages":['), last, F.lit("]}"))
     quoted = F.get_json_object(F.to_json(F.struct(F.struct(said.alias("t")).alias("q"))), "$.q")
-    whole = F.concat(F.format_string('{"id":"r%d","model":"m%d","content":[', turn, conv % 3), F.replace(quoted, F.lit('{"t":'), F.lit('{"type":"text","text":')), F.format_string('],"stop_reason":"%s","usage":{"input_tokens":%d,"output_tokens":%d}}', F.when(ends, "end_turn").otherwise("tool_use"), turn, tokens))
-    start = F.format_string('event: message_start\ndata: {"type":"message_start","message":{"id":"r%d","model":"m%d","usage":{"input_tokens":%d}}}\n\n', turn, conv % 3, turn)
+    whole = F.concat(F.format_string('{"id":"r%d","model":"m%d","content":[', turn, conv % 3), F.replace(quoted, F.lit('{"t":'), F.lit('{"type":"text","text":')), F.format_string('],"stop_reason":"%s","usage":{"input_tokens":%d,"output_tokens":%d}}', F.when(ends, "end_turn").otherwise("tool_use"), turn + 1, tokens))
+    start = F.format_string('event: message_start\ndata: {"type":"message_start","message":{"id":"r%d","model":"m%d","usage":{"input_tokens":%d}}}\n\n', turn, conv % 3, turn + 1)
     delta = F.concat(F.lit('data: {"type":"content_block_delta","index":0,"delta":'), F.replace(quoted, F.lit('{"t":'), F.lit('{"type":"text_delta","text":')), F.lit("}\n\n"))
     stop = F.format_string('data: {"type":"message_delta","delta":{"stop_reason":"%s"},"usage":{"output_tokens":%d}}\n\n', F.when(ends, "end_turn").otherwise("tool_use"), tokens)
-    chat = F.concat(F.format_string('{"id":"r%d","model":"m%d","choices":[{"finish_reason":"%s","message":', turn, conv % 3, F.when(ends, "stop").otherwise("tool_calls")), F.replace(quoted, F.lit('{"t":'), F.lit('{"content":')), F.format_string('}],"usage":{"prompt_tokens":%d,"completion_tokens":%d}}', turn, tokens))
+    chat = F.concat(F.format_string('{"id":"r%d","model":"m%d","choices":[{"finish_reason":"%s","message":', turn, conv % 3, F.when(ends, "stop").otherwise("tool_calls")), F.replace(quoted, F.lit('{"t":'), F.lit('{"content":')), F.format_string('}],"usage":{"prompt_tokens":%d,"completion_tokens":%d}}', turn + 1, tokens))
     pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
     json = pair("content-type", F.lit("application/json"))
     headers = F.when(claude, F.array(json, pair("anthropic-version", F.lit("1")), pair("user-agent", F.lit("claude-cli/1")), pair("x-claude-code-session-id", conv.cast("string")))).otherwise(F.array(json, pair("user-agent", F.lit("opencode/1")), pair("x-session-affinity", conv.cast("string"))))
@@ -221,22 +221,23 @@ def conversation_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conversation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans are stored before they are asked for; kept, they stand for the stored table, and no question is planned into the reading of bodies."""
-    return calls.to_spans(conversation_exchanges(spark, sf_dir)).persist()
+    """Spans are stored before they are asked for, so no question is planned into the reading of bodies."""
+    path = shared.folder(spark, "spans")
+    calls.to_spans(conversation_exchanges(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 _ANSWERS_SQL = """q AS (SELECT *, lag(text) OVER w AS asked, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 x AS (SELECT conv_id, turn, conv_id * 3600000000 + turn * 1000000 AS request_us, length(coalesce(text, '')) AS n, coalesce(after = 'user', true) AS ends, CASE WHEN before = 'user' THEN asked END AS ask, nullif(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '') AS said, text FROM q WHERE role = 'assistant'),
 s AS (SELECT concat('src-', CAST(conv_id % 2 AS VARCHAR)) AS source_id, CAST(conv_id AS VARCHAR) AS session_id, request_us, CASE WHEN conv_id % 2 = 0 THEN 'anthropic' ELSE 'openai-chat' END AS wire_api, CASE WHEN conv_id % 2 = 0 THEN 'claude-cli' ELSE 'opencode' END AS agent_kind, concat('m', CAST(conv_id % 3 AS VARCHAR)) AS model, conv_id % 4 = 0 AS is_stream,
- CASE WHEN conv_id % 2 = 0 THEN CASE WHEN ends THEN 'end_turn' ELSE 'tool_use' END ELSE CASE WHEN ends THEN 'stop' ELSE 'tool_calls' END END AS finish_reason, concat('r', CAST(turn AS VARCHAR)) AS response_id, CAST(turn AS BIGINT) AS named_in, CAST(n AS BIGINT) AS output_tokens,
+ CASE WHEN conv_id % 2 = 0 THEN CASE WHEN ends THEN 'end_turn' ELSE 'tool_use' END ELSE CASE WHEN ends THEN 'stop' ELSE 'tool_calls' END END AS finish_reason, concat('r', CAST(turn AS VARCHAR)) AS response_id, CAST(turn + 1 AS BIGINT) AS named_in, CAST(n AS BIGINT) AS output_tokens,
  CASE WHEN turn % 3 > 0 THEN turn % 3 * 0.5::DOUBLE END AS ttft_ms, CASE WHEN n > 0 THEN n / 100.0::DOUBLE END AS e2e_latency_ms, ends AS is_terminal, CASE WHEN ask IS NULL THEN false ELSE regexp_matches(ask, '\\S') END AS is_user_start, request_us + greatest(n * 10, 0) AS end_us FROM x)"""
 
 
-@query(f"WITH {_ANSWERS_SQL} SELECT source_id, session_id, request_us, wire_api, agent_kind, model, is_stream, finish_reason, response_id, named_in AS input_tokens, output_tokens, named_in + output_tokens AS total_tokens, ttft_ms, e2e_latency_ms, is_terminal, is_user_start FROM s WHERE named_in + output_tokens > 0")
+@query(f"WITH {_ANSWERS_SQL} SELECT source_id, session_id, request_us, wire_api, agent_kind, model, is_stream, finish_reason, response_id, named_in AS input_tokens, output_tokens, named_in + output_tokens AS total_tokens, ttft_ms, e2e_latency_ms, is_terminal, is_user_start FROM s")
 def spans_from_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["source_id", "session_id", "request_us", "wire_api", "agent_kind", "model", "is_stream", "finish_reason", "response_id", "input_tokens", "output_tokens", "total_tokens", "ttft_ms", "e2e_latency_ms", "is_terminal", "is_user_start"]
-    # an answer of no token at turn 0 names no count, so it would be estimated
-    return _conversation_spans(spark, sf_dir).select(*names).where("total_tokens > 0 and request_us % 3600000000 + output_tokens > 0")
+    return _conversation_spans(spark, sf_dir).select(*names)
 
 
 @query(f"""WITH {_ANSWERS_SQL}, t AS (SELECT *, coalesce(sum(CAST(is_terminal AS INT)) OVER (PARTITION BY source_id, session_id ORDER BY request_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn_no FROM s)
