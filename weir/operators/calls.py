@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import agents, folds, messages, wire
+from ..functions import agents, folds, messages, tokens, wire
 
 _FIELDS = ("id", "model", "finish_reason", "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "total_tokens", "text")
 
@@ -49,14 +49,15 @@ def attributed(calls: DataFrame) -> DataFrame:
     return own.withColumns(new | {"tool_call_count": F.when(kind.isNotNull(), found["tool_call_count"]).otherwise(0), "tool_names": found["tool_names"]}).drop("_anchor", "_user", "_answer", "_found")
 
 
-def to_spans(exchanges: DataFrame) -> DataFrame:
+def to_spans(exchanges: DataFrame, ranks: str | None = None) -> DataFrame:
     """A span for each exchange that is a call of a model.
 
     ``exchanges``: source_id, client_ip, client_port, server_ip, server_port, method, uri, request_headers, request_body, status_code,
     response_headers, response_body (the stream of events if ``is_sse``, which becomes the answer that it adds up to), request_us, response_us (first byte), complete_us. The response's model
     counts before the request's; a total is the sum of its parts if it is not named; times that do not grow give no latency; bodies are
     capped; ids follow from the connection, time and path, so that a job done again makes the same ones. Columns of attribution, and what turns need
-    (is_terminal, is_user_start, user_input, assistant_text), are read from the whole bodies.
+    (is_terminal, is_user_start, user_input, assistant_text), are read from the whole bodies. Counts that a good answer does not name are estimated: by
+    the vocabulary at the path ``ranks`` (``functions.tokens``), or by bytes without one.
     """
     own = exchanges.withColumn("wire_api", once(wire.detect(*map(F.col, ("method", "uri", "request_headers", "request_body"))))).where("wire_api is not null")
     # what is read from whole bodies is read from streams put together, too
@@ -67,6 +68,12 @@ def to_spans(exchanges: DataFrame) -> DataFrame:
     own = attributed(own)
     kind = F.col("agent_kind")
     estimated = wire.estimated(api, F.col("status_code"), body, F.coalesce("_r.text", answer), F.col("_r.input_tokens"), F.col("_r.output_tokens"))
+    if ranks is not None:
+        named = F.struct(F.col("_r.input_tokens").alias("input"), F.col("_r.output_tokens").alias("output"))
+        bare = F.col("status_code").between(200, 299) & (F.coalesce(named["input"], F.lit(0)) == 0) & (F.coalesce(named["output"], F.lit(0)) == 0)
+        # calls that name counts have no API here, so their bodies are not walked
+        own = own.withColumn("_e", tokens.estimates(F.when(bare, api), body, answer, ranks))
+        estimated = F.struct(F.coalesce("_e.input", named["input"]).alias("input"), F.coalesce("_e.output", named["output"]).alias("output"))
     own = own.withColumn("_t", once(estimated))
     cut_q, cut_r = wire.capped(body), wire.capped(answer)
     ends = wire.is_turn_terminal(api, F.col("_r.finish_reason"), answer)

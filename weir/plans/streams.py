@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import folds, messages
+from ..functions import folds, messages, tokens
 from ..operators import gauge, metrics, sketches, turns
 from ..sources import bridge, shared
 from ..store import Store
@@ -137,3 +137,15 @@ def turns_under_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     going = tracker.snapshot(store).withColumn("in_progress", F.lit(True))
     names = ["turn_id", "start_us", "end_us", "call_count", "status", "in_progress"]
     return store.read("traces").withColumn("in_progress", F.lit(False)).select(*names).unionByName(going.select(*names))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+SELECT conv_id, turn, CAST(octet_length(encode(role)) + octet_length(encode(text)) + 12 AS BIGINT) AS input_tokens, CAST(octet_length(encode(concat('why', CASE WHEN text = '' OR text = 'why' THEN '' ELSE chr(10) || text END))) AS BIGINT) AS output_tokens FROM c""")
+def token_walkers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What counts of requests and answers, with a vocabulary of bytes: thoughts that are given twice count once."""
+    rows = bridge.read(spark, sf_dir, "conversations").withColumns({c: F.coalesce(c, F.lit("")) for c in ("role", "text")})
+    asked = _struct(role=F.col("role"), content=F.col("text"))
+    request = _json(model="m", messages=F.array(asked), tools=F.array(_struct(name=F.lit("f"))))
+    answer = _json(choices=F.array(_struct(message=_struct(reasoning="why", content=F.concat(F.lit("<think>why</think>"), F.col("text"))))))
+    own = rows.select("conv_id", "turn", tokens.estimates(F.lit("openai-chat"), request, answer, None).alias("e"))
+    return own.select("conv_id", "turn", F.col("e.input").alias("input_tokens"), F.col("e.output").alias("output_tokens"))
