@@ -26,56 +26,68 @@ def decoded(body: bytes, encoding: str) -> bytes:
         return body
 
 
-def _chunked(data: bytes, at: int) -> tuple[bytes, int]:
-    """The body of chunks from ``at`` on and where it ends; what is there if it is cut."""
-    out = bytearray()
+def _chunked(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """The body of chunks from ``at`` on, where it ends, and whether it does; what is there if it is cut."""
+    out: list[bytes] = []
     while True:
         end = data.find(b"\r\n", at)
         if end < 0:
-            return bytes(out), len(data)
+            return b"".join(out), len(data), False
         try:
             size = int(data[at:end].split(b";")[0].strip() or b"x", 16)
         except ValueError:
-            return bytes(out), end + 2
+            return b"".join(out), end + 2, True
         if size == 0:
             done = data.find(b"\r\n\r\n", end)
-            return bytes(out), len(data) if done < 0 else done + 4
-        out += data[end + 2 : end + 2 + size]
+            return b"".join(out), len(data) if done < 0 else done + 4, done >= 0
+        out.append(data[end + 2 : end + 2 + size])
         at = end + 2 + size + 2
         if at > len(data):
-            return bytes(out), len(data)
+            return b"".join(out), len(data), False
 
 
-def messages(data: bytes) -> Iterator[tuple[str, str | None, str | None, int | None, list[tuple[str, str]], bytes]]:
+Message = tuple[str, str | None, str | None, int | None, list[tuple[str, str]], bytes]
+
+
+def scan(data: bytes, at: int = 0) -> tuple[Message | None, int, bool, int] | None:
+    """The next message from ``at`` on with what there is of it, where it ends, whether it is whole, and if not, up to where data is needed at least.
+
+    Bytes before its start line are skipped; None without one. No message, and the place of the start line, if its headers are cut.
+    """
+    while not data.startswith((*METHODS, b"HTTP/1."), at):
+        starts = [p for m in (*METHODS, b"HTTP/1.") if (p := data.find(b"\r\n" + m, at)) >= 0]
+        if not starts:
+            return None
+        at = min(starts) + 2
+    end = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
+    if end < 0:
+        return None, at, False, len(data) + 1
+    first, *rest = data[at:end].decode("latin-1").split("\r\n")
+    headers = [(n.strip(), v.strip()) for n, sep, v in (x.partition(":") for x in rest) if sep]
+    known = {n.lower(): v for n, v in reversed(headers)}
+    words = first.split(" ", 2)
+    answer = first.startswith("HTTP/")
+    status = int(words[1]) if answer and len(words) > 1 and words[1].isdigit() else None
+    at = end + 4
+    body, whole, need = b"", True, at
+    if "chunked" in known.get("transfer-encoding", "").lower():
+        body, at, whole = _chunked(data, at)
+        need = len(data) + 1
+    elif known.get("content-length", "").isdigit():
+        need = at + int(known["content-length"])
+        body, at, whole = data[at:need], need, need <= len(data)
+    elif answer and status not in (204, 304) and not (status or 0) // 100 == 1:
+        body, at, whole, need = data[at:], len(data), False, 1 << 62  # until the connection ends
+    kind = "response" if answer else "request"
+    return (kind, None if answer else words[0], None if answer or len(words) < 2 else words[1], status, headers, decoded(body, known.get("content-encoding", ""))), at, whole, need
+
+
+def messages(data: bytes) -> Iterator[Message]:
     """Kind, method, URI, status, headers and body of each message; bytes before the next start line are skipped."""
     at = 0
-    while at < len(data):
-        if not data.startswith((*METHODS, b"HTTP/1."), at):
-            starts = [p for m in (*METHODS, b"HTTP/1.") if (p := data.find(b"\r\n" + m, at)) >= 0]
-            if not starts:
-                return
-            at = min(starts) + 2
-            continue
-        end = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
-        if end < 0:
-            return
-        first, *rest = data[at:end].decode("latin-1").split("\r\n")
-        headers = [(n.strip(), v.strip()) for n, sep, v in (x.partition(":") for x in rest) if sep]
-        known = {n.lower(): v for n, v in reversed(headers)}
-        words = first.split(" ", 2)
-        answer = first.startswith("HTTP/")
-        status = int(words[1]) if answer and len(words) > 1 and words[1].isdigit() else None
-        at = end + 4
-        if "chunked" in known.get("transfer-encoding", "").lower():
-            body, at = _chunked(data, at)
-        elif known.get("content-length", "").isdigit():
-            size = int(known["content-length"])
-            body, at = data[at : at + size], at + size
-        elif answer and status not in (204, 304) and not (status or 0) // 100 == 1:
-            body, at = data[at:], len(data)  # until the connection ends
-        else:
-            body = b""
-        yield ("response" if answer else "request", None if answer else words[0], None if answer or len(words) < 2 else words[1], status, headers, decoded(body, known.get("content-encoding", "")))
+    while at < len(data) and (got := scan(data, at)) and got[0]:
+        yield got[0]
+        at = got[1]
 
 
 def parse(streams: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Captured packets: pcap files as rows, decoded to TCP segments and put together to streams of bytes.
+"""Captured packets: pcap files as rows, decoded to TCP segments (``streams`` puts these together).
 
 Files are read by Spark (``binaryFile``), so they can be in any store; a task holds one file at a time. Captures are rotated by
 minute and source, which bounds a file.
@@ -9,11 +9,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .streams import streams
+
+__all__ = ["between", "read_pcap", "records", "segment", "segments", "streams"]
+
 PACKETS = "source_id string, ts_us long, link_type int, data binary"
 SEGMENTS = "source_id string, ts_us long, src string, sport int, dst string, dport int, seq long, flags int, payload binary"
 #: Magic numbers of pcap files (order of bytes, units of a second), and link types.
@@ -108,40 +111,3 @@ def between(packets: DataFrame, a: tuple[str, int], b: tuple[str, int]) -> DataF
 
     out = segments(packets)
     return out.where((end("src", "sport", a) & end("dst", "dport", b)) | (end("src", "sport", b) & end("dst", "dport", a))).orderBy("ts_us", "seq")
-
-
-def streams(segs: DataFrame, max_gap: int = 32) -> DataFrame:
-    """The bytes of each direction of each connection: repeats trimmed, segments that come early put in place, of which at most ``max_gap`` wait for a missing one.
-
-    A connection is one group, bounded by its rotation of the capture.
-    """
-
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_us", "seq"], kind="stable")
-        out, due, early = bytearray(), None, {}
-        for r in rows.itertuples(index=False):
-            seq, data = int(r.seq), bytes(r.payload)
-            if r.flags & 2:
-                due = (seq + 1) % (1 << 32)
-                continue
-            if not data:
-                continue
-            due = seq if due is None else due
-            early[seq] = max(early.get(seq, b""), data, key=len)
-            progress = True
-            while progress:
-                progress = False
-                for s in sorted(early, key=lambda s: (s - due) % (1 << 32)):
-                    behind = (due - s) % (1 << 32)
-                    if behind < 1 << 31:
-                        new = early.pop(s)[behind:]
-                        out += new
-                        due = (due + len(new)) % (1 << 32)
-                        progress = True
-                        break
-                if not progress and len(early) > max_gap:
-                    due, progress = min(early, key=lambda s: (s - due) % (1 << 32)), True
-        return pd.DataFrame([(*key, int(rows["ts_us"].iloc[0]) if len(rows) else 0, bytes(out))], columns=["source_id", "src", "sport", "dst", "dport", "first_us", "data"])
-
-    keys = ["source_id", "src", "sport", "dst", "dport"]
-    return segs.groupBy(*keys).applyInPandas(join, "source_id string, src string, sport int, dst string, dport int, first_us long, data binary")
