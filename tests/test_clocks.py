@@ -79,11 +79,11 @@ def test_a_stream_of_starts_and_ends_adds_up_to_the_batch(rocks, spark, tmp_path
     ended, own = events.where("kind = 'complete'"), events.where("kind = 'start'")
     want = metrics.rollup(own).select(*keys, *sums).unionByName(metrics.rollup(ended).withColumns({"call_count": F.lit(0), "stream_count": F.lit(0)}).select(*keys, *sums))
     assert add(store.read("llm_metrics")) == add(want)
-    samples, _ = gauge.run(gauge.event_steps(events))
+    counted, _ = gauge.run(gauge.event_steps(events))
     stored = Counter()
     for r in store.read("llm_active").select(*ACTIVE, "active_calls_max").collect():
         stored[tuple(r)[:-1]] = max(stored[tuple(r)[:-1]], r.active_calls_max)
-    assert stored == {tuple(r)[:-1]: r.active_calls_max for r in gauge.rollup(samples).select(*ACTIVE, "active_calls_max").collect()}
+    assert stored == {tuple(r)[:-1]: r.active_calls_max for r in counted.select(*ACTIVE, "active_calls_max").collect()}
     assert store.timeseries(["active_calls_max"], "1h", 0, 4_000 * 3600).columns == ["ts", "active_calls_max"]
 
 

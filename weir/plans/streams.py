@@ -102,8 +102,8 @@ def active_calls_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(3):
         own = gauge.steps(spans.where((F.col("request_us") >= cuts[k - 1] if k else F.lit(True)) & (F.col("request_us") < cuts[k] if k < 2 else F.lit(True))))
         now, waiting, clocks = gauge.due(own if waiting is None else own.unionByName(waiting), clocks)
-        samples, before = gauge.run(now, before)
-        rows = gauge.rollup(samples, {"1h": 3600})
+        rows, before = gauge.run(now, before, {"10s": 10, "1h": 3600})
+        rows = rows.where("granularity = '1h'")
         out = rows if out is None else out.unionByName(rows)
     # a window that two batches touch has a row from each
     return out.groupBy(*gauge.KEYS, "window_us").agg(F.max("active_calls_max").alias("active_calls_max"), F.sum("active_calls_sum").alias("active_calls_sum"), F.sum("active_calls_samples").alias("active_calls_samples"))

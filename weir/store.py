@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,26 +156,41 @@ class Store:
     def ingest_metrics(self, spans: DataFrame, batch: int | None = None) -> None:
         """The rollups of some spans; rows of windows that are already there add to them, and calls under way go on from the batch before."""
         number = time.time_ns() // 1000 if batch is None else batch
-        self.ingest_rollups(sketches.finest(spans), metrics.finish_rows(spans), number)
-        waiting, own = self.state("pending", number), gauge.steps(spans)
-        now, later, clocks = gauge.due(own if waiting is None else own.unionByName(waiting), self.state("clocks", number))
-        self.keep("pending", later, number)
-        self.keep("clocks", clocks, number)
-        self.ingest_active(now, number)
-
-    def ingest_rollups(self, finest: DataFrame, finish: DataFrame, batch: int) -> None:
+
+        def active() -> None:
+            waiting, own = self.state("pending", number), gauge.steps(spans)
+            now, later, clocks = gauge.due(own if waiting is None else own.unionByName(waiting), self.state("clocks", number))
+            self.keep("pending", later, number)
+            self.keep("clocks", clocks, number)
+            self.ingest_active(now, number)
+
+        # three tables that have nothing to do with each other, each some small jobs
+        self._at_once(lambda: self.ingest_rollups(sketches.finest(spans), number), lambda: self.write("llm_finish_metrics", metrics.finish_rows(spans), number), active)
+
+    def _at_once(self, *jobs: Callable[[], None]) -> None:
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            for done in [pool.submit(inheritable_thread_target(job)) for job in jobs]:
+                done.result()
+
+    def ingest_rollups(self, finest: DataFrame, batch: int) -> None:
         """Rollup rows of the finest windows, and those of longer ones from them."""
         self.write("llm_metrics", finest, batch)
         # the finest rows come from the files just written, so their spans are read once
         rows = self.spark.read.schema(finest.withColumns({"day": F.lit(0).cast("long"), "batch": F.lit(0).cast("long")}).schema).parquet(self.path("llm_metrics"))
         own = rows.where((F.col("batch") == batch) & (F.col("granularity") == sketches.FINEST)).drop("day", "batch")
         self.write("llm_metrics", sketches.coarser(own), batch)
-        self.write("llm_finish_metrics", finish, batch)
 
     def ingest_active(self, steps: DataFrame, batch: int) -> None:
         """Calls under way at the starts among ``steps``, counted on from the batch before."""
-        samples, after = gauge.run(steps, self.state("active", batch))
-        self.write("llm_active", gauge.rollup(samples), batch)
+        held = iter(("steps", "samples"))
+
+        def hold(rows: DataFrame) -> DataFrame:
+            name = next(held)
+            self.keep(name, rows, batch)
+            return self.spark.read.schema(rows.schema).parquet(self.state_path(name, batch))
+
+        counted, after = gauge.run(steps, self.state("active", batch), hold=hold)
+        self.write("llm_active", counted, batch)
         self.keep("active", after, batch)
 
     # what a batch leaves for the next one; a batch that is done again starts from the same state

@@ -155,7 +155,8 @@ def start(events: DataFrame, store: Store, checkpoint: str, once: bool = False,
     """Two queries: the rollups by source clock, and the calls under way, which are counted as events come. A batch done again replaces its own rows."""
 
     def windows(batch: DataFrame, number: int) -> None:
-        store.ingest_rollups(two_phase(batch), metrics.finish_rows(batch.where("kind = 'complete'")), number)
+        store.ingest_rollups(two_phase(batch), number)
+        store.write("llm_finish_metrics", metrics.finish_rows(batch.where("kind = 'complete'")), number)
 
     def going(batch: DataFrame, number: int) -> None:
         store.ingest_active(gauge.event_steps(batch), number)
