@@ -13,11 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import snappy
 from .streams import streams
 
 __all__ = ["between", "read_pcap", "records", "segment", "segments", "streams"]
 
-PACKETS = "source_id string, ts_us long, link_type int, data binary"
+PACKETS = "source_id string, ts_us long, link_type int, data binary, wire_len long"
+FILED = PACKETS + ", file string, at long"
+KINDS = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+BATCH = 16 << 20
 SEGMENTS = "source_id string, ts_us long, src string, sport int, dst string, dport int, seq long, flags int, payload binary"
 #: Magic numbers of pcap files (order of bytes, units of a second), and link types.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
@@ -25,32 +29,48 @@ NULL, ETHERNET, RAW, SLL, SLL2 = 0, 1, 101, 113, 276
 IPV4, IPV6, TCP = 0x0800, 0x86DD, 6
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Microseconds, link type and bytes of each whole record; a cut last record is left out."""
+def records(data: bytes) -> Iterator[tuple[int, int, bytes, int]]:
+    """Microseconds, link type, bytes and length on the wire of each whole record; a cut last record is left out."""
     if data[:4] not in MAGIC:
         return
     order, per_us = MAGIC[data[:4]]
     link, at = struct.unpack(order + "I", data[20:24])[0], 24
     while at + 16 <= len(data):
-        s, part, kept, _ = struct.unpack_from(order + "IIII", data, at)
+        s, part, kept, wire = struct.unpack_from(order + "IIII", data, at)
         if at + 16 + kept > len(data):
             return
-        yield s * 1_000_000 + part // per_us, link, data[at + 16 : at + 16 + kept]
+        yield s * 1_000_000 + part // per_us, link, data[at + 16 : at + 16 + kept], wire
         at += 16 + kept
 
 
-def read_pcap(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Packets of the pcap files at ``path``; the source is the name of the file's folder."""
-    reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
-    files = reader.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -2).alias("source_id"), "content")
+def of_files(files: DataFrame) -> DataFrame:
+    """Packets of files (path, content), framed by snappy or plain, with their file and their place in it. A task holds one file at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for source, content in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = list(records(content.as_py() or b""))
-                yield pa.RecordBatch.from_arrays([pa.array([source] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["source_id", "ts_us", "link_type", "data"])
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                data = content.as_py() or b""
+                rows, size = [], 0
+                for at, r in enumerate(records(snappy.unframe(data) if data.startswith(snappy.MARK) else data)):
+                    rows.append((path.split("/")[-2], *r, path, at))
+                    size += len(r[2])
+                    if size >= BATCH or len(rows) >= 10_000:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows)
+
+    return files.select("path", "content").mapInArrow(run, FILED)
 
-    return files.mapInArrow(run, PACKETS)
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=[c.split()[0] for c in FILED.split(", ")])
+
+
+def read_pcap(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Packets of the pcap files at ``path``; the source is the name of the file's folder."""
+    reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
+    return of_files(reader.format("binaryFile").load(path)).drop("file", "at")
 
 
 def _network(link: int, data: bytes) -> tuple[int, bytes]:
@@ -104,6 +124,20 @@ def segments(packets: DataFrame) -> DataFrame:
     return packets.select("source_id", "ts_us", "link_type", "data").mapInArrow(run, SEGMENTS)
 
 
+def with_ends(rows: DataFrame) -> DataFrame:
+    """The TCP packets among ``rows`` (``FILED``), as they are, with addresses and ports of both ends."""
+    names = ["src", "sport", "dst", "dport"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = [segment(link, data) if data is not None else None for link, data in zip(b.column("link_type").to_pylist(), b.column("data").to_pylist())]
+            kept = pa.RecordBatch.from_arrays(b.columns, names=b.schema.names).filter(pa.array([e is not None for e in ends], pa.bool_()))
+            own = list(zip(*(e[:4] for e in ends if e is not None))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, k) for c, k in zip(own, (pa.string(), pa.int32()) * 2))], names=[*kept.schema.names, *names])
+
+    return rows.mapInArrow(run, FILED + ", src string, sport int, dst string, dport int")
+
+
 def between(packets: DataFrame, a: tuple[str, int], b: tuple[str, int]) -> DataFrame:
     """Segments of one connection, in either direction, by time."""
     def end(name: str, port: str, x: tuple[str, int]):
