@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ from . import packets, snappy
 VERSION, SNAP_LENGTH, MINUTE_US, EMPTY_LINK = (2, 4), 262_144, 60_000_000, 1
 #: Fixed value: an Ethernet header that marks a heartbeat.
 HEARTBEAT = b"\0" * 12 + b"\xff\xff"
-ROLL, CHUNK = 64 << 20, 1 << 20
+ROLL, CHUNK, MOVERS = 64 << 20, 1 << 20, 16
 COLUMNS = ["source_id", "minute", "link_type", "ts_us", "wire_len", "data"]
 LABEL = r"^(\d{8}T\d{4})(?:-[\w-]+)?\.pcap(?:\.snappy)?$"
 
@@ -158,8 +159,8 @@ class _Writer:
                 for info in fs.get_file_info(files.FileSelector(f"{root}/{source}")):
                     if f"-{job}-" in info.base_name:
                         fs.delete_file(info.path)
-        for n, (path, source, label) in enumerate(all_):
-            fs.move(path, f"{root}/{source}/{label}-{job}-{n:06d}.pcap{'.snappy' if self.framed else ''}")
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(lambda nf: fs.move(nf[1][0], f"{root}/{nf[1][1]}/{nf[1][2]}-{job}-{nf[0]:06d}.pcap{'.snappy' if self.framed else ''}"), enumerate(all_)))
         self._drop(fs, going)
 
     def _drop(self, fs: files.FileSystem, going: str) -> None:

@@ -12,7 +12,7 @@ MARK = b"\xff\x06\x00\x00sNaPpY"
 COMPRESSED, PLAIN, SKIPPABLE = 0x00, 0x01, 0x80
 MASK = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78
-BLOCK, LANE = 1 << 16, 32
+BLOCK, LANE, SHORT = 1 << 16, 32, 1_000
 _CODEC = pa.Codec("snappy")
 
 
@@ -24,6 +24,11 @@ def _table() -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def _list() -> list[int]:
+    return _table().tolist()
+
+
 @lru_cache(16)
 def _zeros(n: int) -> np.ndarray:
     """What ``n`` zero bytes (a power of two) make of a state, as a table for each of the state's bytes."""
@@ -40,17 +45,16 @@ def _after(zeros: np.ndarray, state: np.ndarray) -> np.ndarray:
 def crc32c(data: bytes) -> int:
     """Lanes of the data run side by side; then neighbours are joined, as a checksum is linear. Zeros in front change nothing,
     once the first four bytes carry the initial state."""
-    head = bytes(b ^ 255 for b in data[:4].ljust(4, b"\0"))
-    if len(data) < 4:
-        state = 0xFFFFFFFF
+    if len(data) < SHORT:
+        state, table = 0xFFFFFFFF, _list()
         for b in data:
-            state = int(_table()[(state ^ b) & 255]) ^ state >> 8
+            state = table[(state ^ b) & 255] ^ state >> 8
         return state ^ 0xFFFFFFFF
     lanes = 1 << max(-(-len(data) // LANE) - 1, 0).bit_length()
     padded = np.zeros(lanes * LANE, dtype=np.uint8)
     own = padded[len(padded) - len(data) :]
     own[:] = np.frombuffer(data, dtype=np.uint8)
-    own[:4] = np.frombuffer(head, dtype=np.uint8)
+    own[:4] ^= 255
     columns = np.ascontiguousarray(padded.reshape(lanes, LANE).T)
     state, table = np.zeros(lanes, dtype=np.uint32), _table()
     for column in columns:
