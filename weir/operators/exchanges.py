@@ -10,12 +10,13 @@ def pair(events: DataFrame) -> DataFrame:
     """Each request with the first response of its flow before the next request.
 
     ``events``: flow, ts_us, kind (0 request, 1 response), seq, label. A request that another one follows first stays unpaired, and so do
-    further responses. Requests of a flow are numbered in order; a response belongs to the last request before it.
+    further responses. Requests of a flow are numbered in order; a response belongs to the last request before it. Events without a time come last
+    in their flow; requests without a flow have no response. Of responses equal in time and seq the one with the least label counts.
     """
-    order = Window.partitionBy("flow").orderBy("ts_us", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("flow").orderBy(*(F.asc_nulls_last(c) for c in ("ts_us", "kind", "seq"))).rowsBetween(Window.unboundedPreceding, 0)
     own = events.withColumn("n", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(order)).where("n > 0")
-    at = F.struct("ts_us", "seq", "label")
-    out = own.groupBy("flow", "n").agg(F.min(F.when(F.col("kind") == 0, at)).alias("q"), F.min(F.when(F.col("kind") == 1, at)).alias("r"))
+    at = F.struct(F.col("ts_us").isNull(), "ts_us", F.col("seq").isNull(), "seq", "label")
+    out = own.groupBy("flow", "n").agg(F.min(F.when(F.col("kind") == 0, at)).alias("q"), F.min(F.when((F.col("kind") == 1) & F.col("flow").isNotNull(), at)).alias("r"))
     return out.select("flow", F.col("q.seq").alias("request"), F.col("q.ts_us").alias("request_us"), F.col("r.seq").alias("response"), F.col("r.ts_us").alias("response_us"), F.col("r.label").alias("response_label"), ((F.col("r.ts_us") - F.col("q.ts_us")) / 1000.0).alias("duration_ms"))
 
 
