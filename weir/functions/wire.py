@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,16 +124,21 @@ def is_turn_terminal(wire_api: Column, finish_reason: Column, body: Column | Non
     return by_reason if body is None else F.when(wire_api == "openai-responses", ends_with_message(body)).otherwise(by_reason)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often it is used: as plain expressions it would be copied into each use."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def sse_events(stream: Column) -> Column:
     """event and data of each server-sent event, in order: blank lines end events, data lines are joined by line feeds, comments don't count."""
     blocks = F.split(F.replace(stream, F.lit("\r\n"), F.lit("\n")), "\n\n")
 
-    def lines(block: Column, name: str) -> Column:
-        own = F.filter(F.split(block, "\n"), lambda x: x.startswith(f"{name}:"))
-        return F.transform(own, lambda x: F.regexp_replace(F.substring(x, len(name) + 2, 1 << 30), "^ ", ""))
+    def values(lines: Column, name: str) -> Column:
+        own = F.filter(lines, lambda x: x.startswith(f"{name}:"))
+        return F.transform(own, lambda x: F.when(x.startswith(f"{name}: "), F.substring(x, len(name) + 3, 1 << 30)).otherwise(F.substring(x, len(name) + 2, 1 << 30)))
 
-    events = F.transform(blocks, lambda b: F.struct(F.get(lines(b, "event"), 0).alias("event"), F.array_join(lines(b, "data"), "\n").alias("data"), (F.size(lines(b, "data")) > 0).alias("some")))
-    return F.transform(F.filter(events, lambda e: e["some"]), lambda e: F.struct(e["event"].alias("event"), e["data"].alias("data")))
+    events = F.transform(blocks, lambda b: bound(F.split(b, "\n"), lambda lines: F.struct(F.get(values(lines, "event"), 0).alias("event"), values(lines, "data").alias("data"))))
+    return F.transform(F.filter(events, lambda e: F.size(e["data"]) > 0), lambda e: F.struct(e["event"].alias("event"), F.array_join(e["data"], "\n").alias("data")))
 
 
 def sse_summary(events: Column) -> Column:
@@ -141,15 +148,21 @@ def sse_summary(events: Column) -> Column:
 
 def fold_chat(events: Column) -> Column:
     """id, model, content, finish_reason and usage of a chat stream: the first id, model and usage, the last finish reason, all content joined."""
-    data = F.filter(F.transform(events, lambda e: e["data"]), lambda d: d != "[DONE]")
+
+    def value(event: Column, path: str) -> Column:
+        # a text is parsed only if it holds the last name of the path, or an escape that may spell it
+        return F.when(event["data"].contains(path.rpartition(".")[2]) | event["data"].contains("\\"), F.get_json_object(event["data"], path))
+
+    def first(path: str) -> Column:
+        return F.aggregate(events, F.lit(None).cast("string"), lambda found, e: F.coalesce(found, value(e, path)))
 
     def values(path: str) -> Column:
-        return F.filter(F.transform(data, lambda d: F.get_json_object(d, path)), lambda x: x.isNotNull())
+        return F.filter(F.transform(events, lambda e: value(e, path)), lambda x: x.isNotNull())
 
     return F.struct(
-        F.get(values("$.id"), 0).alias("id"), F.get(values("$.model"), 0).alias("model"), F.array_join(values("$.choices[0].delta.content"), "").alias("content"),
+        first("$.id").alias("id"), first("$.model").alias("model"), F.array_join(values("$.choices[0].delta.content"), "").alias("content"),
         F.try_element_at(values("$.choices[0].finish_reason"), F.lit(-1)).alias("finish_reason"),
-        F.get(values("$.usage.prompt_tokens"), 0).try_cast("long").alias("input_tokens"), F.get(values("$.usage.completion_tokens"), 0).try_cast("long").alias("output_tokens"),
+        first("$.usage.prompt_tokens").try_cast("long").alias("input_tokens"), first("$.usage.completion_tokens").try_cast("long").alias("output_tokens"),
     )
 
 

@@ -72,12 +72,14 @@ def sse_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || ' ', '' ORDER BY l_linenumber) AS content, concat('c', CAST(o_orderkey AS VARCHAR)) AS id, 'stop' AS finish_reason, CAST(max(l_linenumber) * 7 AS BIGINT) AS output_tokens FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def sse_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = bridge.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    chunk = F.format_string('data: {"id": "c%d", "model": "m", "choices": [{"delta": {"content": "%d "}}]}\n\n', "l_orderkey", "l_linenumber")
-    streams = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", chunk.alias("e")))).alias("es"), F.max("l_linenumber").alias("n"))
+    lines = bridge.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    # the numbers alone are shuffled; each order's chunks are written where its stream is
+    orders = lines.groupBy("o_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("ns"), F.max("l_linenumber").alias("n"))
+    start = F.concat(F.lit('data: {"id": "c'), F.col("o_orderkey").cast("string"), F.lit('", "model": "m", "choices": [{"delta": {"content": "'))
+    streams = orders.withColumn("es", F.transform("ns", lambda n: F.concat(start, n.cast("string"), F.lit(' "}}]}\n\n'))))
     last = F.format_string('data: {"choices": [{"delta": {}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 1, "completion_tokens": %d}}\n\ndata: [DONE]\n\n', F.col("n") * 7)
-    stream = F.concat(F.array_join(F.transform("es", lambda x: x["e"]), ""), last)
-    return streams.select("o_orderkey", wire.fold_chat(wire.sse_events(stream)).alias("r")).select("o_orderkey", "r.content", "r.id", "r.finish_reason", "r.output_tokens")
+    stream = F.concat(F.array_join("es", ""), last)
+    return streams.select("o_orderkey", wire.bound(wire.sse_events(stream), wire.fold_chat).alias("r")).select("o_orderkey", "r.content", "r.id", "r.finish_reason", "r.output_tokens")
 
 
 @query("""WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 20 END AS i, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 10 END AS o, props, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS st FROM events)
