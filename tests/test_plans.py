@@ -1,7 +1,9 @@
 """Steps that must not be done more often than once, told from the plans of the registered queries."""
 
+from pyspark.sql import functions as F
 
 from weir.functions import wire
+from weir.operators import proxy
 from weir.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -28,3 +30,19 @@ def test_chat_streams_of_odd_events(spark):
     rows = spark.createDataFrame([(s,) for s in streams], "s string")
     for r in rows.select("s", wire.bound(wire.sse_events(F.col("s")), wire.fold_chat).alias("r")).collect():
         assert tuple(r.r) == streams[r.s], r.s
+
+
+def test_headers_are_compared_in_one_shuffle(spark):
+    plan = _plan(registry.QUERIES["header_diff"](spark, SF_DIR), "executedPlan")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Expand" not in plan and plan.count("Sort [") == 1
+
+
+def test_headers_of_odd_legs(spark):
+    rows = [
+        (1, 0, [("A", "x"), ("B", None), ("b", "y"), (None, "z")]), (1, 1, [("a", "x"), ("B", "y")]), (1, 2, None), (1, 2, [("A", "x")]),
+        (2, 5, [("a", "x"), ("A", "w")]), (3, 0, []), (None, 0, [("A", "x")]),
+    ]
+    legs = spark.createDataFrame(rows, "pair_id long, leg int, headers array<struct<name:string,value:string>>")
+    got = {tuple(r) for r in proxy.header_diff(legs).collect()}
+    # a leg without headers counts; one leg twice is one; legs of no pair are a group
+    assert got == {(1, "A", "common"), (1, "B", "per_leg"), (1, None, "per_leg"), (2, "a", "modified"), (None, "A", "common")}

@@ -58,12 +58,19 @@ def patches(traces: DataFrame, from_us: int) -> DataFrame:
 def header_diff(legs: DataFrame) -> DataFrame:
     """How each header compares over the legs of a group: common, modified or per_leg; names without case, first spelling kept.
 
-    ``legs``: pair_id, leg (order), headers (array of name and value).
+    ``legs``: pair_id, leg (order), headers (array of name and value). Legs are dealt out by pair once, as they came; names by leg, names and
+    pairs then all go by one order within a task, row by row. A row of each leg beside its headers (no ``own``) tells how many legs a pair has.
     """
-    count = legs.groupBy("pair_id").agg(F.countDistinct("leg").alias("legs"))
-    flat = legs.select("pair_id", "leg", F.posexplode("headers").alias("pos", "h")).select("pair_id", "leg", "pos", F.col("h.name").alias("name"), F.col("h.value").alias("value"))
-    by = flat.groupBy("pair_id", F.lower("name").alias("key")).agg(F.countDistinct("leg").alias("seen"), F.countDistinct("value").alias("values"), F.min_by("name", F.struct("leg", "pos")).alias("name"))
-    return by.join(count, "pair_id").select("pair_id", "name", F.when(F.col("seen") < F.col("legs"), "per_leg").when(F.col("values") > 1, "modified").otherwise("common").alias("kind"))
+    one = F.struct(F.lit(False).alias("own"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))
+    listed = F.transform(F.coalesce("headers", F.array().cast("array<struct<name:string,value:string>>")), lambda h, k: F.struct(F.lit(True).alias("own"), k.alias("pos"), h["name"].alias("name"), h["value"].alias("value")))
+    flat = legs.select("pair_id", "leg", "headers").repartition("pair_id").select("pair_id", "leg", F.explode(F.concat(F.array(one), listed)).alias("h"))
+    flat = flat.select("pair_id", F.col("h.own").alias("own"), F.lower("h.name").alias("key"), "leg", F.col("h.pos").alias("pos"), F.col("h.name").alias("name"), F.col("h.value").alias("value"))
+    # more than one value: the least and the greatest differ
+    by_leg = flat.groupBy("pair_id", "own", "key", "leg").agg(F.min(F.struct("pos", "name")).alias("first"), F.min("value").alias("low"), F.max("value").alias("high"))
+    by_name = by_leg.groupBy("pair_id", "own", "key").agg(F.count("leg").alias("seen"), F.min_by("first", F.struct("leg")).alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
+    told = by_name.withColumn("legs", F.max(F.when(~F.col("own"), F.col("seen"))).over(Window.partitionBy("pair_id")))
+    kind = F.when(F.col("seen") < F.col("legs"), "per_leg").when(F.col("low") < F.col("high"), "modified").otherwise("common")
+    return told.where("own").select("pair_id", F.col("first.name").alias("name"), kind.alias("kind"))
 
 
 def latency(members: DataFrame) -> DataFrame:
