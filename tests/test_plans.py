@@ -46,3 +46,11 @@ def test_headers_of_odd_legs(spark):
     got = {tuple(r) for r in proxy.header_diff(legs).collect()}
     # a leg without headers counts; one leg twice is one; legs of no pair are a group
     assert got == {(1, "A", "common"), (1, "B", "per_leg"), (1, None, "per_leg"), (2, "a", "modified"), (None, "A", "common")}
+
+
+def test_rows_of_tiers_are_dealt_out_before_they_are_grouped(spark):
+    steps = [x.strip(" :+-") for x in _plan(registry.QUERIES["rollup_sketches"](spark, SF_DIR), "executedPlan").split("\n")]
+    made = next(k for k, x in enumerate(steps) if x.startswith("Generate explode(array(struct(wire_api"))
+    above = [x.split("(")[0].split()[0] for x in steps[:made]]
+    # no table of groups in the task that makes the rows
+    assert "Exchange" in above[max(k for k, x in enumerate(above) if x == "HashAggregate") :]

@@ -114,7 +114,8 @@ def rollup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored rollups in all tiers, made from the finest rows."""
     rows = sketches.tiers(sketches.rollup(bridge.spans(spark, sf_dir)))
     sums = (*metrics.COUNTERS, "e2e_count", "e2e_sum", "ttft_count")
-    return rows.groupBy(*metrics.KEYS).agg(*(F.sum(c).alias(c) for c in sums))
+    # dealt out first, so that no task holds the rows of all tiers that it makes in a table of its own
+    return rows.repartition(*metrics.KEYS).groupBy(*metrics.KEYS).agg(*(F.sum(c).alias(c) for c in sums))
 
 
 _GRACE = tracker.GRACE_US
