@@ -252,6 +252,30 @@ def test_line_dedup_equals_brute_force_with_short_sentences(spark, docs):
     assert got[100][2] == 0 and got[101] == ("Other start. ", 5, 3)
 
 
+def test_line_dedup_of_marks_tabs_and_carriage_returns_equals_brute_force(spark):
+    mark = "\x01"
+    texts = [f"{x}One. {x}Two!{y} Three? \n{x}\tFour.{y}\n" for x in ("", " ", "\t", "\r", mark, " \t ", "\n \n") for y in ("", "\r", "\t", mark, "  ")]
+    rows = list(enumerate([*texts, f"{mark}\n{mark}\n{mark}\n", "\t\n\r\n \n\n", "\r. \r. \r. \r. ", ". . . . ", "a.  b.  c.  d", "", None, mark, "\n"]))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute_lines(rows) and sum(n for _, _, n in got.values()) > 60
+
+
+def test_line_dedup_cuts_and_compares_in_compiled_steps(spark, monkeypatch):
+    """Lambdas and patterns made it 406 CPU seconds a GB; a grouping behind the join kept a common window in one task."""
+    plans, write = {}, line_dedup.written
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    rows = [(1, "One. Two. Three. Four"), (2, "One. Two. Three. Five"), (2, "One. Two. Three. Five")]
+    assert [r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [0, 3, 3]
+    for name in ("repeated", "places"):
+        assert "lambda" not in plans[name], name
+    assert "Aggregate" not in plans["places"]
+
+
 def test_passages_within_lines_go(spark):
     words = [f"w{k}" for k in range(70)]
     passage = "".join(" ".join(words[k : k + 10]).capitalize() + ". " for k in range(0, 70, 10))
