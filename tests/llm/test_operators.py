@@ -260,6 +260,38 @@ def test_line_dedup_of_marks_tabs_and_carriage_returns_equals_brute_force(spark)
     assert got == _brute_lines(rows) and sum(n for _, _, n in got.values()) > 60
 
 
+def _whole_lines(rows):
+    """Places of the characters that go by windows of three whole lines between line feeds, with the lines as they are."""
+    seen, gone = set(), {}
+    for d, t in rows:
+        cut, gone[d] = t.split("\n"), set()
+        for k in range(len(cut) - 2):
+            window = "\n".join(cut[k : k + 3])
+            if window.strip() and window in seen:
+                at = len("\n".join(cut[:k])) + (k > 0)
+                gone[d] |= set(range(at, at + len(window)))
+            seen.add(window)
+    return gone
+
+
+def test_line_dedup_takes_whole_lines_that_end_in_white_space(spark):
+    import duckdb
+    import pandas as pd
+
+    parts = ("Foo bar. \n\n\n", "Foo bar.\n\n\n\n", "Is it? \r\n\t\n \r\n", "No! \n \n", "One. Two. \n\n\n\n", "\n\n\n", "plain\n", "A. b! \n\n\n")
+    rows = [(k, f"{x}text {k}\n{y}end") for k, (x, y) in enumerate((x, y) for x in parts for y in parts)]
+    rows += [(100, "Other start\nFoo bar. \n\n\nother"), (101, "Foo bar. \n\n\n"), (102, "\n\n\n\n\n"), (103, "Solo one. \n\n\n\n\nSolo")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"text": object}))
+    want = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, text, n_lines, n_removed FROM ({line_dedup.ORACLE_SQL})").fetchall()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert got[100] == ("Other start\nother", 6, 4) and got[101] == ("", 5, 4) and got[102][2] == 0 and got[103][2] == 0
+    # no text keeps more than windows of whole lines alone would leave of it
+    gone = _whole_lines(rows)
+    assert sum(map(len, gone.values())) > 200 and all(len(got[d][0]) <= len(t) - len(gone[d]) for d, t in rows)
+
+
 def test_line_dedup_cuts_and_compares_in_compiled_steps(spark, monkeypatch):
     """Lambdas and patterns made it 406 CPU seconds a GB; a grouping behind the join kept a common window in one task."""
     plans, write = {}, line_dedup.written
